@@ -31,3 +31,19 @@ def op1(spark, sf_dir):
     from .sentencepiece_codec import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
