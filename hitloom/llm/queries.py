@@ -47,3 +47,11 @@ def op7(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    from .quality_classifier import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
