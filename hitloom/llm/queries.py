@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sharding
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -55,3 +57,18 @@ def op5(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op2_sharding", sharding.oracle(SHARD_BYTES))
+def op2(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query("op10_neighbours")
+def op10(spark, sf_dir):
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
