@@ -72,3 +72,10 @@ def op10(spark, sf_dir):
     from .neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
