@@ -79,3 +79,10 @@ def op9(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    from .suffix_dedup import removal
+
+    return removal(table(spark, sf_dir, "documents"))
