@@ -86,3 +86,10 @@ def op6(spark, sf_dir):
     from .suffix_dedup import removal
 
     return removal(table(spark, sf_dir, "documents"))
+
+
+@query("op3_stupid_backoff")
+def op3(spark, sf_dir):
+    from .stupid_backoff import scores
+
+    return scores(table(spark, sf_dir, "documents"))
