@@ -93,3 +93,10 @@ def op3(spark, sf_dir):
     from .stupid_backoff import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query("op8_passage_dedup")
+def op8(spark, sf_dir):
+    from .passage_dedup import removal
+
+    return removal(table(spark, sf_dir, "documents"))

@@ -99,7 +99,7 @@ def _report(keys: np.ndarray, values: np.ndarray):
     return keys[cut], [values[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
 
 
-def repeated_triggers(rows: DataFrame, blocks: int) -> DataFrame:
+def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
     """key (of a row) and marks: packed ordinals of its triggers whose hash isn't alone."""
 
     def send(batches):
@@ -107,7 +107,7 @@ def repeated_triggers(rows: DataFrame, blocks: int) -> DataFrame:
             keys = b.column(0).to_numpy()
             row, ordinal, h = [], [], []
             for c in text_chunks(b.column(1)):
-                p = Parse(c)
+                p = parse(c)
                 row.append(p.row + c.lo)
                 ordinal.append(np.arange(len(p.row)) - p.at[p.row])
                 h.append(p.hash)
@@ -158,7 +158,7 @@ def repeated_triggers(rows: DataFrame, blocks: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(marks, pa.binary())], names=["key", "marks"])
 
     sent = rows.select("key", "text").mapInArrow(send, "block int, key long, packed binary")
-    dealt = sent.withColumn("deal", F.coalesce(F.col("block").cast("long"), F.col("key"))).repartition(blocks, "deal").select("block", "key", "packed")
+    dealt = sent.withColumn("deal", F.coalesce("block", F.pmod("key", F.lit(blocks)).cast("int"))).repartitionById(blocks, "deal").select("block", "key", "packed")
     return dealt.mapInArrow(find, "key long, marks binary")
 
 
@@ -297,7 +297,7 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(spans, pa.binary())], names=["key", "spans"])
 
     sent = rows.select("key", "doc", "text", "marks").mapInArrow(send, "block int, key long, packed binary")
-    dealt = sent.withColumn("deal", F.coalesce(F.col("block").cast("long"), F.col("key"))).repartition(blocks, "deal").select("block", "key", "packed")
+    dealt = sent.withColumn("deal", F.coalesce("block", F.pmod("key", F.lit(blocks)).cast("int"))).repartitionById(blocks, "deal").select("block", "key", "packed")
     return dealt.mapInArrow(find, "key long, spans binary")
 
 
