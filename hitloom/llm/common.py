@@ -235,3 +235,30 @@ def partitions(spark) -> int:
 def struct_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from NumPy arrays or lists."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+SIEVE_BITS = 23
+
+
+def sieved(rows, ids, id_name: str):
+    """The rows whose id may be among ids, by a bitmap of 2**SIEVE_BITS bits.
+
+    The bitmap's size is fixed, so it can be sent to every task however large
+    the tables are; rows that it lets through by chance are for a join behind
+    it to drop.  It spares that join's shuffle most of the text.
+    """
+    from pyspark.sql import functions as F
+
+    place = F.xxhash64(id_name).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    words = ids.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = shared.value.view(U64)
+        for b in batches:
+            h = b.column(b.num_columns - 1).to_numpy()
+            yield b.select(range(b.num_columns - 1)).filter(pa.array((bits[h >> 6] >> (h & 63).astype(U64)) & U64(1) == 1))
+
+    return rows.withColumn("sieve_", place).mapInArrow(run, rows.schema)

@@ -18,17 +18,21 @@ entries are multiplied, block of columns by block of columns:
    reach the bound are discarded.
 4. The sets of the remaining pairs are brought together, at most
    ``MEMBERS`` with one, and counted exactly.
-5. Long columns whose classes aren't all in one component by now pair the
-   classes of different components, which are treated as in 3 and 4.  Pairs
-   inside a component can't change it.
+5. Long columns whose classes aren't all in one component by now are
+   multiplied in blocks of rows: a block gets all entries of its rows' columns,
+   counts the overlaps with the classes of other components, and keeps the
+   pairs that may reach the bound; these are treated as in 3 and 4.  A first
+   round takes the best pairs of each class and larger component only, which
+   joins most of them; a second one takes all.  Pairs inside a component can't
+   change it.
 
 Only what is needed for classes and components is computed: each link between
 components is found, copies aren't expanded into pairs.
 
 Defined cases: a null text has no words; documents without words have no
 shingle and only themselves as component; fewer than five words are one
-shingle; repeated rows are copies of each other; a null id is passed on with a
-null component unless its copies have one; an empty table gives no rows; other
+shingle; repeated rows are copies of each other; a null id's component is that of
+its copies that have one, or null; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -38,13 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Chunk, distinct_per_row, gram_hashes, mix, partitions, text_chunks, word_hashes, written
+from .common import U64, Chunk, distinct_per_row, gram_hashes, mix, partitions, sieved, text_chunks, word_hashes, written
 from .components import components
 
 WORDS = 5
 SHORT = 16
 MEMBERS = 256
 MAX_COMMON = 65_536
+ROW_BLOCK = 400_000
+BEST = 6
 PAIR = "a long, b long, n long, na int, nb int"
 
 
@@ -234,11 +240,68 @@ def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
                         found[1].append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    ready = text.join(asked, "id").select("text", "groups", "id").mapInArrow(sets, "a long, part int, id long, members binary")
+    ready = sieved(text, asked, "id").join(asked, "id").select("text", "groups", "id").mapInArrow(sets, "a long, part int, id long, members binary")
     ready = ready.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
     return ready.mapInArrow(check, "a long, b long").distinct()
 
 
+def across(place: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs of different components by their overlap in long columns, as far as they may reach the bound.
+
+    best: for each class and larger component only the BEST pairs that overlap most.
+
+    place: column, cls, size, root, and slack: the most entries in short
+    columns that the class shares with any other.  Blocks of rows meet blocks
+    of rows, so that a task holds two blocks at most.
+    """
+    blocks = max(1, -(-place.count() // ROW_BLOCK))
+    own = place.withColumn("of", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
+    entries = own.select("*", other).withColumn("block", F.greatest("of", "with") * blocks + F.least("of", "with"))
+    entries = entries.select("block", "column", "cls", "size", "root", "slack", ((F.col("of") <= F.col("with")).cast("int") + 2 * (F.col("of") >= F.col("with")).cast("int")).alias("side"))
+
+    def run(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not parts:
+            return
+        block, column, cls, size, root, slack, side = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for k in np.unique(block):
+            at = np.flatnonzero(block == k)
+            names, who = np.unique(cls[at], return_inverse=True)
+            n, r, free, sides = (np.zeros(len(names), dtype=np.int64) for _ in range(4))
+            n[who], r[who], free[who], sides[who] = size[at], root[at], slack[at], side[at]
+            both = sides == 3  # a block with itself; else rows of side 1 meet those of side 2
+            _, of, count = np.unique(r, return_inverse=True, return_counts=True)
+            many = count[of]
+            _, col = np.unique(column[at], return_inverse=True)
+            by_col = np.argsort(col, kind="stable")
+            col_at = np.searchsorted(col[by_col], np.arange(col.max() + 2))
+            by_row = np.argsort(who, kind="stable")
+            row_at = np.searchsorted(who[by_row], np.arange(len(names) + 1))
+            members = who[by_col]
+            for i in np.flatnonzero((sides == 1) | both) if not best else range(len(names)):
+                cols = col[by_row[row_at[i] : row_at[i + 1]]]
+                overlap = np.bincount(np.concatenate([members[col_at[c] : col_at[c + 1]] for c in cols]), minlength=len(names))
+                j = np.flatnonzero(overlap)
+                j = j[(r[j] != r[i]) & ((sides[j] != sides[i]) | (both[j] & (best | (j > i)))) & _fits(n[j], n[i], num, den)]
+                need = -(-num * (n[i] + n[j]) // (num + den)) - (-(-num * np.maximum(n[i], n[j]) // den) - 1)
+                j = j[overlap[j] + np.minimum(free[i], free[j]) >= need]
+                if best and len(j):
+                    j = j[(many[j] > many[i]) | ((many[j] == many[i]) & (r[j] < r[i]))]
+                if best and len(j):
+                    j = j[np.lexsort((-overlap[j], r[j]))]
+                    same = np.append(False, r[j][1:] == r[j][:-1])
+                    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(j)))) if len(j) else j
+                    j = j[np.arange(len(j)) - start < BEST]
+                if len(j):
+                    me = np.full(len(j), names[i])
+                    a, b = np.minimum(me, names[j]), np.maximum(me, names[j])
+                    swap = a != me
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(overlap[j], pa.int64()), pa.array(np.where(swap, n[j], n[i]), pa.int32()), pa.array(np.where(swap, n[i], n[j]), pa.int32())], names=["a", "b", "n", "na", "nb"])
+
+    return entries.repartitionById(blocks * blocks, "block").mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
+
+
 def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id of each document, links from similarity num / den on."""
     spark = docs.sparkSession
@@ -252,38 +315,44 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     columns = found.where("b is null").select(F.col("n").alias("column"), F.col("a").alias("cls"), F.col("na").alias("size"))
     held = columns.groupBy("cls").agg(F.count("*").alias("long"))
 
+    def named_pairs(pairs):
+        for c in "ab":
+            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}")), c)
+        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a != b").distinct()
+
     def candidates(pairs):
         """Pairs of classes (a, b, n: overlap in short columns) that may reach the bound, as pairs of documents."""
         pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         for c in "ab":
             pairs = pairs.join(held.select(F.col("cls").alias(c), F.col("long").alias(f"long_{c}")), c, "left")
         seen = F.col("n") + F.coalesce(F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))), F.lit(0))
-        pairs = pairs.where(seen >= _need(num, den))
-        for c in "ab":
-            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}")), c)
-        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a != b").distinct()
+        return named_pairs(pairs.where(seen >= _need(num, den)))
 
     links = written(verify(written(candidates(found.where("b is not null")), "pairs"), docs, num, den), "links")
     roots = components(links)
-    if not columns.isEmpty():
+    short = found.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("short"))
+    most = short.select(F.explode(F.array("a", "b")).alias("cls"), "short").groupBy("cls").agg(F.max("short").alias("slack"))
+    for best in (True, False) if not columns.isEmpty() else ():
         place = columns.join(classes, "cls").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("column", "cls", "size", F.coalesce("root", "id").alias("root"))
         open_ = place.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("column")
-        place = written(place.join(open_, "column", "left_semi"), "open")
-        x = place.select("column", F.col("cls").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-        y = place.select("column", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-        near = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("ra") < F.col("rb"))
-        across = x.join(y, "column").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        short = found.where("b is not null").select("a", "b", "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        more = across.join(short, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        late = written(verify(written(candidates(more), "pairs"), docs, num, den), "links")
+        place = written(place.join(open_, "column", "left_semi").join(most, "cls", "left").select("column", "cls", "size", "root", F.coalesce("slack", F.lit(0)).alias("slack")), "open")
+        more = across(place, num, den, best).join(short, ["a", "b"], "left").withColumn("n", F.col("n") + F.coalesce("short", F.lit(0)))
+        late = written(verify(written(named_pairs(more.where(F.col("n") >= _need(num, den))), "pairs"), docs, num, den), "links")
         if not late.isEmpty():
-            roots = components(links.unionByName(late))
+            links = links.unionByName(late)
+            roots = components(links)
     named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("cls", F.coalesce("root", "id").alias("component_id"))
     return own.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The first document of each component, with all its columns."""
+    """The first document of each component, once, with all its columns; rows without an id stay unless a copy has one."""
     own = jaccard_components(docs)
+    ids = docs["doc_id"].cast("long")
     gone = own.where("doc_id != component_id").select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_"], "left_anti")
+    kept = docs.join(gone, ids == gone["gone_"], "left_anti")
+    twice = own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, ids == twice["twice_"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, ids == twice["twice_"], "left_anti").unionByName(once)

@@ -88,15 +88,42 @@ def _by_block(h: np.ndarray, blocks: int):
     return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
 
 
-def _report(keys: np.ndarray, values: np.ndarray):
-    """One row for each key with its values, packed."""
-    if not len(keys):
-        return keys, []
+def _parts(keys: np.ndarray, items: np.ndarray, blocks: int):
+    """Items of keys, packed by the part that a key belongs to: part numbers and bytes."""
     order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    ends = np.append(cut[1:], len(keys))
-    return keys[cut], [values[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+    order = order[np.argsort((keys[order] % blocks), kind="stable")]
+    keys, items = keys[order], items[order]
+    cuts = np.searchsorted(keys % blocks, np.arange(blocks + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    return used, [np.int64(cuts[k + 1] - cuts[k]).tobytes() + keys[cuts[k] : cuts[k + 1]].tobytes() + items[cuts[k] : cuts[k + 1]].tobytes() for k in used]
+
+
+def by_key(parts: DataFrame, blocks: int, name: str) -> DataFrame:
+    """One row for each key with all its items, packed."""
+
+    def run(batches):
+        keys, items = [], []
+        for b in batches:
+            for x in b.column(0):
+                raw = x.as_buffer()
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                keys.append(np.frombuffer(raw, np.int64, n, 8))
+                items.append(np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(n, -1))
+        if not keys:
+            return
+        keys, items = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(keys, kind="stable")
+        keys, items = keys[order], items[order]
+        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = items.shape[1]
+        edge = np.append(cut, len(keys)) * size
+        for lo in range(0, len(cut), 10_000):
+            own = edge[lo : lo + 10_001]
+            data = items.reshape(-1)[own[0] : own[-1]]
+            packed = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer((own - own[0]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut[lo : lo + 10_000]]), packed], names=["key", name])
+
+    return parts.repartitionById(blocks, "part").select("packed").mapInArrow(run, f"key long, {name} binary")
 
 
 def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
@@ -116,8 +143,8 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
             row, ordinal, h = np.concatenate(row).astype(np.uint32), np.concatenate(ordinal).astype(np.uint32), np.concatenate(h)
             _, back, count = np.unique(h, return_inverse=True, return_counts=True)
             many = count[back] > 1
-            k, marks = _report(keys[row[many]], ordinal[many])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(k), pa.array(marks, pa.binary())], names=["block", "key", "packed"])
+            k, marks = _parts(keys[row[many]], ordinal[many], blocks)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(k, pa.int32()), pa.array(marks, pa.binary())], names=["block", "part", "packed"])
             several = np.unique(h[many])
             alone = np.flatnonzero(~many)
             known = dict(_by_block(several, blocks))
@@ -128,14 +155,14 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
                 head = np.array([len(s), len(own), len(used)], dtype=np.int64)
                 packed.append(head.tobytes() + s.tobytes() + h[own].tobytes() + keys[used].tobytes() + local.astype(np.uint32).tobytes() + ordinal[own].tobytes())
                 at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(packed, pa.binary())], names=["block", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.int32()), pa.array(packed, pa.binary())], names=["block", "part", "packed"])
 
     def find(batches):
         several, h, key, ordinal = [], [], [], []
         for b in batches:
             passed = b.column(0).is_null()
             if pa.compute.any(passed).as_py():
-                yield pa.RecordBatch.from_arrays([b.column(1).filter(passed), b.column(2).filter(passed)], names=["key", "marks"])
+                yield pa.RecordBatch.from_arrays([b.column(1).filter(passed), b.column(2).filter(passed)], names=["part", "packed"])
             for x in b.column(2).filter(pa.compute.invert(passed)):
                 raw = x.as_buffer()
                 s, n, u = (int(v) for v in np.frombuffer(raw, np.int64, 3))
@@ -154,12 +181,12 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
         twice = np.append(same, False) | np.append(False, same)
         if len(several):
             twice |= several[np.minimum(np.searchsorted(several, s), len(several) - 1)] == s
-        k, marks = _report(key[order[twice]], ordinal[order[twice]])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(marks, pa.binary())], names=["key", "marks"])
+        k, marks = _parts(key[order[twice]], ordinal[order[twice]], blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(marks, pa.binary())], names=["part", "packed"])
 
-    sent = rows.select("key", "text").mapInArrow(send, "block int, key long, packed binary")
-    dealt = sent.withColumn("deal", F.coalesce("block", F.pmod("key", F.lit(blocks)).cast("int"))).repartitionById(blocks, "deal").select("block", "key", "packed")
-    return dealt.mapInArrow(find, "key long, marks binary")
+    sent = rows.select("key", "text").mapInArrow(send, "block int, part int, packed binary")
+    dealt = sent.withColumn("deal", F.coalesce("block", "part")).repartitionById(blocks, "deal").select("block", "part", "packed")
+    return by_key(dealt.mapInArrow(find, "part int, packed binary"), blocks, "marks")
 
 
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i8")])
@@ -177,8 +204,8 @@ def _firsts(head: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, repeat & ~first
 
 
-def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray):
-    return _report(key, np.stack([start, end], axis=1).astype("<i8")) if len(key) else (key, [])
+def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray, blocks: int):
+    return _parts(key, np.stack([start, end], axis=1).astype("<i8"), blocks)
 
 
 def _suffix_ranks(data: np.ndarray) -> np.ndarray:
@@ -203,14 +230,13 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
 
     def send(batches):
         for b in batches:
-            keys, docs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keys, docs = b.column(0).to_numpy(), b.column(1).fill_null(-(1 << 63)).to_numpy()
             heads, parts = [], []
             for c in text_chunks(b.column(2)):
                 p = Parse(c)
                 marked = np.zeros(len(p.row), dtype=bool)
                 for i in range(len(c)):
-                    for m in b.column(3)[c.lo + i]:
-                        marked[p.at[i] + np.frombuffer(m.as_buffer(), np.uint32).astype(np.int64)] = True
+                    marked[p.at[i] + np.frombuffer(b.column(3)[c.lo + i].as_buffer(), np.uint32).astype(np.int64)] = True
                 at = np.flatnonzero(marked)
                 head = np.zeros(len(at), dtype=_HEAD)
                 head["hash"], head["doc"], head["key"] = p.hash[at], docs[p.row[at] + c.lo], keys[p.row[at] + c.lo]
@@ -221,9 +247,9 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
                 continue
             head, content = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads])
             first, repeat = _firsts(head, content)
-            k, spans = _spans(head["key"][repeat], head["start"][repeat], (head["start"] + head["size"])[repeat])
+            k, spans = _spans(head["key"][repeat], head["start"][repeat], (head["start"] + head["size"])[repeat], blocks)
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(k, pa.int64()), pa.array(spans, pa.binary())], names=["block", "key", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(k, pa.int32()), pa.array(spans, pa.binary())], names=["block", "part", "packed"])
             which = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads])
             lo = np.concatenate([h[3] for h in heads])
             keep = np.flatnonzero(first)
@@ -234,27 +260,26 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
                     some = own[x : x + 4096]
                     parts.append(np.int64(len(some)).tobytes() + head[some].tobytes() + b"".join(heads[which[j]][2][lo[j] : lo[j] + head["size"][j]].tobytes() for j in some))
                     at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(parts, pa.binary())], names=["block", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part", "packed"])
 
     def find(batches):
-        heads, texts = [], []
+        heads, texts, contents = [], [], []
         for b in batches:
             passed = b.column(0).is_null()
             if pa.compute.any(passed).as_py():
-                yield pa.RecordBatch.from_arrays([b.column(1).filter(passed), b.column(2).filter(passed)], names=["key", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(1).filter(passed), b.column(2).filter(passed)], names=["part", "packed"])
             for x in b.column(2).filter(pa.compute.invert(passed)):
                 raw = x.as_buffer()
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
                 heads.append(np.frombuffer(raw, _HEAD, n, 8))
-                texts.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize))
+                texts.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize).copy())
+                edge = np.append(0, np.cumsum(heads[-1]["size"]))
+                contents.append(span_hash(prefix_hash(texts[-1]), edge[:-1], edge[1:]))
         if not heads:
             return
-        head, data = np.concatenate(heads), np.concatenate(texts)
-        del heads, texts
+        head, data, content = np.concatenate(heads), np.concatenate(texts), np.concatenate(contents)
+        del heads, texts, contents
         begin = np.concatenate([[0], np.cumsum(head["size"])])
-        prefix = prefix_hash(data)
-        content = span_hash(prefix, begin[:-1], begin[1:])
-        del prefix
         first, repeat = _firsts(head, content)
         out = [(head["key"][repeat], head["start"][repeat], (head["start"] + head["size"])[repeat])]
 
@@ -265,7 +290,7 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
         at = at[np.argsort(head["hash"][at], kind="stable")]
         begin_of, lo = np.append(0, np.cumsum(head["size"][at])), 0
         while lo < len(at):
-            hi = int(np.searchsorted(begin_of, begin_of[lo] + (1 << 22), "right")) - 1
+            hi = int(np.searchsorted(begin_of, begin_of[lo] + (1 << 20), "right")) - 1
             hi = max(hi, lo + 1)
             while hi < len(at) and head["hash"][at[hi]] == head["hash"][at[hi - 1]]:
                 hi += 1
@@ -293,12 +318,12 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
                 last = np.append(cut[1:], len(d)) - 1
                 out.append((key[d[cut]], pos[d[cut]], pos[d[last]] + LENGTH))
             lo = hi
-        k, spans = _spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(spans, pa.binary())], names=["key", "spans"])
+        k, spans = _spans(*(np.concatenate(x) for x in zip(*out, strict=True)), blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(spans, pa.binary())], names=["part", "packed"])
 
-    sent = rows.select("key", "doc", "text", "marks").mapInArrow(send, "block int, key long, packed binary")
-    dealt = sent.withColumn("deal", F.coalesce("block", F.pmod("key", F.lit(blocks)).cast("int"))).repartitionById(blocks, "deal").select("block", "key", "packed")
-    return dealt.mapInArrow(find, "key long, spans binary")
+    sent = rows.select("key", "id", "text", "marks").mapInArrow(send, "block int, part int, packed binary")
+    dealt = sent.withColumn("deal", F.coalesce("block", "part")).repartitionById(blocks, "deal").select("block", "part", "packed")
+    return by_key(dealt.mapInArrow(find, "part int, packed binary"), blocks, "spans")
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -311,12 +336,12 @@ def union(spans: np.ndarray) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """id, text and spans (list of packed spans, null: none) of each row."""
+    """id, text and spans (packed, null: none) of each row."""
     blocks = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text")).withColumn("doc", F.coalesce("id", F.lit(-(1 << 63))))
-    marks = repeated_triggers(rows, blocks).groupBy("key").agg(F.collect_list("marks").alias("marks"))
-    spans = repeated_spans(rows.join(marks, "key"), blocks).groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))  # all uses read the same columns, so that the text is exchanged once
+    marks = repeated_triggers(rows, blocks)
+    spans = repeated_spans(rows.join(marks, "key"), blocks)
     return rows.join(spans, "key", "left").select("id", "text", "spans")
 
 
@@ -328,7 +353,7 @@ def removal(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for text, spans in zip(b.column(1), b.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                runs = union(np.concatenate([np.frombuffer(s.as_buffer(), "<i8").reshape(-1, 2) for s in spans])) if spans.is_valid else np.zeros((0, 2), dtype=np.int64)
+                runs = union(np.frombuffer(spans.as_buffer(), "<i8").reshape(-1, 2)) if spans.is_valid else np.zeros((0, 2), dtype=np.int64)
                 sha, at = hashlib.sha256(), 0
                 for a, e in runs.tolist():
                     sha.update(raw[at:a])
