@@ -15,15 +15,16 @@ entries are multiplied, block of columns by block of columns:
    one and with the next only, and hands the column on to step 5.
 3. Overlaps of a pair are added up over the blocks.  What the two rows may
    still share behind these entries follows from their sizes; pairs that can't
-   reach the bound are discarded.
+   reach the bound are discarded, and so are those whose parity bits (about
+   one for each shingle, kept for each class) differ in too many places.
 4. The sets of the remaining pairs are brought together, at most
    ``MEMBERS`` with one, and counted exactly.
 5. Long columns whose classes aren't all in one component by now are
    multiplied in blocks of rows: a block gets all entries of its rows' columns,
    counts the overlaps with the classes of other components, and keeps the
    pairs that may reach the bound; these are treated as in 3 and 4.  A first
-   round takes the best pairs of each class and larger component only, which
-   joins most of them; a second one takes all.  Pairs inside a component can't
+   round takes the best pairs of each class and larger component only, in the
+   widest columns, which joins most of large groups; a second one takes all.  Pairs inside a component can't
    change it.
 
 Only what is needed for classes and components is computed: each link between
@@ -47,9 +48,12 @@ from .components import components
 
 WORDS = 5
 SHORT = 16
+BLOCKS = 256
 MEMBERS = 256
-MAX_COMMON = 65_536
-ROW_BLOCK = 400_000
+SEEN, COMMON, MAX_COMMON = 3, 12, 131_072  # in a batch, in all, and how many are told apart
+BATCH = 4000
+ROW_BLOCK = 800_000
+WIDE = 64
 BEST = 6
 PAIR = "a long, b long, n long, na int, nb int"
 
@@ -68,8 +72,32 @@ def set_classes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.diff(at).astype(U64)))
 
 
+def parity_bits(values: np.ndarray) -> bytes:
+    """For each of about as many bits as there are values, whether an odd number of values fall on it.
+
+    The bits in which two sets' words differ are at most as many as the
+    values in which the sets do: an exact bound on what they share.
+    """
+    bits = 1 << max(8, int(len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & U64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_reach(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
+    """Whether two sets' parity bits leave room for the similarity num / den."""
+    x, y = sorted((a, b), key=len)
+    size, y_bits = len(x) * 8, int.from_bytes(y, "little")
+    length = len(y) * 8
+    while length > size:
+        length //= 2
+        y_bits = (y_bits >> length) ^ (y_bits & ((1 << length) - 1))
+    return (int.from_bytes(x, "little") ^ y_bits).bit_count() <= na + nb - 2 * -(-num * (na + nb) // (num + den))
+
+
+CLASSES = {"doc_id": "long", "n": "int", "cls": "long", "kind": "int", "sketch": "binary"}
+
+
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls of each document; kind 1: a common shingle (cls) and in how many classes of a batch it is (n)."""
+    """doc_id, n, cls, sketch of each document; kind 1: a common shingle (cls) and in how many classes of a batch it is (n)."""
 
     def run(batches):
         for b in batches:
@@ -77,22 +105,27 @@ def classify(docs: DataFrame) -> DataFrame:
             for c in text_chunks(b.column(1)):
                 v, at = shingle_sets(c)
                 cls, n = set_classes(v, at), np.diff(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, len(c)), pa.array(n, pa.int32()), pa.array(cls.view(np.int64)), pa.array(np.zeros(len(c)), pa.int32())], names=["doc_id", "n", "cls", "kind"])
                 new = np.zeros(len(c), dtype=bool)
                 for i, k in enumerate(cls.tolist()):
                     new[i] = k not in seen
                     seen.add(k)
+                sketches = [parity_bits(v[at[i] : at[i + 1]]) if new[i] else None for i in range(len(c))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, len(c)), pa.array(n, pa.int32()), pa.array(cls.view(np.int64)), pa.array(np.zeros(len(c)), pa.int32()), pa.array(sketches, pa.binary())], names=[*CLASSES])
                 values.append(v[np.repeat(new, n)])
             if values:
                 u, n = np.unique(np.concatenate(values), return_counts=True)
-                u, n = u[n >= 8], n[n >= 8]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(n, pa.int32()), pa.array(u.view(np.int64)), pa.array(np.ones(len(u)), pa.int32())], names=["doc_id", "n", "cls", "kind"])
+                u, n = u[n >= SEEN], n[n >= SEEN]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(n, pa.int32()), pa.array(u.view(np.int64)), pa.array(np.ones(len(u)), pa.int32()), pa.nulls(len(u), pa.binary())], names=[*CLASSES])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, cls long, kind int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in CLASSES.items()))
 
 
 def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, num: int, den: int) -> DataFrame:
-    """Packed prefix entries (shingle, class, size) by block of columns."""
+    """Packed prefix entries (shingle, class, size) by block of columns.
+
+    Of a shingle's hash 32 bits are sent beside the block: shingles that fall
+    together can only add to a pair's overlap, which is verified later.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -126,11 +159,12 @@ def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, num: int, de
             if not parts:
                 continue
             v, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            block = ((v >> U64(20)) % U64(blocks)).astype(np.int64)
+            block = ((v >> U64(32)) % U64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(blocks + 1))
             used = np.flatnonzero(np.diff(cuts))
-            packed = [v[o].tobytes() + cls[o].tobytes() + n[o].tobytes() for o in (order[cuts[k] : cuts[k + 1]] for k in used)]
+            low = (v & U64(0xFFFFFFFF)).astype(np.uint32)
+            packed = [low[o].tobytes() + cls[o].tobytes() + n[o].tobytes() for o in (order[cuts[k] : cuts[k + 1]] for k in used)]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "entries"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, entries binary")
@@ -146,12 +180,12 @@ def multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         h, cls, n = [], [], []
         for b in batches:
-            for x in b.column(1):
+            for block, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = x.as_buffer()
-                m = raw.size // 20
-                h.append(np.frombuffer(raw, U64, m))
-                cls.append(np.frombuffer(raw, U64, m, 8 * m))
-                n.append(np.frombuffer(raw, np.uint32, m, 16 * m))
+                m = raw.size // 16
+                h.append(np.frombuffer(raw, np.uint32, m).astype(U64) | U64(block << 32))
+                cls.append(np.frombuffer(raw, U64, m, 4 * m))
+                n.append(np.frombuffer(raw, np.uint32, m, 12 * m))
         if not h:
             return
         h, cls, n = np.concatenate(h), np.concatenate(cls), np.concatenate(n)
@@ -192,7 +226,7 @@ def multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cls[at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int32()), pa.nulls(len(at), pa.int32())], names=["a", "b", "n", "na", "nb"])
 
     spark = blocks.sparkSession
-    return blocks.repartition(partitions(spark), "block").mapInArrow(run, PAIR)
+    return blocks.repartitionById(partitions(spark), "block").mapInArrow(run, PAIR)
 
 
 def _need(num: int, den: int):
@@ -202,6 +236,12 @@ def _need(num: int, den: int):
     return wanted - behind
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "part", "id", "members"])
+
+
 def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b: ids of documents) whose sets are similar enough."""
     spark = pairs.sparkSession
@@ -213,16 +253,19 @@ def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
 
     def sets(batches):
         for b in batches:
-            groups = b.column(1).to_pylist()
+            groups, ids = b.column(1).to_pylist(), b.column(2).to_pylist()
             for c in text_chunks(b.column(0)):
                 v, at = shingle_sets(c)
-                out: list[list] = [[], [], [], []]
+                rows, held = [], 0
                 for i in range(len(c)):
                     own = v[at[i] : at[i + 1]].tobytes()
                     for g in groups[c.lo + i]:
-                        for k, x in enumerate((g["a"], g["part"], b.column(2)[c.lo + i].as_py(), own)):
-                            out[k].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["a", "part", "id", "members"])
+                        rows.append((g["a"], g["part"], ids[c.lo + i], own))
+                        held += len(own)
+                        if held > 1 << 22:
+                            yield _batch(rows)
+                            rows, held = [], 0
+                yield _batch(rows)
 
     def check(batches):
         hub, key = None, None
@@ -304,21 +347,38 @@ def across(place: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id of each document, links from similarity num / den on."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH))  # bounds what a Python worker holds
+    try:
+        return _components(docs, num, den)
+    finally:
+        conf.set(name, before)
+
+
+def _components(docs: DataFrame, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     rows = written(classify(docs), "classes")
     own = rows.where("kind = 0").select("doc_id", "n", "cls")
-    classes = own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"))
-    common = rows.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "cls").limit(MAX_COMMON).select("cls").toArrow()
+    classes = written(rows.where("kind = 0 and n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.max("sketch").alias("sketch")), "classes")
+    common = rows.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("k")).where(F.col("k") >= COMMON).orderBy(F.desc("k"), "cls").limit(MAX_COMMON).select("cls").toArrow()
     common = common.column(0).to_numpy().astype(np.int64).view(U64)[::-1].copy()  # the most frequent last
 
-    found = written(multiply(prefix_blocks(docs, common, 4 * partitions(spark), num, den), num, den), "overlaps")
+    found = written(multiply(prefix_blocks(docs, common, max(BLOCKS, 4 * partitions(spark)), num, den), num, den), "overlaps")
     columns = found.where("b is null").select(F.col("n").alias("column"), F.col("a").alias("cls"), F.col("na").alias("size"))
     held = columns.groupBy("cls").agg(F.count("*").alias("long"))
 
+    def sift(batches):
+        for b in batches:
+            na, nb, x, y = (b.column(k).to_pylist() for k in range(2, 6))
+            yield b.select([0, 1]).filter(pa.array([may_reach(*v, num, den) for v in zip(x, y, na, nb, strict=True)], pa.bool_()))
+
     def named_pairs(pairs):
+        """Pairs of classes as pairs of documents, without those whose parity bits differ too much."""
         for c in "ab":
-            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}")), c)
-        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a != b").distinct()
+            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        near = pairs.select("id_a", "id_b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(sift, "id_a long, id_b long")
+        return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a != b").distinct()
 
     def candidates(pairs):
         """Pairs of classes (a, b, n: overlap in short columns) that may reach the bound, as pairs of documents."""
@@ -334,7 +394,7 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     most = short.select(F.explode(F.array("a", "b")).alias("cls"), "short").groupBy("cls").agg(F.max("short").alias("slack"))
     for best in (True, False) if not columns.isEmpty() else ():
         place = columns.join(classes, "cls").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("column", "cls", "size", F.coalesce("root", "id").alias("root"))
-        open_ = place.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("column")
+        open_ = place.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo != hi").where(F.col("k") > (WIDE if best else 0)).select("column")
         place = written(place.join(open_, "column", "left_semi").join(most, "cls", "left").select("column", "cls", "size", "root", F.coalesce("slack", F.lit(0)).alias("slack")), "open")
         more = across(place, num, den, best).join(short, ["a", "b"], "left").withColumn("n", F.col("n") + F.coalesce("short", F.lit(0)))
         late = written(verify(written(named_pairs(more.where(F.col("n") >= _need(num, den))), "pairs"), docs, num, den), "links")
