@@ -126,6 +126,6 @@ def dedup_order(selection: DataFrame) -> DataFrame:
     from .dedup import dedup_selection
 
     raw = selection.agg(F.count_if(recipes.base() & is_valid_id(C("smiles"))).alias("n_raw_passing"))
-    rows = dedup_selection(selection, recipes.RAW_EVIDENCE)
+    rows = dedup_selection(selection, recipes.raw_evidence())
     first = rows.agg(F.count_if(recipes.base()).alias("n_dedup_first"), F.count_if(C("own_evidence") == 1).alias("n_threshold_first"))
     return raw.crossJoin(first)  # one row each

@@ -72,7 +72,9 @@ class Labelled:
     rows: DataFrame
 
 
-RAW_EVIDENCE = F.max(_yes(base()).cast("int")).alias("own_evidence")
+def raw_evidence() -> Column:
+    """An aggregate: whether a raw row passes the base recipe by itself."""
+    return F.max(_yes(base()).cast("int")).alias("own_evidence")
 
 #: recipe: name, and its predicate over the shared aggregate
 RECIPES: dict[str, tuple[str, Callable[..., Column]]] = {
@@ -89,7 +91,7 @@ RECIPES: dict[str, tuple[str, Callable[..., Column]]] = {
 
 def deduplicated(selection: DataFrame) -> DataFrame:
     """The one aggregate that all recipes share."""
-    return dedup_selection(selection, RAW_EVIDENCE, zscore=True)
+    return dedup_selection(selection, raw_evidence(), zscore=True)
 
 
 def version(key: str, value: float | None = None) -> str:
