@@ -72,6 +72,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
 
 
+def value_prefix(values: np.ndarray) -> np.ndarray:
+    """The same over a sequence of 64-bit values."""
+    out = np.zeros(len(values) + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(values) * _powers(len(values) + 1)[0][:-1], out=out[1:])
+    return out
+
+
 class Chunk:
     """Some consecutive rows of a batch: their bytes laid end to end."""
 

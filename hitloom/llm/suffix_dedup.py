@@ -192,15 +192,15 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i8")])
 
 
-def _firsts(head: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(head: np.ndarray, content: np.ndarray, start: str = "start") -> tuple[np.ndarray, np.ndarray]:
     """Which phrases are the first with their content, and which are repeats of an earlier one."""
-    order = np.lexsort((head["start"], head["key"], head["doc"], content))
+    order = np.lexsort((head[start], head["key"], head["doc"], content))
     new = np.append(True, content[order][1:] != content[order][:-1])
     first_of = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     first = np.zeros(len(head), dtype=bool)
     first[order[new]] = True
     repeat = np.zeros(len(head), dtype=bool)
-    repeat[order] = (head["key"][order] != head["key"][first_of]) | (head["start"][order] != head["start"][first_of])
+    repeat[order] = (head["key"][order] != head["key"][first_of]) | (head[start][order] != head[start][first_of])
     return first, repeat & ~first
 
 
