@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding
+from . import oracles, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,25 +74,25 @@ def op10(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", oracles.shingle_components(5, 3, 4))
 def op9(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-@query("op6_suffix_dedup")
+@query("op6_suffix_dedup", oracles.removal(100))
 def op6(spark, sf_dir):
     from .suffix_dedup import removal
 
     return removal(table(spark, sf_dir, "documents"))
 
 
-@query("op3_stupid_backoff")
+@query("op3_stupid_backoff", oracles.backoff(0.4, 2))
 def op3(spark, sf_dir):
     from .stupid_backoff import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
 
 
 @query("op8_passage_dedup")
