@@ -8,6 +8,8 @@ of bytes other than 0x20 and 0x09-0x0D.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -234,6 +236,23 @@ def erase(spark, *frames) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batch_rows(spark, n: int) -> None:
+    """From now on Arrow batches have at most n rows: bounds what the JVM and Python hold of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def lean(run):
+    """A batch function whose worker gives freed memory back when a task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -269,4 +288,4 @@ def sieved(rows, ids, id_name: str):
             h = b.column(b.num_columns - 1).to_numpy()
             yield b.select(range(b.num_columns - 1)).filter(pa.array((bits[h >> 6] >> (h & 63).astype(U64)) & U64(1) == 1))
 
-    return rows.withColumn("sieve_", place).mapInArrow(run, rows.schema)
+    return rows.withColumn("sieve_", place).mapInArrow(lean(run), rows.schema)

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Chunk, distinct_per_row, gram_hashes, mix, partitions, sieved, text_chunks, word_hashes, written
+from .common import U64, Chunk, batch_rows, distinct_per_row, gram_hashes, lean, mix, partitions, sieved, text_chunks, word_hashes, written
 from .components import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ SHORT = 16
 BLOCKS = 256
 MEMBERS = 256
 SEEN, COMMON, MAX_COMMON = 3, 12, 131_072  # in a batch, in all, and how many are told apart
-BATCH = 4000
+BATCH = 2500
 ROW_BLOCK = 800_000
 WIDE = 64
 BEST = 6
@@ -117,7 +117,7 @@ def classify(docs: DataFrame) -> DataFrame:
                 u, n = u[n >= SEEN], n[n >= SEEN]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(n, pa.int32()), pa.array(u.view(np.int64)), pa.array(np.ones(len(u)), pa.int32()), pa.nulls(len(u), pa.binary())], names=[*CLASSES])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in CLASSES.items()))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ", ".join(f"{k} {v}" for k, v in CLASSES.items()))
 
 
 def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, num: int, den: int) -> DataFrame:
@@ -167,7 +167,7 @@ def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, num: int, de
             packed = [low[o].tobytes() + cls[o].tobytes() + n[o].tobytes() for o in (order[cuts[k] : cuts[k + 1]] for k in used)]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "entries"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, entries binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "block int, entries binary")
 
 
 def _fits(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cls[at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int32()), pa.nulls(len(at), pa.int32())], names=["a", "b", "n", "na", "nb"])
 
     spark = blocks.sparkSession
-    return blocks.repartitionById(partitions(spark), "block").mapInArrow(run, PAIR)
+    return blocks.repartitionById(partitions(spark), "block").mapInArrow(lean(run), PAIR)
 
 
 def _need(num: int, den: int):
@@ -283,7 +283,7 @@ def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
                         found[1].append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    ready = sieved(text, asked, "id").join(asked, "id").select("text", "groups", "id").mapInArrow(sets, "a long, part int, id long, members binary")
+    ready = sieved(text, asked, "id").join(asked, "id").select("text", "groups", "id").mapInArrow(lean(sets), "a long, part int, id long, members binary")
     ready = ready.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
     return ready.mapInArrow(check, "a long, b long").distinct()
 
@@ -342,21 +342,12 @@ def across(place: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                     swap = a != me
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(overlap[j], pa.int64()), pa.array(np.where(swap, n[j], n[i]), pa.int32()), pa.array(np.where(swap, n[i], n[j]), pa.int32())], names=["a", "b", "n", "na", "nb"])
 
-    return entries.repartitionById(blocks * blocks, "block").mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
+    return entries.repartitionById(blocks * blocks, "block").mapInArrow(lean(run), PAIR).dropDuplicates(["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id of each document, links from similarity num / den on."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(BATCH))  # bounds what a Python worker holds
-    try:
-        return _components(docs, num, den)
-    finally:
-        conf.set(name, before)
-
-
-def _components(docs: DataFrame, num: int, den: int) -> DataFrame:
+    batch_rows(docs.sparkSession, BATCH)
     spark = docs.sparkSession
     rows = written(classify(docs), "classes")
     own = rows.where("kind = 0").select("doc_id", "n", "cls")

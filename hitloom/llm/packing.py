@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions, written
+from .common import batch_rows, lean, partitions, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict = {}
@@ -60,7 +60,7 @@ def cut_pieces(docs: DataFrame, ranks: str, pattern: str, window: int, end_id: i
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -138,6 +138,7 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, end_id: int = 1, bin_width: int = 16) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
     spark = docs.sparkSession
+    batch_rows(spark, 2500)
     bins = window // bin_width
     pieces = written(cut_pieces(docs, ranks, pattern, window, end_id), "pieces")
     shards = partitions(spark)

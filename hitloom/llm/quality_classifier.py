@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import distinct_per_row, text_chunks, word_hashes
+from .common import batch_rows, distinct_per_row, lean, text_chunks, word_hashes
 from .quality_rules import _sums, base_features
 
 THRESHOLD = 0.3
@@ -205,6 +205,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> AdditiveModel:
     """Fit to a bounded sample of the labelled rows that aren't held out."""
+    batch_rows(docs.sparkSession, 2500)
     known = labels.select(F.col("doc_id").cast("long").alias("id_"), F.col("quality").cast("int").alias("y_")).where("id_ is not null and y_ is not null")
     known = known.where(F.crc32(F.col("id_").cast("string").cast("binary")) % 5 != 0).groupBy("id_").agg(F.max("y_").alias("y_"))
     sample = known.orderBy(F.xxhash64("id_"), "id_").limit(max_train)
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Additi
             x = batch_features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    found = rows.mapInArrow(run, "x array<double>, y int").toArrow()
+    found = rows.mapInArrow(lean(run), "x array<double>, y int").toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
@@ -232,7 +233,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out")).mapInArrow(lean(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -243,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.score(batch_features(b.column("text").cast(pa.string()))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, partitions, text_chunks, word_hashes
+from .common import U64, batch_rows, lean, mix, partitions, text_chunks, word_hashes
 
 ALPHA = 0.4
 MIN_COUNT = 2
@@ -158,6 +158,7 @@ PART = "batch long, block int, packed binary"
 def scores(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, as the module says."""
     spark = docs.sparkSession
+    batch_rows(spark, 10_000)  # a batch shares a dictionary of words
     blocks = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_words(rows.select("text"))
@@ -244,6 +245,6 @@ def scores(docs: DataFrame) -> DataFrame:
             late[at] += np.frombuffer(raw[8 + 12 * r :], np.uint32, r)
         return pa.table({"doc_id": pa.array(ids, mask=null), "n_words": words, "n_backoff": late, "log_score": value})
 
-    sent = rows.mapInArrow(send, PART)
+    sent = rows.mapInArrow(lean(send), PART)
     dealt = sent.withColumn("deal", F.when(F.col("block") >= 0, F.col("block")).otherwise(F.pmod(F.xxhash64("batch"), F.lit(blocks)).cast("int")))
-    return dealt.repartitionById(blocks, "deal").select("batch", "block", "packed").mapInArrow(join, PART).groupBy("batch").applyInArrow(gather, SCHEMA)
+    return dealt.repartitionById(blocks, "deal").select("batch", "block", "packed").mapInArrow(lean(join), PART).groupBy("batch").applyInArrow(gather, SCHEMA)

@@ -42,7 +42,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Chunk, partitions, prefix_hash, span_hash, text_chunks
+from .common import U64, Chunk, batch_rows, lean, partitions, prefix_hash, span_hash, text_chunks
 
 LENGTH = 100
 GRAM = 32
@@ -184,9 +184,9 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
         k, marks = _parts(key[order[twice]], ordinal[order[twice]], blocks)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(marks, pa.binary())], names=["part", "packed"])
 
-    sent = rows.select("key", "text").mapInArrow(send, "block int, part int, packed binary")
+    sent = rows.select("key", "text").mapInArrow(lean(send), "block int, part int, packed binary")
     dealt = sent.withColumn("deal", F.coalesce("block", "part")).repartitionById(blocks, "deal").select("block", "part", "packed")
-    return by_key(dealt.mapInArrow(find, "part int, packed binary"), blocks, "marks")
+    return by_key(dealt.mapInArrow(lean(find), "part int, packed binary"), blocks, "marks")
 
 
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i8")])
@@ -321,9 +321,9 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
         k, spans = _spans(*(np.concatenate(x) for x in zip(*out, strict=True)), blocks)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(spans, pa.binary())], names=["part", "packed"])
 
-    sent = rows.select("key", "id", "text", "marks").mapInArrow(send, "block int, part int, packed binary")
+    sent = rows.select("key", "id", "text", "marks").mapInArrow(lean(send), "block int, part int, packed binary")
     dealt = sent.withColumn("deal", F.coalesce("block", "part")).repartitionById(blocks, "deal").select("block", "part", "packed")
-    return by_key(dealt.mapInArrow(find, "part int, packed binary"), blocks, "spans")
+    return by_key(dealt.mapInArrow(lean(find), "part int, packed binary"), blocks, "spans")
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -337,6 +337,7 @@ def union(spans: np.ndarray) -> np.ndarray:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """id, text and spans (packed, null: none) of each row."""
+    batch_rows(docs.sparkSession, 10_000)  # phrases that repeat in a batch are sent once
     blocks = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))  # all uses read the same columns, so that the text is exchanged once
