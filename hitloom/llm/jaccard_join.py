@@ -33,7 +33,7 @@ components is found, copies aren't expanded into pairs.
 Defined cases: a null text has no words; documents without words have no
 shingle and only themselves as component; fewer than five words are one
 shingle; repeated rows are copies of each other; a null id's component is that of
-its copies that have one, or null; an empty table gives no rows; other
+its copies that have one, or null, and no link is followed through it; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -397,7 +397,7 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The first document of each component, once, with all its columns; rows without an id stay unless a copy has one."""
+    """The first document of each component, once, with all its columns; rows without an id stay."""
     own = jaccard_components(docs)
     ids = docs["doc_id"].cast("long")
     gone = own.where("doc_id != component_id").select(F.col("doc_id").alias("gone_"))
