@@ -289,10 +289,10 @@ def _(s, d):
     return _r(_submission(s, d)[1])
 
 
-@query("submission_problems", "SELECT 'not 49 selected' AS problem UNION ALL SELECT 'row count differs from the template' UNION ALL SELECT 'ids differ from the template'")
+@query("submission_problems", "SELECT 'not 51 selected' AS problem UNION ALL SELECT 'row count differs from the template' UNION ALL SELECT 'ids differ from the template'")
 def _(s, d):
     template, rows = _submission(s, d)
-    return validation.scored_list_problems(rows.where("CatalogID != 'D0'"), template, 49 if rows.where("CatalogID = 'D0' and Sel_50 = 1").isEmpty() else 48).withColumn("problem", F.regexp_replace("problem", "not 48", "not 49"))
+    return validation.scored_list_problems(rows.where("CatalogID != 'D0'"), template, 51)
 
 
 RK = f"ranked AS ({fx.RANKED}), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_idx) AS rn FROM ranked), n AS (SELECT count(*) AS n, sum(label) AS p FROM ranked)"
