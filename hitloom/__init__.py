@@ -11,7 +11,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def ship(spark) -> None:
     """Let the session's Python workers import this package, unless they find it by their path anyway."""
-    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    found = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if any(p and os.path.realpath(p) == os.path.realpath(_ROOT) for p in found):
         return
     context = spark.sparkContext
