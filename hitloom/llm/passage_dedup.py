@@ -14,20 +14,20 @@ place, as longer strings are unions of such ones.
    functions.  The kept windows of the first ``CARRY`` functions are sent with
    their tokens to the blocks of their signatures.
 3. There each window is compared with the earlier ones of its signature, in
-   corpus order: the longest string around the shared token of which enough
-   tokens occur in the other window is verified by the exact Jaccard
-   similarity of the token sets, 0.75 or more.  Its words are repeats.
+   corpus order, that share a rare enough token with it, at whatever place:
+   the words of the longest string around the shared token that has an exact
+   Jaccard similarity of 0.75 or more with one of the other window are repeats.
 
 Spans of repeats go back to their documents; the first of near-duplicate
 passages stays.  Two passages of similarity s are found if at least AGREE of
 HASHES hash functions agree on them, one of the first CARRY among these:
 always for equal passages, with probability 0.91 at s = 0.75 for each string
-of MIN_WORDS words that they share (longer passages have many).  A window is
-compared with the earlier ones of its signature until one of them explains it;
-where a signature has more than FEW different windows, with those that share
-a pair of token triples with it, which a similar string does.  A window with
-fewer than TOKENS / 2 different tokens (one word over and over) is compared
-for equal strings alone, with PARTNERS of those.
+of MIN_WORDS words that they share (longer passages have many).  The
+rule for which windows are compared is the same at all sizes and loses no
+similar string, as ``_Lists`` proves.  A window is compared with the earlier
+ones of its lists until one of them explains it.  A window with fewer than
+TOKENS / 2 different tokens (one word over and over) is compared for equal
+strings alone.
 
 Defined cases: a null text is empty; texts under MIN_WORDS words stay whole;
 a null id is smaller than all others; rows with equal id and text are one
@@ -54,9 +54,6 @@ SIDE = TOKENS - 1
 WIDTH = 2 * SIDE + 1
 HASHES, AGREE, CARRY = 4, 2, 2
 NUM, DEN = 3, 4
-PARTNERS = 6
-FEW = 24
-LEAST = -(-2 * NUM * TOKENS // (NUM + DEN))  # tokens that match in a string of TOKENS, at least
 _LOW = U64(0xFFFFFFFF)
 SCHEMA = "doc_id long, n_words long, n_removed_words long, n_spans long, kept_sha256 string"
 
@@ -127,147 +124,203 @@ class Windows:
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i8"), ("left", "<i4"), ("right", "<i4")])
 
 
-def _longest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of matches (1), mismatches (0) and no token (-1) around the middle: the longest string with enough matches."""
-    m = len(hit)
-    total = np.zeros((m, WIDTH + 1), dtype=np.int32)
-    # J >= NUM/DEN between equally long strings needs 2 NUM of NUM + DEN tokens to match.
-    weight = np.where(hit > 0, DEN - NUM, np.where(hit == 0, -2 * NUM, -(1 << 16)))
-    np.cumsum(weight, axis=1, out=total[:, 1:])
-    best, lo, hi = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
-    for x in range(SIDE + 1):
-        for_y = total[:, max(SIDE, x + TOKENS - 1) + 1 :] - total[:, x : x + 1] >= 0
-        if not for_y.shape[1]:
-            continue
-        y = WIDTH - 1 - np.argmax(for_y[:, ::-1], axis=1)
-        size = np.where(for_y.any(axis=1), y - x + 1, 0)
-        more = size > best
-        best[more], lo[more], hi[more] = size[more], x, y[more]
-    return best > 0, lo, hi
+def _reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far from the shared token each token of b next is in the same row of a, on its left and on its right; TOKENS if it isn't there."""
+    same = (b[:, :, None] == a[:, None, :]) & (b != 0)[:, :, None]
+    out = []
+    for side in (same[:, :, SIDE::-1], same[:, :, SIDE:]):
+        k = side.argmax(axis=2)
+        out.append(np.where(np.take_along_axis(side, k[:, :, None], axis=2)[:, :, 0], k, TOKENS))
+    return out[0], out[1]
+
+
+def _own(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The reach of each window's tokens in itself, and one place of each different token."""
+    step = np.arange(WIDTH)
+    left = np.tile(np.where(step <= SIDE, SIDE - step, TOKENS).astype(np.int8), (len(grid), 1))
+    right = np.tile(np.where(step >= SIDE, step - SIDE, TOKENS).astype(np.int8), (len(grid), 1))
+    s = np.sort(grid, axis=1)
+    twice = np.flatnonzero(((s[:, 1:] == s[:, :-1]) & (s[:, 1:] != 0)).any(axis=1))
+    for k in range(0, len(twice), 256):
+        at = twice[k : k + 256]
+        left[at], right[at] = _reach(grid[at], grid[at])
+    return left, right, (grid != 0) & (step == np.where(left < TOKENS, SIDE - left, SIDE + right))
+
+
+def _least_distinct(grid: np.ndarray) -> np.ndarray:
+    """The fewest different tokens that a string of TOKENS in each window has."""
+    out = np.full(len(grid), TOKENS)
+    s = np.sort(grid, axis=1)
+    twice = np.flatnonzero(((s[:, 1:] == s[:, :-1]) & (s[:, 1:] != 0)).any(axis=1))
+    for k in range(0, len(twice), 256):
+        g = grid[twice[k : k + 256]]
+        order = np.argsort(g, axis=1, kind="stable")
+        s = np.take_along_axis(g, order, axis=1)
+        last = np.full(g.shape, -1)
+        np.put_along_axis(last, order[:, 1:], np.where(s[:, 1:] == s[:, :-1], order[:, :-1], -1), axis=1)
+        for x in range(SIDE + 1):
+            whole = (g[:, x : x + TOKENS] != 0).all(axis=1)
+            n = (last[:, x : x + TOKENS] < x).sum(axis=1)
+            out[twice[k : k + 256]] = np.minimum(out[twice[k : k + 256]], np.where(whole, n, TOKENS))
+    return out
 
 
-def _run(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the string around the middle that matches throughout."""
-    left = np.argmax(np.append(hit[:, SIDE::-1] != 1, np.ones((len(hit), 1), dtype=bool), axis=1), axis=1) - 1
-    right = np.argmax(np.append(hit[:, SIDE:] != 1, np.ones((len(hit), 1), dtype=bool), axis=1), axis=1) - 1
-    return left + right + 1 >= TOKENS, SIDE - left, SIDE + right
+def _within(left: np.ndarray, right: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How many used tokens each string (i tokens to the left, j to the right) of each row holds: rows, i, j."""
+    m, n = len(left), TOKENS + 1
+    row = np.broadcast_to(np.arange(m)[:, None], left.shape)
+    right = np.where(left == 0, TOKENS, right)  # the shared token is in all strings
+    total = [np.bincount((row * n + x)[use], minlength=m * n).reshape(m, n)[:, :TOKENS].cumsum(axis=1, dtype=np.int16) for x in (left, right)]
+    out = total[0][:, :, None] + total[1][:, None, :]
+    two = use & (left < TOKENS) & (right < TOKENS)
+    some = np.flatnonzero(two.any(axis=1))
+    if len(some):
+        new = np.cumsum(two.any(axis=1)) - 1
+        count = np.bincount(((new[row] * n + left) * n + right)[two], minlength=len(some) * n * n).reshape(len(some), n, n)
+        out[some] -= count[:, :TOKENS, :TOKENS].cumsum(axis=1).cumsum(axis=2).astype(np.int16)
+    return out
 
 
-def _members(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Which tokens of each row of b are anywhere in the same row of a; 0 is no token."""
-    out = np.zeros(b.shape, dtype=bool)
-    for k in range(0, len(b), 512):
-        out[k : k + 512] = (b[k : k + 512, :, None] == a[k : k + 512, None, :]).any(axis=2)
-    return out & (b != 0)
-
-
-def _similar(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Whether the strings [lo, hi] of each row have token sets of Jaccard similarity NUM / DEN or more."""
-    column = np.arange(WIDTH)
-    inside = (column >= lo[:, None]) & (column <= hi[:, None])
-    a, b = np.where(inside, a, 0), np.where(inside, b, 0)
-    both, na, nb = _members(b, a).sum(axis=1), (a != 0).sum(axis=1), (b != 0).sum(axis=1)
-    out = DEN * both >= NUM * (na + nb - both)
-    twice = np.zeros(len(a), dtype=bool)
-    for x in (a, b):
-        s = np.sort(x, axis=1)
-        twice |= ((s[:, 1:] == s[:, :-1]) & (s[:, 1:] != 0)).any(axis=1)
-    for i in np.flatnonzero(twice):  # repeated tokens count once
-        sa, sb = set(a[i].tolist()) - {0}, set(b[i].tolist()) - {0}
-        out[i] = DEN * len(sa & sb) >= NUM * len(sa | sb)
-    return out
+def _warp(mine: np.ndarray, other: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the other window's string goes to hold what matches in mine, by steps of mine; and the step at which each distance is reached."""
+    use = use & (mine < TOKENS) & (other < TOKENS)
+    far = np.zeros((len(mine), TOKENS), dtype=np.int64)
+    row = np.broadcast_to(np.arange(len(mine))[:, None], mine.shape)
+    np.maximum.at(far, (row[use], mine[use]), other[use])
+    far = np.maximum.accumulate(far, axis=1)
+    return far, (far[:, None, :] < np.arange(TOKENS + 1)[None, :, None]).sum(axis=2)
 
 
-def _context_keys(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window 13 hashes of two token triples, 25 tokens apart, at fixed places; and which there are.
+def _longest(a: np.ndarray, b: np.ndarray, own_a, own_b, reach) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of rows the longest string of b around the middle that is similar to one of a: whether there is one, first and last place.
 
-    The 18 triples start five tokens apart on both sides of the shared token.
-    A string of TOKENS around it holds at least eight neighbouring triples, so
-    at least three disjoint pairs of them.  At most a seventh of its tokens
-    don't match: one replaced word, which spoils two triples at most.  So two
-    windows with a similar string agree in a pair, and windows that only have
-    a short line in common never do.
+    Jaccard similarities are exact for all strings of b against the string of
+    a that is as long on both sides, and against the one that reaches as far
+    as what matches (words put in or left out shift it).  Both strings have at
+    least TOKENS tokens.
     """
-    at = [SIDE - 5 * (k - 1) - 3 for k in range(9, 0, -1)] + [SIDE + 5 * (k - 1) + 1 for k in range(1, 10)]
-    g = grid.astype(U64)
-    with np.errstate(over="ignore"):
-        triple = np.stack([mix(g[:, x] * U64(3) + mix(g[:, x + 1]) * U64(5) + mix(g[:, x + 2] + U64(1)) * U64(7)) for x in at], axis=1)
-        there = np.stack([(grid[:, x : x + 3] != 0).all(axis=1) for x in at], axis=1)
-        keys = np.stack([mix(triple[:, j] * U64(3) + triple[:, j + 5] + U64(j)) for j in range(13)], axis=1)
-    return keys, there[:, :13] & there[:, 5:]
+    step = np.arange(TOKENS)
+    (la, ra, use_a), (lb, rb, use_b), (lo, ro) = own_a, own_b, reach
+    shared = use_b & ((lo < TOKENS) | (ro < TOKENS))
+    ends = [((g[:, :SIDE] != 0).sum(axis=1), (g[:, SIDE + 1 :] != 0).sum(axis=1)) for g in (a, b)]
+    size = step[:, None] + step[None, :] + 1
+    inside = (size >= TOKENS) & (step[None, :, None] <= ends[1][0][:, None, None]) & (step[None, None, :] <= ends[1][1][:, None, None])
+    n_b, own = _within(lb, rb, use_b), _within(lb, rb, shared)
+
+    def good(lo, ro, la, ra, length):
+        n_a = _within(la, ra, use_a)
+        both = own + _within(lo, ro, shared) - _within(np.minimum(lb, lo), np.minimum(rb, ro), shared)
+        return (length >= TOKENS) & (DEN * both >= NUM * (n_a + n_b - both))
+
+    ok = inside & good(lo, ro, la, ra, np.minimum(step, ends[0][0][:, None])[:, :, None] + np.minimum(step, ends[0][1][:, None])[:, None, :] + 1)
+    moved = np.flatnonzero((shared & ((lo != lb) | (ro != rb))).any(axis=1))
+    if len(moved):
+        la, ra, use_a, lb, rb, lo, ro, shared, n_b, own = (x[moved] for x in (la, ra, use_a, lb, rb, lo, ro, shared, n_b, own))
+        (far_l, at_l), (far_r, at_r) = _warp(lb, lo, shared), _warp(rb, ro, shared)
+        by = [np.take_along_axis(t, x.astype(np.int64), axis=1) for t, x in ((at_l, lo), (at_r, ro), (at_l, la), (at_r, ra))]
+        ok[moved] |= inside[moved] & good(*by, far_l[:, :, None] + far_r[:, None, :] + 1)
+    score = np.where(ok, size, 0).reshape(len(a), -1)
+    best = score.argmax(axis=1)
+    return score[np.arange(len(a)), best] > 0, SIDE - best // TOKENS, SIDE + best % TOKENS
 
 
-def _runs(head: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lists of windows that may be similar, in corpus order: members, for each its list's start, its place in it, and how many partners it has at least.
+def _run(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The string around the middle that matches throughout."""
+    left = np.argmax(np.append(hit[:, SIDE::-1] != 1, np.ones((len(hit), 1), dtype=bool), axis=1), axis=1) - 1
+    right = np.argmax(np.append(hit[:, SIDE:] != 1, np.ones((len(hit), 1), dtype=bool), axis=1), axis=1) - 1
+    return left + right + 1 >= TOKENS, SIDE - left, SIDE + right
+
 
-    All windows of a signature are one list if there are at most FEW; else
-    those of them that share a context key.
+class _Lists:
+    """An inverted index of windows sorted by signature and corpus order: an entry for each different token of a window, by window.
+
+    ``member[start + r]`` for r < ``index`` are the earlier windows of the
+    signature with that token, wherever they have it.  A string of at least
+    TOKENS tokens with Jaccard similarity NUM / DEN shares at least
+    ``need`` = NUM / DEN of its own different tokens, so two windows with
+    similar strings have one of the ``rare`` tokens in common: all but
+    ``need`` - 1 of each, rarest first.
     """
-    first = np.flatnonzero(np.append(True, head["hash"][1:] != head["hash"][:-1]))
-    size = np.diff(np.append(first, len(head)))
-    group = np.repeat(np.arange(len(first)), size)
-    few = np.flatnonzero(size[group] <= FEW)
-    many = np.flatnonzero(size[group] > FEW)
-    keys, there = _context_keys(grid[many])
-    which, _ = np.nonzero(there)
-    member = np.concatenate([few, many[which]])
-    key = np.concatenate([group[few].astype(U64), mix(keys[there] ^ mix(group[many[which]].astype(U64)))])
-    large = np.concatenate([np.zeros(len(few), dtype=bool), np.ones(len(which), dtype=bool)])
-    order = np.lexsort((member, key, large))
-    member, key, large = member[order], key[order], large[order]
-    if not len(member):
-        return member, member, member, member
-    cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (large[1:] != large[:-1])))
-    size = np.diff(np.append(cut, len(member)))
-    start = np.repeat(cut, size)
-    return member, start, np.arange(len(member)) - start, np.where(large, 1, PARTNERS)
+
+    def __init__(self, head: np.ndarray, grid: np.ndarray):
+        self.need = -(-NUM * _least_distinct(grid) // DEN)
+        w, p = np.nonzero(grid)
+        token = grid[w, p]
+        order = np.lexsort((p, token, w))
+        w, p, token = w[order], p[order], token[order]
+        new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (token[1:] != token[:-1])))
+        self.first, self.last = p[new], p[np.append(new[1:], len(p)) - 1]
+        self.window, token = w[new], token[new]
+        group = np.cumsum(np.append(False, head["hash"][1:] != head["hash"][:-1])).astype(U64)
+        key = group[self.window] << U64(32) | token.astype(U64)
+        by = np.argsort(key, kind="stable")
+        self.member = self.window[by]
+        cut = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        size = np.diff(np.append(cut, len(by)))
+        self.start, many = np.empty(len(by), dtype=np.int64), np.empty(len(by), dtype=np.int64)
+        self.start[by], many[by] = np.repeat(cut, size), np.repeat(size, size)
+        self.index = np.empty(len(by), dtype=np.int64)
+        self.index[by] = np.arange(len(by)) - np.repeat(cut, size)
+        order = np.lexsort((token, many, self.window))
+        n = np.bincount(self.window, minlength=len(head))
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[order] = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
+        self.rare = rank <= (n - self.need)[self.window]
 
 
 def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Repeats among windows sorted by signature and corpus order: places in head, first token and the one behind the last, about the place.
 
-    A window is compared with the earlier ones of its lists in order.  Windows
-    of which fewer than three of the 16 tokens next to the shared one match
-    are told apart by that alone: at most a seventh of a similar string's
-    tokens, 13, don't match.
+    A window is compared with the earlier ones of its lists in order, one in
+    each round.
     """
-    member, start, index, partners = _runs(head, grid)
-    explained, whole = np.zeros(len(head), dtype=bool), np.zeros(len(head), dtype=bool)
-    close = np.ascontiguousarray(grid[:, SIDE - 8 : SIDE + 9])
+    lists = _Lists(head, grid)
+    left, right, use = _own(grid)
     bitmap = np.zeros((len(head), 256), dtype=bool)
     bitmap[np.arange(len(head))[:, None], grid & 255] = True  # which last bytes a window's tokens have
-    values = np.sort(grid, axis=1)
-    poor = ((values[:, 1:] != values[:, :-1]) & (values[:, 1:] != 0)).sum(axis=1) < TOKENS // 2
-    out, r, left = [], 0, np.arange(len(member))
+    found = np.zeros(len(head), dtype=bool)
+    lo, hi = np.full(len(head), SIDE), np.full(len(head), SIDE)  # what is explained
+    poor = _least_distinct(grid) < TOKENS // 2
+    live = np.flatnonzero(lists.index > 0)
+    cursor = np.zeros(len(lists.index), dtype=np.int64)
+    out = []
     while True:
-        left = left[(index[left] > r) & ((~explained & ~poor)[member[left]] | ((r < partners[left]) & ~whole[member[left]]))]
-        if not len(left):
+        w = lists.window[live]
+        live = live[(cursor[live] < lists.index[live]) & ~found[w] & lists.rare[live]]
+        if not len(live):
             break
-        pairs = np.unique(np.stack([member[start[left] + r], member[left]], axis=1), axis=0)
-        other, mine = pairs[:, 0], pairs[:, 1]
-        ok = ((close[mine] == close[other]) & (close[mine] != 0)).sum(axis=1) > 3
-        ok &= (head["key"][other] != head["key"][mine]) | (head["place"][other] != head["place"][mine])
-        for at_ in np.array_split(np.flatnonzero(ok), -(-max(1, int(ok.sum())) // 8192)):
-            source, part = other[at_], mine[at_]
-            a, b = grid[source], grid[part]
-            equal, lo, hi = _run(np.where(b == 0, -1, (a == b).astype(np.int8)).astype(np.int8))
-            out.append(np.stack([part, lo - SIDE, hi - SIDE + 1], axis=1)[equal])
-            full = equal & (lo == SIDE - head["left"][part]) & (hi == SIDE + head["right"][part] - 1)
-            whole[part[full]] = explained[part[equal]] = True
-            rest = np.flatnonzero(~full & (~equal | (r < 2)) & ~poor[part])
-            marks = bitmap[source[rest][:, None], b[rest] & 255] & (b[rest] != 0)
-            rest = rest[marks.sum(axis=1) >= LEAST]
-            a, b = a[rest], b[rest]
-            shared = _members(b, a)
-            some = shared.sum(axis=1) >= LEAST
-            rest, a, b, shared = rest[some], a[some], b[some], shared[some]
-            near, x, y = _longest(np.where(b == 0, -1, shared.astype(np.int8)).astype(np.int8))
-            near &= ~equal[rest] | (x < lo[rest]) | (y > hi[rest])
-            at = np.flatnonzero(near)
-            at = at[_similar(a[at], b[at], x[at], y[at])]
-            out.append(np.stack([part[rest[at]], x[at] - SIDE, y[at] - SIDE + 1], axis=1))
-            explained[part[rest[at]]] = True
-        r += 1
+        w = lists.window[live]
+        on = np.arange(len(live))
+        partner = lists.member[lists.start[live[on]] + cursor[live[on]]]
+        cut = np.flatnonzero(np.append(True, w[on][1:] != w[on][:-1]))
+        other, mine = np.minimum.reduceat(partner, cut), w[on][cut]
+        cursor[live[on]] += partner == np.repeat(other, np.diff(np.append(cut, len(on))))
+        ok = (head["key"][other] != head["key"][mine]) | (head["place"][other] != head["place"][mine])
+        at = np.flatnonzero(ok)
+        for part in np.array_split(at, -(-max(1, len(at)) // 512)):
+            a_, b_ = other[part], mine[part]
+            marks = bitmap[a_[:, None], grid[b_] & 255] & (grid[b_] != 0)
+            some = marks.sum(axis=1) >= np.maximum(lists.need[a_], lists.need[b_])
+            a_, b_ = a_[some], b_[some]
+            if not len(a_):
+                continue
+            a, b = grid[a_], grid[b_]
+            equal, x, y = _run(np.where(b == 0, -1, (a == b).astype(np.int8)).astype(np.int8))
+            spans = [np.stack([b_, x - SIDE, y - SIDE + 1], axis=1)[equal]]
+            full = equal & (x == SIDE - head["left"][b_]) & (y == SIDE + head["right"][b_] - 1)
+            rest = np.flatnonzero(~full & ~poor[b_])
+            reach = _reach(a[rest], b[rest])
+            some = (use[b_[rest]] & ((reach[0] < TOKENS) | (reach[1] < TOKENS))).sum(axis=1) >= np.maximum(lists.need[a_], lists.need[b_])[rest]
+            rest, reach = rest[some], (reach[0][some], reach[1][some])
+            if len(rest):
+                p, q = a_[rest], b_[rest]
+                near, x, y = _longest(a[rest], b[rest], (left[p], right[p], use[p]), (left[q], right[q], use[q]), reach)
+                spans.append(np.stack([q, x - SIDE, y - SIDE + 1], axis=1)[near])
+            got = np.concatenate(spans)
+            np.minimum.at(lo, got[:, 0], got[:, 1] + SIDE)
+            np.maximum.at(hi, got[:, 0], got[:, 2] + SIDE)
+            found[got[:, 0]] = True
+            out.append(got)
     return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
@@ -347,7 +400,7 @@ def repeated_passages(rows: DataFrame, blocks: int) -> DataFrame:
         at = at[np.lexsort((head["place"][at], head["key"][at], head["doc"][at], head["hash"][at]))]
         out, lo = [], 0
         while lo < len(at):
-            hi = min(lo + 50_000, len(at))
+            hi = min(lo + 10_000, len(at))
             while hi < len(at) and head["hash"][at[hi]] == head["hash"][at[hi - 1]]:
                 hi += 1
             own = at[lo:hi]
