@@ -25,9 +25,8 @@ always for equal passages, with probability 0.91 at s = 0.75 for each string
 of MIN_WORDS words that they share (longer passages have many).  The
 rule for which windows are compared is the same at all sizes and loses no
 similar string, as ``_Lists`` proves.  A window is compared with the earlier
-ones of its lists until one of them explains it.  A window with fewer than
-TOKENS / 2 different tokens (one word over and over) is compared for equal
-strings alone.
+ones of its lists until its whole extent is explained or none is left that
+shares a token outside of what is explained.  Equal windows are one.
 
 Defined cases: a null text is empty; texts under MIN_WORDS words stay whole;
 a null id is smaller than all others; rows with equal id and text are one
@@ -244,35 +243,45 @@ class _Lists:
 
     def __init__(self, head: np.ndarray, grid: np.ndarray):
         self.need = -(-NUM * _least_distinct(grid) // DEN)
-        w, p = np.nonzero(grid)
-        token = grid[w, p]
-        order = np.lexsort((p, token, w))
-        w, p, token = w[order], p[order], token[order]
-        new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (token[1:] != token[:-1])))
-        self.first, self.last = p[new], p[np.append(new[1:], len(p)) - 1]
-        self.window, token = w[new], token[new]
-        group = np.cumsum(np.append(False, head["hash"][1:] != head["hash"][:-1])).astype(U64)
-        key = group[self.window] << U64(32) | token.astype(U64)
+        n = np.zeros(len(head), dtype=np.int32)  # different tokens, here those that no other window has
+        group = np.cumsum(np.append(False, head["hash"][1:] != head["hash"][:-1])).astype(U64) << U64(32)
+        key = (group[:, None] | grid)[grid != 0]
+        by = np.argsort(key, kind="stable")
+        new = np.append(True, key[by][1:] != key[by][:-1])
+        alone = np.zeros(len(key), dtype=bool)
+        alone[by] = new & np.append(new[1:], True)
+        del by, new
+        w, p = (x.astype(np.int32) for x in np.nonzero(grid))
+        n += np.bincount(w[alone], minlength=len(head)).astype(np.int32)
+        w, p, key = w[~alone], p[~alone].astype(np.int8), key[~alone]
+        del alone
+        order = np.lexsort((p, key, w))
+        w, p, key = w[order], p[order], key[order]
+        new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (key[1:] != key[:-1]))[: len(w)])
+        self.first, self.last = p[new], p[np.append(new[1:], len(p)) - 1] if len(p) else p
+        self.window, key = w[new], key[new]
         by = np.argsort(key, kind="stable")
         self.member = self.window[by]
-        cut = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        cut = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])[: len(by)])
         size = np.diff(np.append(cut, len(by)))
-        self.start, many = np.empty(len(by), dtype=np.int64), np.empty(len(by), dtype=np.int64)
+        self.start, many = np.empty(len(by), dtype=np.int32), np.empty(len(by), dtype=np.int32)
         self.start[by], many[by] = np.repeat(cut, size), np.repeat(size, size)
-        self.index = np.empty(len(by), dtype=np.int64)
+        self.index = np.empty(len(by), dtype=np.int32)
         self.index[by] = np.arange(len(by)) - np.repeat(cut, size)
-        order = np.lexsort((token, many, self.window))
-        n = np.bincount(self.window, minlength=len(head))
-        rank = np.empty(len(by), dtype=np.int64)
-        rank[order] = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
-        self.rare = rank <= (n - self.need)[self.window]
+        order = np.lexsort((key, many, self.window))
+        more = np.bincount(self.window, minlength=len(head)).astype(np.int32)
+        rank = np.empty(len(by), dtype=np.int32)
+        rank[order] = np.arange(len(by)) - np.repeat(np.cumsum(more) - more, more)
+        self.rare = rank + n[self.window] <= (n + more - self.need)[self.window]
 
 
 def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Repeats among windows sorted by signature and corpus order: places in head, first token and the one behind the last, about the place.
 
     A window is compared with the earlier ones of its lists in order, one in
-    each round.
+    each round, until its whole extent is explained or the lists are used up.
+    Once a part is explained, a window that shares no token outside of it has
+    no word to add and is passed over.
     """
     lists = _Lists(head, grid)
     left, right, use = _own(grid)
@@ -280,24 +289,28 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
     bitmap[np.arange(len(head))[:, None], grid & 255] = True  # which last bytes a window's tokens have
     found = np.zeros(len(head), dtype=bool)
     lo, hi = np.full(len(head), SIDE), np.full(len(head), SIDE)  # what is explained
-    poor = _least_distinct(grid) < TOKENS // 2
     live = np.flatnonzero(lists.index > 0)
-    cursor = np.zeros(len(lists.index), dtype=np.int64)
+    cursor = np.zeros(len(lists.index), dtype=np.int32)
     out = []
     while True:
         w = lists.window[live]
-        live = live[(cursor[live] < lists.index[live]) & ~found[w] & lists.rare[live]]
+        # Behind a find, all tokens outside what is explained count, else the rare ones.
+        on = np.where(found[w], (lists.first[live] < lo[w]) | (lists.last[live] >= hi[w]), lists.rare[live])
+        on &= cursor[live] < lists.index[live]
+        more = np.zeros(len(head), dtype=bool)
+        more[w[on]] = True
+        keep = more[w] & (cursor[live] < lists.index[live]) & (on | ~found[w])
+        live, on = live[keep], np.flatnonzero(on[keep])
         if not len(live):
             break
         w = lists.window[live]
-        on = np.arange(len(live))
         partner = lists.member[lists.start[live[on]] + cursor[live[on]]]
         cut = np.flatnonzero(np.append(True, w[on][1:] != w[on][:-1]))
         other, mine = np.minimum.reduceat(partner, cut), w[on][cut]
         cursor[live[on]] += partner == np.repeat(other, np.diff(np.append(cut, len(on))))
         ok = (head["key"][other] != head["key"][mine]) | (head["place"][other] != head["place"][mine])
         at = np.flatnonzero(ok)
-        for part in np.array_split(at, -(-max(1, len(at)) // 512)):
+        for part in np.array_split(at, -(-max(1, len(at)) // 256)):
             a_, b_ = other[part], mine[part]
             marks = bitmap[a_[:, None], grid[b_] & 255] & (grid[b_] != 0)
             some = marks.sum(axis=1) >= np.maximum(lists.need[a_], lists.need[b_])
@@ -308,7 +321,7 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
             equal, x, y = _run(np.where(b == 0, -1, (a == b).astype(np.int8)).astype(np.int8))
             spans = [np.stack([b_, x - SIDE, y - SIDE + 1], axis=1)[equal]]
             full = equal & (x == SIDE - head["left"][b_]) & (y == SIDE + head["right"][b_] - 1)
-            rest = np.flatnonzero(~full & ~poor[b_])
+            rest = np.flatnonzero(~full)
             reach = _reach(a[rest], b[rest])
             some = (use[b_[rest]] & ((reach[0] < TOKENS) | (reach[1] < TOKENS))).sum(axis=1) >= np.maximum(lists.need[a_], lists.need[b_])[rest]
             rest, reach = rest[some], (reach[0][some], reach[1][some])
@@ -400,7 +413,7 @@ def repeated_passages(rows: DataFrame, blocks: int) -> DataFrame:
         at = at[np.lexsort((head["place"][at], head["key"][at], head["doc"][at], head["hash"][at]))]
         out, lo = [], 0
         while lo < len(at):
-            hi = min(lo + 10_000, len(at))
+            hi = min(lo + 5_000, len(at))
             while hi < len(at) and head["hash"][at[hi]] == head["hash"][at[hi - 1]]:
                 hi += 1
             own = at[lo:hi]

@@ -84,3 +84,29 @@ def test_longest_is_that_of_brute_force():
             q = set(b[0, x[0] : y[0] + 1].tolist())
             strings = [set(a[0, lo : hi + 1].tolist()) - {0} for lo in range(side + 1) for hi in range(max(side, lo + tokens - 1), width)]
             assert any(4 * len(p & q) >= 3 * len(p | q) for p in strings)
+
+
+@pytest.mark.parametrize("changed", [0, 1])
+def test_repeated_lines_are_compared_with_all(changed):
+    rng = random.Random(8)
+    line, texts = words(rng, 5), []
+    for _ in range(12):
+        own = words(rng, 9)
+        texts.append(own * 5 + line + own * 5)
+    own = list(texts[8][9:-9])
+    for k in range(changed):
+        own[20] = "other"
+    texts.append(words(rng, 9) + own + words(rng, 9))
+    found = passage_dedup._compare(*windows(texts, [45] * 13))
+    assert set(found[:, 0].tolist()) == {12}
+    assert found[:, 1].min() <= -36 and found[:, 2].max() >= 37
+
+
+def test_a_window_is_compared_until_all_of_it_is_explained():
+    rng = random.Random(9)
+    text = words(rng, 120)
+    texts = [words(rng, 20) + text[20:72] + words(rng, 48) for _ in range(10)]
+    texts += [words(rng, 50) + text[50:105] + words(rng, 15), text]
+    found = passage_dedup._compare(*windows(texts, [60] * 12))
+    own = found[found[:, 0] == 11]
+    assert own[:, 1].min() <= -40 and own[:, 2].max() >= 41
