@@ -1,5 +1,6 @@
 """Passages with words put in, left out or replaced, in many contexts, and repeated lines."""
 
+import math
 import random
 import zlib
 
@@ -110,3 +111,27 @@ def test_a_window_is_compared_until_all_of_it_is_explained():
     found = passage_dedup._compare(*windows(texts, [60] * 12))
     own = found[found[:, 0] == 11]
     assert own[:, 1].min() <= -40 and own[:, 2].max() >= 41
+
+
+@pytest.mark.parametrize("change", ["put in", "left out", "replaced"])
+def test_shifted_passages_in_many_contexts(spark, change):
+    rng = random.Random(7)
+    passage = words(rng, 60)
+    texts, where = [], []
+    for k in range(40):
+        own = list(passage)
+        if k >= 30:
+            at = 20 + 2 * (k - 30)
+            own[at : at + (change != "put in")] = [] if change == "left out" else words(rng, 1)
+        before = words(rng, 60)
+        texts.append(" ".join(before + own + words(rng, 60)))
+        where.append((len(before), len(before) + len(own)))
+    gone = removed(spark, texts)
+    assert not gone[0].any()
+    assert all(g[a + 4 : e - 4].all() for g, (a, e) in zip(gone[1:], where[1:]))
+
+
+def test_hash_functions_miss_next_to_nothing():
+    h, least = passage_dedup.HASHES, passage_dedup.AGREE
+    assert sum(math.comb(h, k) * 0.75**k * 0.25 ** (h - k) for k in range(least)) < 0.001
+    assert h - passage_dedup.CARRY < least  # whichever functions agree, one of them carries windows
