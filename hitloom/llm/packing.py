@@ -15,8 +15,8 @@ bin.
 
 Defined cases: a null text is empty, and an empty text is its end id alone;
 repeated rows are packed each on their own; other columns are ignored; an
-empty table gives no rows; special tokens' strings in a text are ordinary
-text.
+empty table gives no rows; an added token's string in a text is that token, as
+the tokenizers library has it by default.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import batch_rows, lean, partitions, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+ADDED = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json
 _ENCODERS: dict = {}
 
 
@@ -41,7 +42,7 @@ def encoder(ranks: str, pattern: str):
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
-        _ENCODERS[ranks] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        _ENCODERS[ranks] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=ADDED)
     return _ENCODERS[ranks]
 
 
@@ -53,7 +54,7 @@ def cut_pieces(docs: DataFrame, ranks: str, pattern: str, window: int, end_id: i
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array(enc.encode_ordinary(text.as_py() or "") + [end_id], dtype="<u4")
+                ids = np.array(enc.encode(text.as_py() or "", allowed_special="all") + [end_id], dtype="<u4")
                 for start in range(0, len(ids), window):
                     own = ids[start : start + window]
                     for k, v in enumerate((doc, start, len(own), zlib.crc32(own.tobytes()), len(ids))):
