@@ -2,10 +2,11 @@
 
 A modified Kneser-Ney model of order three over 64 symbol classes of UTF-8
 bytes is counted by Spark for each language, over every document: tasks add
-up dense counts, the JVM sums them by (language, n-gram).  The table is
-bounded (64**3 n-grams for each of at most ``max_languages`` languages, the
-rest pooled), so the driver smooths it and sends it out as sorted arrays of
-n-gram codes with their log probabilities.  Each language's model is mixed
+up dense counts, the JVM sums them by (language, n-gram).  Every language has a
+model and a band of its own, however many there are.  The table is bounded
+(64**3 n-grams a language), so the driver smooths it and sends it out as sorted
+arrays of the n-grams seen in each language with their probabilities, and the
+lower order's for the others.  Each language's model is mixed
 half and half with that of all languages, so that a passage in another
 language doesn't make a document junk.  A document whose perplexity is
 outside the band of its language is rejected, beside those that fail the base
@@ -30,6 +31,7 @@ from .common import IS_SPACE, batch_rows, distinct_per_row, gram_hashes, lean, p
 SYMBOLS = 64
 ORDER = 3
 CODES = SYMBOLS**ORDER
+TABLES = 16  # dense tables, of one language each, that a task holds at once
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -120,20 +122,27 @@ def count_grams(docs: DataFrame, slot_of: dict) -> DataFrame:
 
     def run(batches):
         dense: dict[int, np.ndarray] = {}
+
+        def full():
+            for s, n in dense.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["slot", "code", "n"])
+            dense.clear()
+
         for b in batches:
             langs = b.column(1).to_pylist()
             for c in text_chunks(b.column(0)):
                 if len(c.data) < ORDER:
                     continue
                 codes, inside = grams(c)
-                slots = np.array([slot_of.get(x, 0) for x in langs[c.lo : c.hi]], dtype=np.int64)
+                slots = np.array([slot_of[x] for x in langs[c.lo : c.hi]], dtype=np.int64)
                 by_byte = np.repeat(slots, np.diff(c.offsets))[2:]
                 for s in np.unique(slots):
+                    if s not in dense and len(dense) >= TABLES:
+                        yield from full()
                     found = np.bincount(codes[inside & (by_byte == s)], minlength=CODES)
                     dense[s] = dense[s] + found if s in dense else found
-        for s, n in dense.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["slot", "code", "n"])
+        yield from full()
 
     found = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "slot int, code int, n long")
     return found.groupBy("slot", "code").agg(F.sum("n").alias("n"))
@@ -147,50 +156,62 @@ def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(np.clip(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05, k + 0.95)) for k in range(3))
 
 
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """One level of interpolated Kneser-Ney: counts[context, symbol] over lower[..., symbol]."""
+def _level(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level of interpolated Kneser-Ney for counts[context, symbol]: the own part, and the weight of the lower level."""
     d1, d2, d3 = _discounts(counts)
     d = np.select([counts == 1, counts == 2, counts >= 3], [d1, d2, d3], 0.0)
     total = counts.sum(axis=-1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         own = np.where(total > 0, (counts - d) / total, 0.0)
         rest = np.where(total > 0, d.sum(axis=-1, keepdims=True) / total, 1.0)
-    return own + rest * lower
+    return own, rest
 
 
-def smooth(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney log probabilities of all n-grams from their counts."""
+def _levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The own part and the weight of the lower level of the highest order, and the lower level's probabilities."""
     c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
     c2 = (c3 > 0).sum(axis=0).astype(float)
     c1 = (c2 > 0).sum(axis=0).astype(float)
-    p1 = _level(c1[None, :], np.full((1, SYMBOLS), 1.0 / SYMBOLS))
-    p2 = _level(c2, p1)
-    return np.log(_level(c3, p2[None, :, :])).astype(np.float32).ravel()
+    own, rest = _level(c1[None, :])
+    p1 = own + rest / SYMBOLS
+    own, rest = _level(c2)
+    return *_level(c3), own + rest * p1
+
+
+def smooth(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney log probabilities of all n-grams from their counts."""
+    own, rest, lower = _levels(counts)
+    return np.log(own + rest * lower).astype(np.float32).ravel()
 
 
 class PerplexityModel:
-    """Per language: sorted codes of seen n-grams, their log probabilities, and the lower order's for the others."""
+    """Per language: sorted codes of seen n-grams, their own part, and the lower level that is added to all; and the model of all languages."""
 
-    def __init__(self, slot_of: dict, counts: dict[int, np.ndarray]):
+    def __init__(self, slot_of: dict, counts):
+        """counts gives pairs of a slot and its dense counts, one at a time."""
         self.slot_of, self.sorted = slot_of, {}
-        every = np.exp(smooth(sum(counts.values())).astype(float)) if counts else None
-        for s, c in counts.items():
-            p = np.log((np.exp(smooth(c).astype(float)) + every) / 2).astype(np.float32)
+        total = np.zeros(CODES, dtype=np.int64)
+        for s, c in counts:
+            total += c
+            own, rest, lower = _levels(c)
             seen = np.flatnonzero(c).astype(np.int32)
-            unseen = np.flatnonzero(c == 0).astype(np.int32)
-            # Unseen n-grams share their lower-order value; kept by code too.
-            self.sorted[s] = (seen, p[seen], unseen, p[unseen].astype(np.float16))
+            self.sorted[s] = (seen, own.ravel()[seen].astype(np.float32), rest.astype(np.float32), lower.astype(np.float32))
+        self.every = np.exp(smooth(total).astype(float)).astype(np.float32)
         self._dense: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
-        return {"slot_of": self.slot_of, "sorted": self.sorted, "_dense": {}}
+        return {"slot_of": self.slot_of, "sorted": self.sorted, "every": self.every, "_dense": {}}
 
     def table(self, slot: int) -> np.ndarray:
         if slot not in self._dense:
             out = np.full(CODES, np.log(1.0 / SYMBOLS), dtype=np.float32)
             if slot in self.sorted:
-                seen, p, unseen, q = self.sorted[slot]
-                out[seen], out[unseen] = p, q
+                seen, own, rest, lower = self.sorted[slot]
+                p = (rest * lower).ravel()
+                p[seen] += own
+                out = np.log((p + self.every) / 2)
+            while len(self._dense) >= TABLES:
+                del self._dense[next(iter(self._dense))]
             self._dense[slot] = out
         return self._dense[slot]
 
@@ -200,7 +221,7 @@ class PerplexityModel:
         if len(chunk.data) < ORDER:
             return np.full(rows, np.nan)
         codes, inside = grams(chunk)
-        slots = np.array([self.slot_of.get(x, 0) for x in langs], dtype=np.int64)
+        slots = np.array([self.slot_of[x] for x in langs], dtype=np.int64)
         by_byte = np.repeat(slots, np.diff(chunk.offsets))[2:]
         logp = np.zeros(len(codes) + 2)
         for s in np.unique(slots):
@@ -212,18 +233,24 @@ class PerplexityModel:
             return np.where(n > 0, -_sums(np.where(use, logp, 0.0), chunk.offsets) / np.maximum(n, 1), np.nan)
 
 
-def fit_model(docs: DataFrame, max_languages: int = 16) -> PerplexityModel:
-    """Count all documents; slot 0 pools the languages beyond the largest ones."""
+def fit_model(docs: DataFrame) -> PerplexityModel:
+    """Count all documents by language; a slot is a language's number."""
     batch_rows(docs.sparkSession, 2500)
-    largest = docs.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), F.asc_nulls_first("lang")).limit(max_languages - 1).collect()
-    slot_of = {r[0]: k + 1 for k, r in enumerate(largest)}
+    languages = docs.select(F.col("lang").cast("string").alias("lang")).distinct().orderBy(F.asc_nulls_first("lang")).collect()
+    slot_of = {r[0]: k for k, r in enumerate(languages)}
     found = count_grams(docs, slot_of).toArrow()
     slot, code, n = (found.column(k).to_numpy() for k in ("slot", "code", "n"))
-    counts = {}
-    for s in np.unique(slot):
-        counts[int(s)] = np.zeros(CODES, dtype=np.int64)
-        counts[int(s)][code[slot == s]] = n[slot == s]
-    return PerplexityModel(slot_of, counts)
+    order = np.argsort(slot, kind="stable")
+    slot, code, n = slot[order], code[order], n[order]
+
+    def counts():
+        for s in np.unique(slot):
+            own = slice(*np.searchsorted(slot, [s, s + 1]))
+            dense = np.zeros(CODES, dtype=np.int64)
+            dense[code[own]] = n[own]
+            yield int(s), dense
+
+    return PerplexityModel(slot_of, counts())
 
 
 def _judged(batch: pa.RecordBatch, text: str, lang: str, model: PerplexityModel):
@@ -233,7 +260,7 @@ def _judged(batch: pa.RecordBatch, text: str, lang: str, model: PerplexityModel)
     for c in text_chunks(batch.column(text).cast(pa.string())):
         parts.append(base_features(c) | {"log_perplexity": model.log_perplexity(c, langs[c.lo : c.hi])})
     out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {k: np.zeros(0) for k in [*FEATURES, "log_perplexity"]}
-    out["slot"] = np.array([model.slot_of.get(x, 0) for x in langs], dtype=np.int64)
+    out["slot"] = np.array([model.slot_of[x] for x in langs], dtype=np.int64)
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
     return out
 
@@ -257,32 +284,27 @@ def judge(docs: DataFrame, model: PerplexityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
-def fit_bands(judged: DataFrame, spread: float) -> dict[int, tuple[float, float]]:
-    """Lower and upper log perplexity for each language slot (at most max_languages rows)."""
+def fit_bands(judged: DataFrame, spread: float) -> DataFrame:
+    """Lower and upper log perplexity for each language: slot, low, high."""
     quart = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q")
-    out = {}
-    for slot, q in judged.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("slot").agg(quart).collect():
-        width = max(q[1] - q[0], 0.02) * spread
-        out[slot] = (q[0] - width, q[1] + width)
-    return out
+    found = judged.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("slot").agg(quart)
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.02)) * spread
+    return found.select("slot", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
 
 
 def quality_rules(docs: DataFrame, spread: float = 20.0) -> DataFrame:
     """One row for each document: base counts, perplexity, base_failed, kept."""
     judged = written(judge(docs, fit_model(docs)), "judged")
-    bands = fit_bands(judged, spread)
-    inside = F.lit(True)
-    for slot, (lo, hi) in sorted(bands.items()):
-        inside = F.when(F.col("slot") == slot, F.col("log_perplexity").between(lo, hi)).otherwise(inside)
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return judged.select("doc_id", *FEATURES, "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    kept = ~F.col("base_failed") & inside
+    return judged.join(F.broadcast(fit_bands(judged, spread)), "slot", "left").select("doc_id", *FEATURES, "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"))
 
 
 def keep_good(docs: DataFrame, spread: float = 20.0) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     model = fit_model(docs)
     judged = written(judge(docs, model), "judged")
-    bands = fit_bands(judged, spread)
+    bands = {r["slot"]: (r["low"], r["high"]) for r in fit_bands(judged, spread).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
