@@ -1,23 +1,32 @@
 """Quality rules with n-gram perplexity bands (operator 4).
 
-A modified Kneser-Ney model of order three over 64 symbol classes of UTF-8
-bytes is counted by Spark for each language, over every document: tasks add
-up dense counts, the JVM sums them by (language, n-gram).  Every language has a
-model and a band of its own, however many there are.  The table is bounded
-(64**3 n-grams a language), so the driver smooths it and sends it out as sorted
-arrays of the n-grams seen in each language with their probabilities, and the
-lower order's for the others.  Each language's model is mixed
-half and half with that of all languages, so that a passage in another
-language doesn't make a document junk.  A document whose perplexity is
-outside the band of its language is rejected, beside those that fail the base
-rules.  The band is fitted to all documents that pass the base rules: from
-``spread`` interquartile ranges under the first quartile of log perplexity to
-as many above the third.
+A modified Kneser-Ney model of order four over UTF-8 bytes is counted by Spark
+for each language, over every document: tasks count n-grams exactly, the JVM
+sums them by (language, n-gram) and smooths them by aggregates and joins, level
+by level.  What leaves Spark are, for each language, sorted arrays of n-gram
+hashes with their own discounted share, and of context hashes with the weight
+of the level below.  A hash has ``BITS`` bits, so a language's arrays have at
+most ``3 * 2**BITS`` entries of eight bytes however large the corpus is;
+n-grams that fall on one hash add their shares.  Every language has a model, a
+broadcast and a band of its own, however many there are, and a task loads just
+those of the languages that it meets, ``TABLES`` at a time.
+
+Each language's model is mixed half and half with that of all languages, so
+that a passage in another language doesn't make a document junk.  A document
+whose perplexity is outside the band of its language is rejected, beside those
+that fail the base rules.  The band is fitted to all documents that pass the
+base rules, never to labels: from ``spread`` interquartile ranges under the
+first quartile of log perplexity (text that says too little: repetition, runs of
+symbols) to as many above the third (text that nothing else resembles).  The
+default of 3 is the usual outer fence of a box plot.
 
 Defined cases: a null text is empty (no words, so it fails); a document too
 short for an n-gram has perplexity null and only the base rules decide; a null
-language is a language of its own; repeated rows are judged each; further
-columns are ignored or, in ``keep_good``, passed on; an empty table gives none.
+language is a language of its own; very long texts are counted and scored as
+wholes, a chunk of rows at a time; repeated rows are judged each, alike; texts
+of equal perplexity are judged alike, and one on a band's edge stays; further
+columns are ignored or, in ``keep_good``, passed on, whatever their names; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,50 +34,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import IS_SPACE, batch_rows, distinct_per_row, gram_hashes, lean, prefix_hash, span_hash, text_chunks, written
+from .common import IS_SPACE, U64, batch_rows, distinct_per_row, gram_hashes, lean, mix, prefix_hash, span_hash, text_chunks, written
 
-SYMBOLS = 64
-ORDER = 3
-CODES = SYMBOLS**ORDER
-TABLES = 16  # dense tables, of one language each, that a task holds at once
+ORDER = 4
+BITS = 21
+TABLES = 6  # languages whose tables a task holds at once
+HELD = 1 << 21  # n-grams that a task gathers before it passes them on
+SPREAD = 3.0
+EVERY = -1  # the slot of all languages together
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
 
-def _classes() -> np.ndarray:
-    """The symbol class of each byte; case and digits are folded."""
-    out = np.full(256, 34, dtype=np.int32)
-    out[:32] = 35
-    out[127] = 35
-    out[IS_SPACE] = 1
-    for k in range(26):
-        out[97 + k] = out[65 + k] = 2 + k
-    out[48:58] = 28
-    for k, group in ((29, b"."), (30, b","), (31, b"'\"`"), (32, b"()[]{}"), (33, b"#*$%&|<>")):
-        out[list(group)] = k
-    out[0x80:0xC0] = 36 + (np.arange(0x80, 0xC0) & 15)
-    out[0xC0:0xE0] = 52 + (np.arange(0xC0, 0xE0) & 7)
-    out[0xE0:0xF0] = 60 + (np.arange(0xE0, 0xF0) & 1)
-    out[0xF0:] = 62 + (np.arange(0xF0, 0x100) & 1)
-    return out
-
-
-_CLASS = _classes()
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def grams(chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each byte from the third of the chunk on, and whether they lie in one row."""
-    s = _CLASS[chunk.data]
-    codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    inside = np.ones(len(codes) + 2, dtype=bool)
+    """Codes (four bytes) of the n-grams that end at each byte from the fourth of the chunk on, and whether they lie in one row."""
+    s = chunk.data.astype(np.uint32)
+    codes = s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:]
+    inside = np.ones(len(codes) + ORDER - 1, dtype=bool)
     at = chunk.offsets[:-1]
     for k in range(ORDER - 1):
-        inside[np.minimum(at + k, len(inside) - 1)[at + k < len(inside)]] = False
-    return codes, inside[2:]
+        inside[(at + k)[at + k < len(inside)]] = False
+    return codes, inside[ORDER - 1 :]
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -118,16 +111,25 @@ def base_features(chunk) -> dict[str, np.ndarray]:
 
 
 def count_grams(docs: DataFrame, slot_of: dict) -> DataFrame:
-    """Counts by (slot, code) over all documents: slot int, code int, n long."""
+    """Counts by (slot, code) over all documents: slot int, code long, n long."""
 
     def run(batches):
-        dense: dict[int, np.ndarray] = {}
-
-        def full():
-            for s, n in dense.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["slot", "code", "n"])
-            dense.clear()
+        held: dict[int, list] = {}
+        size = 0
+
+        def merged(flush: bool):
+            nonlocal size
+            size = 0
+            for s, parts in list(held.items()):
+                code, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+                held[s] = [(code, n)]
+                size += len(code)
+            if flush or size > HELD // 2:
+                for s, ((code, n),) in held.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), s), pa.int32()), pa.array(code.astype(np.int64)), pa.array(n)], names=["slot", "code", "n"])
+                held.clear()
+                size = 0
 
         for b in batches:
             langs = b.column(1).to_pylist()
@@ -136,84 +138,106 @@ def count_grams(docs: DataFrame, slot_of: dict) -> DataFrame:
                     continue
                 codes, inside = grams(c)
                 slots = np.array([slot_of[x] for x in langs[c.lo : c.hi]], dtype=np.int64)
-                by_byte = np.repeat(slots, np.diff(c.offsets))[2:]
+                by_byte = np.repeat(slots, np.diff(c.offsets))[ORDER - 1 :]
                 for s in np.unique(slots):
-                    if s not in dense and len(dense) >= TABLES:
-                        yield from full()
-                    found = np.bincount(codes[inside & (by_byte == s)], minlength=CODES)
-                    dense[s] = dense[s] + found if s in dense else found
-        yield from full()
-
-    found = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "slot int, code int, n long")
+                    found = np.unique(codes[inside & (by_byte == s)], return_counts=True)
+                    held.setdefault(int(s), []).append(found)
+                    size += len(found[0])
+                if size > HELD:
+                    yield from merged(False)
+        yield from merged(True)
+
+    found = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "slot int, code long, n long")
     return found.groupBy("slot", "code").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    n = [np.count_nonzero(counts == k) for k in range(1, 5)]
-    if min(n[:3]) == 0:
-        return 0.5, 0.75, 0.9
-    y = n[0] / (n[0] + 2 * n[1])
-    return tuple(float(np.clip(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05, k + 0.95)) for k in range(3))
-
+def hashed(code: np.ndarray, order: int) -> np.ndarray:
+    """The place of n-grams in the arrays of their order: the code itself up to two bytes, else a hash of BITS bits."""
+    return code.astype(np.int64) if order < 3 else (mix(code.astype(U64) + U64(order << 40)) >> U64(64 - BITS)).astype(np.int64)
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """Interpolated modified Kneser-Ney from counts of the highest order: slot, order, own (else a context), code, share.
+
+    The share of an n-gram is its discounted count over that of its context;
+    that of a context is the weight of the level below.  Below the highest
+    order the count of an n-gram is how many different bytes stand before it.
+    """
+    out, rows = [], counts.select("slot", "code", F.col("n").cast("double").alias("n"))
+    for order in range(ORDER, 0, -1):
+        few = rows.groupBy("slot").agg(*(F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        fitted = F.least("n1", "n2", "n3") > 0
+        discounts = [F.when(fitted, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(flat)).alias(f"d{k}") for k, flat in ((1, 0.5), (2, 0.75), (3, 0.9))]
+        few = few.select("slot", *discounts)  # a row for each language
+        at = rows.join(F.broadcast(few), "slot").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        at = at.withColumn("context", F.shiftright("code", 8))
+        total = at.groupBy("slot", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("gone"))
+        out.append(at.join(total, ["slot", "context"]).select("slot", F.lit(order).alias("order"), F.lit(True).alias("own"), "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("share")))
+        out.append(total.select("slot", F.lit(order).alias("order"), F.lit(False).alias("own"), F.col("context").alias("code"), (F.col("gone") / F.col("total")).alias("share")))
+        rows = rows.groupBy("slot", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)).alias("code")).agg(F.count("*").cast("double").alias("n"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+class Tables:
+    """One model: for each order the sorted hashes of n-grams and of contexts, with their shares."""
+
+    def __init__(self, arrays: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]):
+        self.arrays = arrays
+        self._dense: dict = {}
 
-def _level(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level of interpolated Kneser-Ney for counts[context, symbol]: the own part, and the weight of the lower level."""
-    d1, d2, d3 = _discounts(counts)
-    d = np.select([counts == 1, counts == 2, counts >= 3], [d1, d2, d3], 0.0)
-    total = counts.sum(axis=-1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        own = np.where(total > 0, (counts - d) / total, 0.0)
-        rest = np.where(total > 0, d.sum(axis=-1, keepdims=True) / total, 1.0)
-    return own, rest
-
-
-def _levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The own part and the weight of the lower level of the highest order, and the lower level's probabilities."""
-    c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    c2 = (c3 > 0).sum(axis=0).astype(float)
-    c1 = (c2 > 0).sum(axis=0).astype(float)
-    own, rest = _level(c1[None, :])
-    p1 = own + rest / SYMBOLS
-    own, rest = _level(c2)
-    return *_level(c3), own + rest * p1
-
-
-def smooth(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney log probabilities of all n-grams from their counts."""
-    own, rest, lower = _levels(counts)
-    return np.log(own + rest * lower).astype(np.float32).ravel()
+    def __getstate__(self):
+        return {"arrays": self.arrays, "_dense": {}}
+
+    def share(self, order: int, own: bool, code: np.ndarray) -> np.ndarray:
+        """Of n-grams (0 if unseen) or of their contexts (1 if unseen)."""
+        length = order if own else order - 1
+        if (order, own) not in self._dense:
+            table = np.full(1 << (8 * length if length < 3 else BITS), 0.0 if own else 1.0, dtype=np.float32)
+            if (order, own) in self.arrays:
+                at, share = self.arrays[order, own]
+                table[at] = share
+            self._dense[order, own] = table
+        return self._dense[order, own][hashed(code, length)]
+
+    def probability(self, code: np.ndarray) -> np.ndarray:
+        p = np.full(len(code), 1 / 256, dtype=np.float32)
+        for order in range(1, ORDER + 1):
+            low = code & np.uint32((1 << 8 * order) - 1)
+            p = self.share(order, True, low) + self.share(order, False, low >> np.uint32(8)) * p
+        return p
+
+
+def _tables(order: np.ndarray, own: np.ndarray, at: np.ndarray, share: np.ndarray) -> Tables:
+    arrays = {}
+    for k in range(1, ORDER + 1):
+        for o in (True, False):
+            use = np.flatnonzero((order == k) & (own == o))
+            where, back = np.unique(at[use], return_inverse=True)
+            total = np.bincount(back, share[use]) / (1 if o else np.maximum(np.bincount(back), 1))
+            arrays[k, o] = (where.astype(np.int32), np.minimum(total, 1).astype(np.float32))
+    return Tables(arrays)
 
 
 class PerplexityModel:
-    """Per language: sorted codes of seen n-grams, their own part, and the lower level that is added to all; and the model of all languages."""
-
-    def __init__(self, slot_of: dict, counts):
-        """counts gives pairs of a slot and its dense counts, one at a time."""
-        self.slot_of, self.sorted = slot_of, {}
-        total = np.zeros(CODES, dtype=np.int64)
-        for s, c in counts:
-            total += c
-            own, rest, lower = _levels(c)
-            seen = np.flatnonzero(c).astype(np.int32)
-            self.sorted[s] = (seen, own.ravel()[seen].astype(np.float32), rest.astype(np.float32), lower.astype(np.float32))
-        self.every = np.exp(smooth(total).astype(float)).astype(np.float32)
-        self._dense: dict[int, np.ndarray] = {}
+    """A broadcast of tables for each language's slot, and one for all languages."""
+
+    def __init__(self, slot_of: dict, shared: dict):
+        self.slot_of, self.shared = slot_of, shared
+        self._held: dict[int, Tables] = {}
 
     def __getstate__(self):
-        return {"slot_of": self.slot_of, "sorted": self.sorted, "every": self.every, "_dense": {}}
-
-    def table(self, slot: int) -> np.ndarray:
-        if slot not in self._dense:
-            out = np.full(CODES, np.log(1.0 / SYMBOLS), dtype=np.float32)
-            if slot in self.sorted:
-                seen, own, rest, lower = self.sorted[slot]
-                p = (rest * lower).ravel()
-                p[seen] += own
-                out = np.log((p + self.every) / 2)
-            while len(self._dense) >= TABLES:
-                del self._dense[next(iter(self._dense))]
-            self._dense[slot] = out
-        return self._dense[slot]
+        return {"slot_of": self.slot_of, "shared": self.shared, "_held": {}}
+
+    def tables(self, slot: int) -> Tables:
+        if slot not in self._held:
+            while len(self._held) >= TABLES:
+                del self._held[next(k for k in self._held if k != EVERY)]
+            self._held[slot] = self.shared[slot].value if slot in self.shared else Tables({})
+        return self._held[slot]
 
     def log_perplexity(self, chunk, langs: list) -> np.ndarray:
         """Of each row; NaN without an n-gram."""
@@ -222,42 +246,55 @@ class PerplexityModel:
             return np.full(rows, np.nan)
         codes, inside = grams(chunk)
         slots = np.array([self.slot_of[x] for x in langs], dtype=np.int64)
-        by_byte = np.repeat(slots, np.diff(chunk.offsets))[2:]
-        logp = np.zeros(len(codes) + 2)
+        by_byte = np.repeat(slots, np.diff(chunk.offsets))[ORDER - 1 :]
+        every = self.tables(EVERY)
+        logp = np.zeros(len(chunk.data))
         for s in np.unique(slots):
-            own = by_byte == s
-            logp[2:][own] = self.table(int(s))[codes[own]]
-        use = np.concatenate([[False, False], inside])
-        n = _sums(use, chunk.offsets)
+            at = np.flatnonzero(inside & (by_byte == s))
+            for lo in range(0, len(at), 1 << 18):
+                some = at[lo : lo + (1 << 18)]
+                logp[some + ORDER - 1] = np.log((self.tables(int(s)).probability(codes[some]).astype(float) + every.probability(codes[some])) / 2)
+        n = _sums(np.concatenate([np.zeros(ORDER - 1, dtype=bool), inside]), chunk.offsets)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(n > 0, -_sums(np.where(use, logp, 0.0), chunk.offsets) / np.maximum(n, 1), np.nan)
+            return np.where(n > 0, -_sums(logp, chunk.offsets) / np.maximum(n, 1), np.nan)
 
 
 def fit_model(docs: DataFrame) -> PerplexityModel:
     """Count all documents by language; a slot is a language's number."""
-    batch_rows(docs.sparkSession, 2500)
+    spark = docs.sparkSession
+    batch_rows(spark, 2500)
     languages = docs.select(F.col("lang").cast("string").alias("lang")).distinct().orderBy(F.asc_nulls_first("lang")).collect()
     slot_of = {r[0]: k for k, r in enumerate(languages)}
-    found = count_grams(docs, slot_of).toArrow()
-    slot, code, n = (found.column(k).to_numpy() for k in ("slot", "code", "n"))
-    order = np.argsort(slot, kind="stable")
-    slot, code, n = slot[order], code[order], n[order]
-
-    def counts():
-        for s in np.unique(slot):
-            own = slice(*np.searchsorted(slot, [s, s + 1]))
-            dense = np.zeros(CODES, dtype=np.int64)
-            dense[code[own]] = n[own]
-            yield int(s), dense
-
-    return PerplexityModel(slot_of, counts())
+    counts = written(count_grams(docs, slot_of), "grams")
+    counts = counts.unionByName(counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("slot"), "code", "n"))
 
-
-def _judged(batch: pa.RecordBatch, text: str, lang: str, model: PerplexityModel):
+    def places(batches):
+        for b in batches:
+            order, own, code = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            at = np.zeros(len(code), dtype=np.int64)
+            for k in range(ORDER + 1):
+                use = np.where(own, order, order - 1) == k
+                at[use] = hashed(code[use].astype(np.uint32), k)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), pa.array(at), b.column(4)], names=["slot", "order", "own", "at", "share"])
+
+    # At most 2**BITS rows for each slot, order and kind.
+    found = levels(counts).mapInArrow(places, "slot int, order int, own boolean, at long, share double").groupBy("slot", "order", "own", "at")
+    found = found.agg(F.when(F.col("own"), F.sum("share")).otherwise(F.avg("share")).cast("float").alias("share")).toArrow()
+    slot, order, own, at, share = (found.column(k).to_numpy() for k in ("slot", "order", "own", "at", "share"))
+    by = np.argsort(slot, kind="stable")
+    slot, order, own, at, share = slot[by], order[by], own[by], at[by], share[by]
+    shared = {}
+    for s in np.unique(slot):
+        cut = slice(*np.searchsorted(slot, [s, s + 1]))
+        shared[int(s)] = spark.sparkContext.broadcast(_tables(order[cut], own[cut], at[cut], share[cut]))
+    return PerplexityModel(slot_of, shared)
+
+
+def _judged(batch: pa.RecordBatch, text: int, lang: int, model: PerplexityModel):
     """Features, log perplexity and slot of each row of a batch."""
-    langs = batch.column(lang).cast(pa.string()).to_pylist()
+    langs = batch.column(lang).to_pylist()
     parts = []
-    for c in text_chunks(batch.column(text).cast(pa.string())):
+    for c in text_chunks(batch.column(text)):
         parts.append(base_features(c) | {"log_perplexity": model.log_perplexity(c, langs[c.lo : c.hi])})
     out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {k: np.zeros(0) for k in [*FEATURES, "log_perplexity"]}
     out["slot"] = np.array([model.slot_of[x] for x in langs], dtype=np.int64)
@@ -265,23 +302,25 @@ def _judged(batch: pa.RecordBatch, text: str, lang: str, model: PerplexityModel)
     return out
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, log_perplexity double"
+COUNTS = {**{k: "long" for k in FEATURES}, "base_failed": "boolean", "slot": "int", "log_perplexity": "double"}
 
 
-def judge(docs: DataFrame, model: PerplexityModel) -> DataFrame:
-    """Features and log perplexity of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def judge(rows: DataFrame, model: PerplexityModel) -> DataFrame:
+    """Rows (the last two columns: text and language) with their features and log perplexity."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = rows.columns
 
     def run(batches):
         m = shared.value
         for b in batches:
-            j = _judged(b, "text", "lang", m)
+            j = _judged(b, len(names) - 2, len(names) - 1, m)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(j[k], pa.int64()) for k in FEATURES), pa.array(j["base_failed"], pa.bool_()), pa.array(j["slot"], pa.int32()), pa.array(j["log_perplexity"], pa.float64(), from_pandas=True)],
-                names=["doc_id", *FEATURES, "base_failed", "slot", "log_perplexity"],
+                [*b.columns[:-2], *(pa.array(j[k], pa.int64()) for k in FEATURES), pa.array(j["base_failed"], pa.bool_()), pa.array(j["slot"], pa.int32()), pa.array(j["log_perplexity"], pa.float64(), from_pandas=True)],
+                names=[*names[:-2], *COUNTS],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), SCHEMA)
+    schema = StructType(rows.schema.fields[:-2] + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in COUNTS.items())).fields)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def fit_bands(judged: DataFrame, spread: float) -> DataFrame:
@@ -292,28 +331,26 @@ def fit_bands(judged: DataFrame, spread: float) -> DataFrame:
     return found.select("slot", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
 
 
-def quality_rules(docs: DataFrame, spread: float = 20.0) -> DataFrame:
-    """One row for each document: base counts, perplexity, base_failed, kept."""
-    judged = written(judge(docs, fit_model(docs)), "judged")
+def _verdict(rows: DataFrame, spread: float) -> DataFrame:
+    """Judged rows, written once, with the column kept."""
+    judged = written(rows, "judged")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    kept = ~F.col("base_failed") & inside
-    return judged.join(F.broadcast(fit_bands(judged, spread)), "slot", "left").select("doc_id", *FEATURES, "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"))
+    return judged.join(F.broadcast(fit_bands(judged, spread)), "slot", "left").withColumn("kept", ~F.col("base_failed") & inside)  # a band for each language
 
 
-def keep_good(docs: DataFrame, spread: float = 20.0) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    model = fit_model(docs)
-    judged = written(judge(docs, model), "judged")
-    bands = {r["slot"]: (r["low"], r["high"]) for r in fit_bands(judged, spread).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def quality_rules(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """One row for each document: base counts, perplexity, base_failed, kept."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    return _verdict(judge(rows, fit_model(docs)), spread).select("doc_id", *FEATURES, "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"))
+
+
+def keep_good(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """The documents that the rules keep, with all their columns; each text is judged once and goes with its verdict."""
+    own = [f"own_{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*own).select(*own, docs_column(docs, own, "text"), docs_column(docs, own, "lang"))
+    kept = _verdict(judge(rows, fit_model(docs)), spread).where("kept")
+    return kept.select(*(F.col(o).alias(f.name) for o, f in zip(own, docs.schema.fields, strict=True)))
 
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            j = _judged(b, "text", "lang", m)
-            lo = np.array([bands.get(int(s), (-np.inf, np.inf))[0] for s in j["slot"]])
-            hi = np.array([bands.get(int(s), (-np.inf, np.inf))[1] for s in j["slot"]])
-            p = j["log_perplexity"]
-            yield b.filter(pa.array(~j["base_failed"] & (np.isnan(p) | ((p >= lo) & (p <= hi)))))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+def docs_column(docs: DataFrame, own: list[str], name: str):
+    return F.col(own[docs.columns.index(name)]).cast("string").alias(f"judged_{name}")

@@ -126,13 +126,6 @@ def test_quality_rules(docs, texts, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    counts = (rng.poisson(0.02, quality_rules.CODES) * rng.integers(1, 9, quality_rules.CODES)).astype(np.int64)
-    p = np.exp(quality_rules.smooth(counts).astype(float)).reshape(-1, quality_rules.SYMBOLS)
-    assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=1e-3)
-
-
 def test_quality_classifier(spark, docs, none):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["foo", "bar", "baz.", "qux"]) + ("###" if i % 3 == 0 else "") for _ in range(60)), "en") for i in range(300)]
