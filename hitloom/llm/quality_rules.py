@@ -39,7 +39,7 @@ from pyspark.sql.types import StructType
 from .common import IS_SPACE, U64, batch_rows, distinct_per_row, gram_hashes, lean, mix, prefix_hash, span_hash, text_chunks, written
 
 ORDER = 4
-BITS = 21
+BITS = 24
 TABLES = 6  # languages whose tables a task holds at once
 HELD = 1 << 21  # n-grams that a task gathers before it passes them on
 SPREAD = 3.0
@@ -151,9 +151,9 @@ def count_grams(docs: DataFrame, slot_of: dict) -> DataFrame:
     return found.groupBy("slot", "code").agg(F.sum("n").alias("n"))
 
 
-def hashed(code: np.ndarray, order: int) -> np.ndarray:
-    """The place of n-grams in the arrays of their order: the code itself up to two bytes, else a hash of BITS bits."""
-    return code.astype(np.int64) if order < 3 else (mix(code.astype(U64) + U64(order << 40)) >> U64(64 - BITS)).astype(np.int64)
+def hashed(code: np.ndarray, length: int) -> np.ndarray:
+    """The place of n-grams in the arrays of their order: the code itself up to three bytes, else a hash of BITS bits."""
+    return code.astype(np.int64) if 8 * length <= BITS else (mix(code.astype(U64)) >> U64(64 - BITS)).astype(np.int64)
 
 
 def levels(counts: DataFrame) -> DataFrame:
@@ -187,21 +187,15 @@ class Tables:
 
     def __init__(self, arrays: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]):
         self.arrays = arrays
-        self._dense: dict = {}
-
-    def __getstate__(self):
-        return {"arrays": self.arrays, "_dense": {}}
 
     def share(self, order: int, own: bool, code: np.ndarray) -> np.ndarray:
         """Of n-grams (0 if unseen) or of their contexts (1 if unseen)."""
-        length = order if own else order - 1
-        if (order, own) not in self._dense:
-            table = np.full(1 << (8 * length if length < 3 else BITS), 0.0 if own else 1.0, dtype=np.float32)
-            if (order, own) in self.arrays:
-                at, share = self.arrays[order, own]
-                table[at] = share
-            self._dense[order, own] = table
-        return self._dense[order, own][hashed(code, length)]
+        at, share = self.arrays.get((order, own), ((), ()))
+        if not len(at):
+            return np.full(len(code), 0.0 if own else 1.0, dtype=np.float32)
+        h = hashed(code, order if own else order - 1).astype(np.int32)
+        k = np.minimum(np.searchsorted(at, h), len(at) - 1)
+        return np.where(at[k] == h, share[k], np.float32(0.0 if own else 1.0))
 
     def probability(self, code: np.ndarray) -> np.ndarray:
         p = np.full(len(code), 1 / 256, dtype=np.float32)
@@ -251,9 +245,8 @@ class PerplexityModel:
         logp = np.zeros(len(chunk.data))
         for s in np.unique(slots):
             at = np.flatnonzero(inside & (by_byte == s))
-            for lo in range(0, len(at), 1 << 18):
-                some = at[lo : lo + (1 << 18)]
-                logp[some + ORDER - 1] = np.log((self.tables(int(s)).probability(codes[some]).astype(float) + every.probability(codes[some])) / 2)
+            code, back = np.unique(codes[at], return_inverse=True)
+            logp[at + ORDER - 1] = np.log((self.tables(int(s)).probability(code).astype(float) + every.probability(code)) / 2)[back]
         n = _sums(np.concatenate([np.zeros(ORDER - 1, dtype=bool), inside]), chunk.offsets)
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(n > 0, -_sums(logp, chunk.offsets) / np.maximum(n, 1), np.nan)
