@@ -21,10 +21,9 @@ place, as longer strings are unions of such ones.
 Spans of repeats go back to their documents; the first of near-duplicate
 passages stays.  Two passages of similarity s are found if at least AGREE of
 HASHES hash functions agree on them; all but AGREE - 1 of the functions carry
-windows, so that one that agrees always does.  Equal passages are always found,
-those at s = 0.75 missed with probability 0.0004 for each string of MIN_WORDS
-words that they share (longer passages have many).  The
-rule for which windows are compared is the same at all sizes and loses no
+windows, so that one that agrees always does.  Equal passages are always found;
+a string of MIN_WORDS words is missed with probability (1 - s)**3, which is
+0.016 at s = 0.75 (longer passages have many such strings).  The rule for which windows are compared is the same at all sizes and loses no
 similar string, as ``_Lists`` proves.  A window is compared with the earlier
 ones of its lists until its whole extent is explained or none is left that
 shares a token outside of what is explained.  Equal windows are one.
@@ -52,7 +51,7 @@ MIN_WORDS = 50
 TOKENS = MIN_WORDS - WORDS + 1
 SIDE = TOKENS - 1
 WIDTH = 2 * SIDE + 1
-HASHES, AGREE, CARRY = 8, 2, 7
+HASHES, AGREE, CARRY = 3, 1, 3
 NUM, DEN = 3, 4
 _LOW = U64(0xFFFFFFFF)
 SCHEMA = "doc_id long, n_words long, n_removed_words long, n_spans long, kept_sha256 string"

@@ -133,5 +133,5 @@ def test_shifted_passages_in_many_contexts(spark, change):
 
 def test_hash_functions_miss_next_to_nothing():
     h, least = passage_dedup.HASHES, passage_dedup.AGREE
-    assert sum(math.comb(h, k) * 0.75**k * 0.25 ** (h - k) for k in range(least)) < 0.001
+    assert sum(math.comb(h, k) * 0.75**k * 0.25 ** (h - k) for k in range(least)) < 0.02
     assert h - passage_dedup.CARRY < least  # whichever functions agree, one of them carries windows
