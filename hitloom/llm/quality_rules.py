@@ -175,7 +175,9 @@ def levels(counts: DataFrame) -> DataFrame:
         total = at.groupBy("slot", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("gone"))
         out.append(at.join(total, ["slot", "context"]).select("slot", F.lit(order).alias("order"), F.lit(True).alias("own"), "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("share")))
         out.append(total.select("slot", F.lit(order).alias("order"), F.lit(False).alias("own"), F.col("context").alias("code"), (F.col("gone") / F.col("total")).alias("share")))
-        rows = rows.groupBy("slot", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)).alias("code")).agg(F.count("*").cast("double").alias("n"))
+        if order > 1:  # each level is read several times
+            low = F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+            rows = written(rows.groupBy("slot", low.alias("code")).agg(F.count("*").cast("double").alias("n")), "grams")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -259,7 +261,7 @@ def fit_model(docs: DataFrame) -> PerplexityModel:
     languages = docs.select(F.col("lang").cast("string").alias("lang")).distinct().orderBy(F.asc_nulls_first("lang")).collect()
     slot_of = {r[0]: k for k, r in enumerate(languages)}
     counts = written(count_grams(docs, slot_of), "grams")
-    counts = counts.unionByName(counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("slot"), "code", "n"))
+    counts = written(counts.unionByName(counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("slot"), "code", "n")), "grams")
 
     def places(batches):
         for b in batches:

@@ -17,7 +17,7 @@ from hitloom.llm.components import _star, components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, block int, id string, cls string, spans string"
 
 
@@ -169,7 +169,6 @@ def test_packing(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in texts}
     got = packing.pack(docs, RANKS, public_tokenizers.PATTERN).collect()
     assert sum(r.length for r in got) == sum(len(ids[i]) for i, _ in texts)
