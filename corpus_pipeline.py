@@ -36,7 +36,7 @@ def without_repeated_passages(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [
