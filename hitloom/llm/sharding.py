@@ -10,9 +10,16 @@ all 60 bits (repeated ids) can't be told apart by hash; where such a bucket is
 too large it is cut into parts by running size.
 
 Sums are pre-aggregated before each shuffle and the shuffled rows hold no
-text.  Defined cases: a null text has no bytes; a null id is hashed as the
-empty string; repeated rows count each; a document over the limit gets a shard
-to itself; an empty table gives no rows; other columns are ignored.
+text.  Rows that are cut by running size are summed in slices, one for each
+task that read them, and slices are moved on by the sums of those before, so
+that an id that a third of all rows repeat needs no task of its own.
+
+Defined cases: a null text has no bytes, and a text of any length counts in
+full; a null id is hashed as the empty string and shares a bucket with the
+other null ids; repeated rows count each, and which of equal rows comes into
+which part is open; a document over the limit gets a shard to itself; an empty
+table gives no rows; other columns are ignored or, in ``write_shards``, written,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +48,15 @@ def _resolve(rows: DataFrame, least: int, depth: int, limit: int) -> DataFrame:
     return cells.select("cell").join(best, "cell", "left").select("cell", "m.*")
 
 
-def shard(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, n_bytes, depth, prefix, part and shard_bytes of each document."""
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), _hash(F.col("doc_id").cast("long")).alias("h")), "sizes")
+def _sizes(docs: DataFrame) -> dict:
+    """The columns that a plan needs of each document."""
+    sizes = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    return {"n_bytes": sizes, "h": _hash(F.col("doc_id").cast("long")), "slice": F.spark_partition_id()}
+
+
+def _plan(rows: DataFrame, limit: int) -> DataFrame:
+    """Written rows with n_bytes, h and slice: their depth, prefix, part and shard_bytes beside all else."""
+    names = rows.columns
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth, least, done = min(BITS, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + 3), 0, []
     while True:
@@ -51,32 +64,49 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
         done.append(found.where(F.col("d").isNotNull()))
         if depth == BITS:
             break
-        rows = written(found.where(F.col("d").isNull()).select("doc_id", "n_bytes", "h"), "oversized")
+        rows = written(found.where(F.col("d").isNull()).select(*names), "oversized")
         if rows.isEmpty():
             break
         least, depth = depth + 1, min(BITS, depth + 8)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.select("doc_id", "n_bytes", "h", F.col("d").alias("depth"), "prefix", "shard_bytes")
+    out = out.select(*names, F.col("d").cast("int").alias("depth"), "prefix", F.col("shard_bytes").cast("long").alias("shard_bytes"))
     fits = out.where(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
-    small = F.col("n_bytes") * 2 <= limit
-    order = Window.partitionBy("h", small).orderBy("n_bytes", "doc_id")
-    cut = out.where(F.col("shard_bytes") > limit)
-    before = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")
-    cut = cut.withColumn("part", F.when(small, F.floor(before * 2 / limit)).otherwise(-F.row_number().over(order)).cast("long"))
-    cut = cut.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("h", "part")))
-    return fits.unionByName(cut).select("doc_id", "n_bytes", F.col("depth").cast("int"), "prefix", "part", F.col("shard_bytes").cast("long"))
+    cut = out.where(F.col("shard_bytes") > limit).withColumn("small", F.col("n_bytes") * 2 <= limit)
+    slices = cut.groupBy("h", "small", "slice").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("k"))
+    ahead = Window.partitionBy("h", "small").orderBy("slice")  # a row for each task that read rows
+    slices = slices.select("h", "small", "slice", (F.sum("b").over(ahead) - F.col("b")).alias("bytes_before"), (F.sum("k").over(ahead) - F.col("k")).alias("rows_before"))
+    own = Window.partitionBy("h", "small", "slice").orderBy("n_bytes")
+    before = F.col("bytes_before") + F.sum("n_bytes").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")
+    cut = cut.join(slices, ["h", "small", "slice"])
+    cut = cut.withColumn("part", F.when(F.col("small"), F.floor(before * 2 / limit)).otherwise(-(F.col("rows_before") + F.row_number().over(own))).cast("long"))
+    parts = cut.groupBy("h", "part").agg(F.sum("n_bytes").cast("long").alias("part_bytes"))
+    cut = cut.join(parts, ["h", "part"]).withColumn("shard_bytes", F.col("part_bytes"))
+    return fits.unionByName(cut.select(*fits.columns))
+
+
+def shard(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id, n_bytes, depth, prefix, part and shard_bytes of each document."""
+    rows = docs.select(F.col("doc_id").cast("long"), *(c.alias(k) for k, c in _sizes(docs).items()))
+    return _plan(written(rows, "sizes"), limit).select("doc_id", "n_bytes", "depth", "prefix", "part", "shard_bytes")
 
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write documents as Parquet in one folder for each shard.
+def write_shards(docs: DataFrame, limit: int, path: str) -> str:
+    """Write documents as Parquet in one folder for each shard; the name of the column that the folders stand for.
 
-    A file's rows come from one shard, and tasks are made by shard and not by
-    bucket count, so that no task holds more than a few shards.
+    Rows carry their shard themselves, so that repeated and null ids go where
+    the plan put them.  Tasks are made by shard, no shard is larger than the
+    limit (but a document that is alone is), and no task holds more than a few.
     """
-    plan = shard(docs, limit).select("doc_id", F.concat_ws("-", "depth", "prefix", "part").alias("shard")).dropDuplicates(["doc_id"])
-    docs.join(plan, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    own = [f"own_{k}" for k in range(len(docs.columns))]
+    rows = written(docs.select(*(docs[c].alias(o) for c, o in zip(docs.columns, own, strict=True)), *(c.alias(k) for k, c in _sizes(docs).items())), "documents")
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    placed = _plan(rows, limit).select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)), F.concat_ws("-", "depth", "prefix", "part").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def oracle(limit: int) -> str:

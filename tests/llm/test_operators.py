@@ -84,6 +84,23 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none, 2000).count() == 0
 
 
+def test_write_shards(spark, docs, none, tmp_path):
+    rows = [(1, "x" * 900, "a", 5)] * 9 + [(None, "y" * 700, None, 6)] * 9 + [(None, None, "b", 7), (2, "z" * 50_000, "c", 8)] + [(k, "w" * (k % 500), "d", k) for k in range(3, 200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard string, slice int").repartition(3)
+    name = sharding.write_shards(frame, 2000, str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a")).collect()
+    assert name == "shard_"
+    assert collections.Counter(tuple(r[:4]) for r in back) == collections.Counter(rows)
+    sums, count = collections.Counter(), collections.Counter()
+    for r in back:
+        sums[r[name]] += len(r.text or "")
+        count[r[name]] += 1
+    assert all(v <= 2000 or count[k] == 1 for k, v in sums.items())
+    assert sharding.write_shards(docs, 4000, str(tmp_path / "b")) == "shard"
+    assert spark.read.parquet(str(tmp_path / "b")).count() == docs.count()
+    sharding.write_shards(none, 2000, str(tmp_path / "c"))
+
+
 def test_stupid_backoff(docs, texts, none):
     words = [(i, WORD.findall(t.translate(LOWER))) for i, t in texts]
     one, two = collections.Counter(), collections.Counter()
