@@ -18,7 +18,8 @@ place, as longer strings are unions of such ones.
    the words of the longest string around the shared token that has an exact
    Jaccard similarity of 0.75 or more with one of the other window are repeats.
 
-Spans of repeats go back to their documents; the first of near-duplicate
+Later copies of whole texts are found first, by a 128-bit digest, and take no
+part in this.  Spans of repeats go back to their documents; the first of near-duplicate
 passages stays.  Two passages of similarity s are found if at least AGREE of
 HASHES hash functions agree on them; all but AGREE - 1 of the functions carry
 windows, so that one that agrees always does.  Equal passages are always found;
@@ -43,7 +44,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Chunk, batch_rows, gram_hashes, lean, mix, partitions, span_hash, text_chunks, value_prefix, word_hashes
+from .common import U64, Chunk, batch_rows, gram_hashes, lean, mix, partitions, span_hash, text_chunks, value_prefix, word_hashes, written
 from .suffix_dedup import _by_block, _firsts, _spans, by_key, repeated_triggers, union
 
 WORDS = 5
@@ -120,7 +121,7 @@ class Windows:
         return marked & (run[last] > run[np.minimum(self.lo, len(run) - 1)])
 
 
-_HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i8"), ("left", "<i4"), ("right", "<i4")])
+_HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i4"), ("left", "<i2"), ("right", "<i2")])
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,16 +441,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return old.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
 
 
+_ALL = np.array([0, 1 << 62], dtype="<i8").tobytes()  # a span over whatever there is
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """key of the documents whose whole text an earlier document has: their windows say nothing new."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))  # 128 bits
+    short = rows.select("key", "id", digest.alias("digest")).where(F.length("text") >= MIN_WORDS)
+    first = short.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key")).alias("first"))
+    return short.join(first, "digest").where(F.col("key") != F.col("first.key")).select("key").distinct()
+
+
 def with_spans(rows: DataFrame) -> DataFrame:
     """Keyed rows and spans: packed (first word, end word) that repeat an earlier passage.
 
-    Both joins read the same columns, so that the text is exchanged once.
+    Later copies of whole texts are repeats as they are, and only other texts
+    are cut into windows.  All joins read the same columns, so that the text is
+    exchanged once.
     """
     batch_rows(rows.sparkSession, 5000)  # windows that repeat in a batch are sent once
     blocks = partitions(rows.sparkSession)
-    marks = repeated_triggers(rows, blocks, Windows)
-    spans = repeated_passages(rows.join(marks, "key"), blocks)
-    return rows.join(spans, "key", "left")
+    copies = written(later_copies(rows), "copies")
+    fresh = rows.join(copies, "key", "left_anti")
+    marks = repeated_triggers(fresh, blocks, Windows)
+    spans = repeated_passages(fresh.join(marks, "key"), blocks)
+    return rows.join(spans.unionByName(copies.select("key", F.lit(_ALL).alias("spans"))), "key", "left")
 
 
 def _cut(chunk: Chunk, spans) -> list[tuple[int, np.ndarray, bytes]]:
@@ -462,7 +478,10 @@ def _cut(chunk: Chunk, spans) -> list[tuple[int, np.ndarray, bytes]]:
         if spans[i] is None:
             out.append((n, np.zeros((0, 2), dtype=np.int64), raw))
             continue
-        merged = union(np.frombuffer(spans[i], "<i8").reshape(-1, 2))
+        if spans[i] == _ALL:
+            merged = np.array([[0, n]], dtype=np.int64)[: n >= MIN_WORDS]
+        else:
+            merged = union(np.frombuffer(spans[i], "<i8").reshape(-1, 2))
         kept, done = [], 0
         for a, e in merged.tolist():
             kept.append(raw[done : int(starts[first + a] - chunk.offsets[i])])

@@ -16,7 +16,7 @@ def removed(spark, texts):
     out = [np.zeros(len(t.split()), dtype=bool) for t in texts]
     for r in rows.where("spans is not null").collect():
         for a, e in np.frombuffer(r.spans, "<i8").reshape(-1, 2):
-            out[r.id][a:e] = True
+            out[r.id][a:e] = len(out[r.id]) >= passage_dedup.MIN_WORDS
     return out
 
 
@@ -135,3 +135,46 @@ def test_hash_functions_miss_next_to_nothing():
     h, least = passage_dedup.HASHES, passage_dedup.AGREE
     assert sum(math.comb(h, k) * 0.75**k * 0.25 ** (h - k) for k in range(least)) < 0.02
     assert h - passage_dedup.CARRY < least  # whichever functions agree, one of them carries windows
+
+
+def similar(a, b):
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    a, b = grams(a), grams(b)
+    return 4 * len(a & b) >= 3 * len(a | b)
+
+
+@pytest.mark.parametrize("copies", [3, 60])
+def test_recall_and_precision_against_brute_force(spark, copies):
+    """Passages of 60 words with a word replaced, put in or left out; in texts whose other words are their own."""
+    rng = random.Random(copies)
+    texts, where, groups = [], [], []
+    for g in range(120 // copies + 1):
+        passage = words(rng, 60)
+        for k in range(copies):
+            own, at, how = list(passage), rng.randrange(5, 55), rng.randrange(3)
+            if k:
+                own[at : at + (how != 0)] = [] if how == 1 else words(rng, 1)
+            before = words(rng, rng.randrange(10, 90))
+            texts.append(" ".join(before + own + words(rng, rng.randrange(10, 90))))
+            where.append((len(before), len(before) + len(own)))
+            groups.append((g, own))
+    gone = removed(spark, texts)
+    found = wanted = extra = 0
+    for i, (g, own) in enumerate(groups):
+        a, e = where[i]
+        if any(h == g and similar(own, other) for h, other in groups[:i]):
+            wanted += 1
+            found += gone[i][a:e].sum() >= 0.8 * len(own)
+        extra += gone[i][:a].sum() + gone[i][e:].sum()
+        if not any(h == g for h, _ in groups[:i]):
+            assert not gone[i].any()
+    assert wanted > 70 and found >= 0.95 * wanted
+    assert extra <= 14 * wanted  # a passage may take along as many neighbours as its similarity allows
+
+
+def test_later_copies_of_short_texts_stay(spark):
+    rng = random.Random(3)
+    a, b = " ".join(words(rng, 49)), " ".join(words(rng, 50))
+    docs = spark.createDataFrame([(5, a), (6, a), (7, b), (None, b), (8, b), (9, b), (9, b)], "doc_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_removed_words, r.n_spans) for r in passage_dedup.removal(docs).collect())
+    assert got == [(-1, 0, 0), (5, 0, 0), (6, 0, 0), (7, 50, 1), (8, 50, 1), (9, 50, 1), (9, 50, 1)]
