@@ -17,6 +17,8 @@ place, as longer strings are unions of such ones.
    corpus order, that share a rare enough token with it, at whatever place:
    the words of the longest string around the shared token that has an exact
    Jaccard similarity of 0.75 or more with one of the other window are repeats.
+   Windows that share too few tokens with all others of their signature, as
+   those about a common line do, are left out before.
 
 Later copies of whole texts are found first, by a 128-bit digest, and take no
 part in this.  Spans of repeats go back to their documents; the first of near-duplicate
@@ -338,6 +340,32 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
+def _may_match(hash_: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which windows (sorted by signature; their tokens end to end) share enough tokens with others of their signature to match one.
+
+    A match shares at least NUM / DEN of TOKENS different tokens, so a window
+    with fewer that any other has can't have one; without it, others may have
+    fewer, too.  Windows with a token twice, which may need fewer, all stay.
+    """
+    which = np.repeat(np.arange(len(size)), size)
+    group = np.cumsum(np.append(False, hash_[1:] != hash_[:-1]))[: len(size)].astype(U64)
+    key = group[which] << U64(32) | flat
+    s = np.sort(which.astype(U64) << U64(32) | flat)
+    need = np.full(len(size), -(-NUM * TOKENS // DEN))
+    need[(s[1:][s[1:] == s[:-1]] >> U64(32)).astype(np.int64)] = 0
+    live = np.ones(len(size), dtype=bool)
+    while True:
+        s = np.sort(key)
+        twice = s[1:][s[1:] == s[:-1]]
+        shared = twice[np.minimum(np.searchsorted(twice, key), max(len(twice) - 1, 0))] == key if len(twice) else np.zeros(len(key), dtype=bool)
+        gone = live & (np.bincount(which, shared, len(size)) < need)
+        if not gone.any():
+            return live
+        live &= ~gone
+        keep = live[which]
+        which, key = which[keep], key[keep]
+
+
 def _content(tokens: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A hash of each window: signature, tokens, and where in it the shared token is."""
     return mix(span_hash(value_prefix(tokens.astype(U64)), lo, hi) ^ mix(head["hash"] + head["left"].astype(U64)))
@@ -412,6 +440,7 @@ def repeated_passages(rows: DataFrame, blocks: int) -> DataFrame:
         _, back, count = np.unique(head["hash"][at], return_inverse=True, return_counts=True)
         at = at[count[back] > 1]
         at = at[np.lexsort((head["place"][at], head["key"][at], head["doc"][at], head["hash"][at]))]
+        at = at[_may_match(head["hash"][at], np.concatenate([flat[begin[j] : begin[j + 1]] for j in at]) if len(at) else flat[:0], size[at].astype(np.int64))]
         out, lo = [], 0
         while lo < len(at):
             hi = min(lo + 5_000, len(at))
@@ -464,7 +493,7 @@ def with_spans(rows: DataFrame) -> DataFrame:
     copies = written(later_copies(rows), "copies")
     fresh = rows.join(copies, "key", "left_anti")
     marks = repeated_triggers(fresh, blocks, Windows)
-    spans = repeated_passages(fresh.join(marks, "key"), blocks)
+    spans = repeated_passages(rows.join(marks, "key"), blocks)  # marks are of fresh rows only
     return rows.join(spans.unionByName(copies.select("key", F.lit(_ALL).alias("spans"))), "key", "left")
 
 
@@ -510,7 +539,7 @@ def removal(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed_words", "n_spans", "kept_sha256"],
                 )
 
-    return with_spans(_keyed(docs.select("doc_id", "text")).select("key", "id", "text")).select("id", "text", "spans").mapInArrow(run, SCHEMA)
+    return with_spans(_keyed(docs.select("doc_id", "text")).select("key", "id", "text")).select("id", "text", "spans").mapInArrow(lean(run), SCHEMA)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -531,4 +560,4 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.compute.if_else(changed, pa.compute.utf8_length(kept).cast(out["n_chars"].type), out["n_chars"])
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
-    return with_spans(_keyed(docs)).mapInArrow(run, docs.schema)
+    return with_spans(_keyed(docs)).mapInArrow(lean(run), docs.schema)
