@@ -11,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from hitloom.llm import jaccard_join, neighbours, packing, passage_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, stupid_backoff, suffix_dedup
 from hitloom.llm.components import _star, components
 
@@ -290,7 +292,7 @@ def test_neighbours(spark):
     rows = [(i, x) for i, x in enumerate(v)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] * 16), (9005, [1.0] * 3), (None, v[3]), (200, v[200]), (42, v[42])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, block=200, query_block=3).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df.withColumn('leaf', F.lit('x')).withColumn('part', F.lit(1)), leaf=60, block=100, query_block=3, first=2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     x = {i: np.array(e, dtype=np.float32).astype(float) for i, e in enumerate(v)}
     hits = 0
