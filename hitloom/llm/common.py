@@ -236,9 +236,13 @@ def erase(spark, *frames) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = 32 << 20
+
+
 def batch_rows(spark, n: int) -> None:
-    """From now on Arrow batches have at most n rows: bounds what the JVM and Python hold of long texts."""
+    """From now on Arrow batches have at most n rows and about BATCH_BYTES bytes: bounds what the JVM and Python hold of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def lean(run):

@@ -126,9 +126,13 @@ class Windows:
 _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i4"), ("left", "<i2"), ("right", "<i2")])
 
 
-def _reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which tokens of b (second axis) are which of the same row of a (third axis)."""
+    return (b[:, :, None] == a[:, None, :]) & (b != 0)[:, :, None]
+
+
+def _reach(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far from the shared token each token of b next is in the same row of a, on its left and on its right; TOKENS if it isn't there."""
-    same = (b[:, :, None] == a[:, None, :]) & (b != 0)[:, :, None]
     out = []
     for side in (same[:, :, SIDE::-1], same[:, :, SIDE:]):
         k = side.argmax(axis=2)
@@ -145,7 +149,7 @@ def _own(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     twice = np.flatnonzero(((s[:, 1:] == s[:, :-1]) & (s[:, 1:] != 0)).any(axis=1))
     for k in range(0, len(twice), 256):
         at = twice[k : k + 256]
-        left[at], right[at] = _reach(grid[at], grid[at])
+        left[at], right[at] = _reach(_same(grid[at], grid[at]))
     return left, right, (grid != 0) & (step == np.where(left < TOKENS, SIDE - left, SIDE + right))
 
 
@@ -205,7 +209,7 @@ def _longest(a: np.ndarray, b: np.ndarray, own_a, own_b, reach) -> tuple[np.ndar
     (la, ra, use_a), (lb, rb, use_b), (lo, ro) = own_a, own_b, reach
     shared = use_b & ((lo < TOKENS) | (ro < TOKENS))
     ends = [((g[:, :SIDE] != 0).sum(axis=1), (g[:, SIDE + 1 :] != 0).sum(axis=1)) for g in (a, b)]
-    size = step[:, None] + step[None, :] + 1
+    size = (step[:, None] + step[None, :] + 1).astype(np.int16)
     inside = (size >= TOKENS) & (step[None, :, None] <= ends[1][0][:, None, None]) & (step[None, None, :] <= ends[1][1][:, None, None])
     n_b, own = _within(lb, rb, use_b), _within(lb, rb, shared)
 
@@ -221,11 +225,30 @@ def _longest(a: np.ndarray, b: np.ndarray, own_a, own_b, reach) -> tuple[np.ndar
         (far_l, at_l), (far_r, at_r) = _warp(lb, lo, shared), _warp(rb, ro, shared)
         by = [np.take_along_axis(t, x.astype(np.int64), axis=1) for t, x in ((at_l, lo), (at_r, ro), (at_l, la), (at_r, ra))]
         ok[moved] |= inside[moved] & good(*by, far_l[:, :, None] + far_r[:, None, :] + 1)
-    score = np.where(ok, size, 0).reshape(len(a), -1)
+    score = np.where(ok, size, np.int16(0)).reshape(len(a), -1)
     best = score.argmax(axis=1)
     return score[np.arange(len(a)), best] > 0, SIDE - best // TOKENS, SIDE + best % TOKENS
 
 
+def _room(hit: np.ndarray, grid: np.ndarray, single: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each row may have a string about the middle, at least left tokens to the left and right to the right, that is similar to one of a window.
+
+    Similar strings of n and at least TOKENS tokens with b in common have
+    (NUM + DEN) b >= NUM (n + TOKENS), so their tokens, DEN for each that the
+    other window has and -NUM for each other one, sum up to NUM * TOKENS.  Rows
+    with a token twice (not single) always may.
+    """
+    worth = np.where(hit, DEN, np.where(grid != 0, -NUM, -1000)).astype(np.int32)
+    a = np.cumsum(worth[:, SIDE::-1], axis=1)
+    b = np.concatenate([np.zeros((len(hit), 1), dtype=np.int32), np.cumsum(worth[:, SIDE + 1 :], axis=1)], axis=1)
+    b = np.maximum.accumulate(b[:, ::-1], axis=1)[:, ::-1]  # from here on to the right
+    step = np.arange(TOKENS)
+    best = a + np.take_along_axis(b, np.minimum(np.maximum(SIDE - step[None, :], right[:, None]), SIDE), axis=1)
+    best[step[None, :] < left[:, None]] = -1000
+    best[right > SIDE] = -1000
+    return ~single | (best.max(axis=1) >= NUM * TOKENS)
+
+
 def _run(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The string around the middle that matches throughout."""
     left = np.argmax(np.append(hit[:, SIDE::-1] != 1, np.ones((len(hit), 1), dtype=bool), axis=1), axis=1) - 1
@@ -288,6 +311,7 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """
     lists = _Lists(head, grid)
     left, right, use = _own(grid)
+    single = use.sum(axis=1) == (grid != 0).sum(axis=1)
     bitmap = np.zeros((len(head), 256), dtype=bool)
     bitmap[np.arange(len(head))[:, None], grid & 255] = True  # which last bytes a window's tokens have
     found = np.zeros(len(head), dtype=bool)
@@ -325,12 +349,18 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
             spans = [np.stack([b_, x - SIDE, y - SIDE + 1], axis=1)[equal]]
             full = equal & (x == SIDE - head["left"][b_]) & (y == SIDE + head["right"][b_] - 1)
             rest = np.flatnonzero(~full)
-            reach = _reach(a[rest], b[rest])
-            some = (use[b_[rest]] & ((reach[0] < TOKENS) | (reach[1] < TOKENS))).sum(axis=1) >= np.maximum(lists.need[a_], lists.need[b_])[rest]
-            rest, reach = rest[some], (reach[0][some], reach[1][some])
+            same = _same(a[rest], b[rest])
+            p, q, back = a_[rest], b_[rest], same.any(axis=2)
+            some = (use[q] & back).sum(axis=1) >= np.maximum(lists.need[p], lists.need[q])
+            # Behind a find, just strings that go on beyond it count.
+            further = [np.where(found[q], x, 0) for x in (SIDE - lo[q] + 1, hi[q] - SIDE)]
+            some &= _room(back, b[rest], single[q], further[0], 0 * q) | _room(back, b[rest], single[q], 0 * q, further[1])
+            same, rest = same[some], rest[some]
+            some = _room(same.any(axis=1), a[rest], single[a_[rest]], 0 * rest, 0 * rest)
+            same, rest = same[some], rest[some]
             if len(rest):
                 p, q = a_[rest], b_[rest]
-                near, x, y = _longest(a[rest], b[rest], (left[p], right[p], use[p]), (left[q], right[q], use[q]), reach)
+                near, x, y = _longest(a[rest], b[rest], (left[p], right[p], use[p]), (left[q], right[q], use[q]), _reach(same))
                 spans.append(np.stack([q, x - SIDE, y - SIDE + 1], axis=1)[near])
             got = np.concatenate(spans)
             np.minimum.at(lo, got[:, 0], got[:, 1] + SIDE)

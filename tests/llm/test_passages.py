@@ -69,7 +69,7 @@ def test_longest_is_that_of_brute_force():
         a[: rng.integers(0, 20)] = 0
         b[: rng.integers(0, 20)] = 0
         a, b = (x[None].astype(np.uint32) for x in (a, b))
-        near, x, y = passage_dedup._longest(a, b, passage_dedup._own(a), passage_dedup._own(b), passage_dedup._reach(a, b))
+        near, x, y = passage_dedup._longest(a, b, passage_dedup._own(a), passage_dedup._own(b), passage_dedup._reach(passage_dedup._same(a, b)))
         best = 0
         for lo in range(side + 1):
             for hi in range(max(side, lo + tokens - 1), width):
