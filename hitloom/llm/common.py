@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -190,25 +191,23 @@ def crc32_text(column):
 
 
 _OWN: list[str] = []
-
-
-@atexit.register
-def _remove_own() -> None:
-    for path in _OWN:
-        shutil.rmtree(path, ignore_errors=True)
+_WRITTEN: list[tuple] = []
 
 
 def shared_dir(spark) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session names none (one machine, tests) a folder of our
-    own is made and named in the session.
+    Only on one machine (local mode, tests) a folder of our own is made and
+    named in the session where it names none; on a cluster that is an error,
+    as each executor would write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="hitloom-shared-")
         _OWN.append(path)
         spark.sparkContext.setCheckpointDir(path)
@@ -219,21 +218,37 @@ def written(df, name: str = "t"):
     """df as a table in the shared folder: lineage ends here.
 
     A lost executor costs no more than the stage that is running; the table
-    is read again by as many tasks as the reader likes.
+    is read again by as many tasks as the reader likes.  Lazy results may read
+    it later, so it stays until ``tidy`` or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/hitloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _delete(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def erase(spark, *frames) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for df in frames:
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             if "/hitloom-" in f:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, f)
+
+
+@atexit.register
+def tidy() -> None:
+    """Delete all tables that operators of this driver have written; results that weren't taken yet can't be read any more."""
+    while _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            _delete(*_WRITTEN.pop())
+    while _OWN:
+        shutil.rmtree(_OWN.pop(), ignore_errors=True)
 
 
 BATCH_BYTES = 32 << 20

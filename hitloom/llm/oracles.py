@@ -16,9 +16,10 @@ def backoff(alpha: float, least: int) -> str:
       c2 AS (SELECT v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, x),
       tot AS (SELECT count(*) AS n FROM t),
       s AS (SELECT p.doc_id, p.v IS NOT NULL AND c2.n < {least} AS late,
+                   p.v IS NOT NULL AND c2.n = 1 AS single,
                    CASE WHEN p.v IS NULL THEN ln(a.n / tot.n) WHEN c2.n >= {least} THEN ln(c2.n / b.n) ELSE ln({alpha} * a.n / tot.n) END AS z
             FROM p JOIN c1 a ON p.x = a.x LEFT JOIN c1 b ON p.v = b.x LEFT JOIN c2 ON p.v = c2.v AND p.x = c2.x, tot)
-    SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(*) FILTER (s.late) AS n_backoff, round(coalesce(sum(s.z), 0), 6) AS log_score
+    SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(*) FILTER (s.late) AS n_backoff, count(*) FILTER (s.single) AS n_single, round(coalesce(sum(s.z), 0), 6) AS log_score
     FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, len(w.w)
     """
 

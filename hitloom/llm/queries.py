@@ -88,7 +88,7 @@ def op6(spark, sf_dir):
     return removal(table(spark, sf_dir, "documents"))
 
 
-@query("op3_stupid_backoff", oracles.backoff(0.4, 2))
+@query("op3_stupid_backoff", oracles.backoff(0.4, 1))
 def op3(spark, sf_dir):
     from .stupid_backoff import scores
 

@@ -1,10 +1,12 @@
 """Stupid-backoff language-model scores of all documents (operator 3).
 
-The model is the corpus itself: a word w after a word v scores
-``c(v w) / c(v)`` if the two follow one another at least ``MIN_COUNT`` times
-(rarer pairs aren't in the table, as is usual for large models), and otherwise
-``ALPHA * c(w) / N``; the first word of a document scores ``c(w) / N``.  A
-document's score is the sum of the logarithms.
+The model is the corpus itself and has order two: a word w after a word v
+scores ``c(v w) / c(v)`` if the two follow one another at least ``min_count``
+times, and otherwise ``ALPHA * c(w) / N``; the first word of a document scores
+``c(w) / N``.  A document's score is the sum of the logarithms.  With the
+default of 1 every counted pair is kept, and nothing backs off but the first
+words; larger values prune the model as is usual for large ones.  ``n_single``
+counts the words whose pair occurs nowhere else in the corpus.
 
 Counting and scoring are one join.  Every word occurrence, with its neighbours
 before and after it, goes to the hash partition of the word; there all its
@@ -37,9 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, batch_rows, lean, mix, partitions, text_chunks, word_hashes
 
 ALPHA = 0.4
-MIN_COUNT = 2
 MAX_FREQUENT = 1024
-SCHEMA = "doc_id long, n_words long, n_backoff long, log_score double"
+SCHEMA = "doc_id long, n_words long, n_backoff long, n_single long, log_score double"
 
 
 def _words(batch_column) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +156,7 @@ def _counts(x: np.ndarray) -> np.ndarray:
 PART = "batch long, block int, packed binary"
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, min_count: int = 1) -> DataFrame:
     """One row for each row of docs, as the module says."""
     spark = docs.sparkSession
     batch_rows(spark, 10_000)  # a batch shares a dictionary of words
@@ -180,11 +181,11 @@ def scores(docs: DataFrame) -> DataFrame:
             with np.errstate(divide="ignore"):
                 backoff = math.log(ALPHA) + np.log(known.counts[k[here]]) - log_total
                 pair = known.pairs[last[here], k[here]]
-                value = np.where(before[here] == 0, backoff - math.log(ALPHA), np.where(pair >= MIN_COUNT, np.log(pair) - np.log(known.counts[last[here]]), backoff))
-                late = (before[here] != 0) & (pair < MIN_COUNT)
-            own = np.bincount(row[here], value, len(n)), np.bincount(row[here], late, len(n))
+                value = np.where(before[here] == 0, backoff - math.log(ALPHA), np.where(pair >= min_count, np.log(pair) - np.log(known.counts[last[here]]), backoff))
+                late = (before[here] != 0) & (pair < min_count)
+            own = np.bincount(row[here], value, len(n)), np.bincount(row[here], late, len(n)), np.bincount(row[here], (before[here] != 0) & (pair == 1), len(n))
             ids = b.column(0)
-            packed = np.array([len(n), ids.null_count], dtype=np.int64).tobytes() + ids.fill_null(0).to_numpy().tobytes() + np.array(ids.is_null().to_pylist(), dtype=np.uint8).tobytes() + n.astype(np.int64).tobytes() + own[0].astype(np.float64).tobytes() + own[1].astype(np.int64).tobytes()
+            packed = np.array([len(n), ids.null_count], dtype=np.int64).tobytes() + ids.fill_null(0).to_numpy().tobytes() + np.array(ids.is_null().to_pylist(), dtype=np.uint8).tobytes() + n.astype(np.int64).tobytes() + own[0].astype(np.float64).tobytes() + own[1].astype(np.int64).tobytes() + own[2].astype(np.int64).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed], pa.binary())], names=["batch", "block", "packed"])
             go = np.flatnonzero(k < 0)
             block = ((w[go] >> U64(11)) % U64(blocks)).astype(np.int64)
@@ -211,22 +212,23 @@ def scores(docs: DataFrame) -> DataFrame:
         value = np.zeros(len(w))
         # The pair that the word ends: all of it if the word before is frequent or missing, else the backoff.
         ended, k = _counts(_pair(before, w)), known.find(before)
-        hit = (ended >= MIN_COUNT) & (before != 0)
+        hit = (ended >= min_count) & (before != 0)
         value += np.where(before == 0, count - log_total, 0.0)
         late = ~hit & (before != 0)
         value += np.where(late, math.log(ALPHA) + count - log_total, 0.0)
         value += np.where(hit & (k >= 0), np.log(ended) - np.log(np.maximum(known.counts[k] if len(known.counts) else 1, 1)), 0.0)
         # The pair that it begins: what a hit gives, and a frequent word's backoff.
         begun, k = _counts(_pair(w, after)), known.find(after)
-        hit = (begun >= MIN_COUNT) & (after != 1)
+        hit = (begun >= min_count) & (after != 1)
         value += np.where(hit, np.log(begun) - count, 0.0)
         miss = ~hit & (k >= 0) & (after != 1)
         value += np.where(miss, math.log(ALPHA) + np.log(np.maximum(known.counts[k] if len(known.counts) else 1, 1)) - log_total, 0.0)
         backoffs = late.astype(np.int64) + miss
+        single = ((ended == 1) & (before != 0)).astype(np.int64) + ((begun == 1) & (k >= 0) & (after != 1))
         lo = 0
         for (key, block), p in zip(source, parts, strict=True):
             hi, r = lo + len(p[0]), len(p[4])
-            packed = np.int64(r).tobytes() + p[4].tobytes() + np.bincount(p[3], value[lo:hi], r).tobytes() + np.bincount(p[3], backoffs[lo:hi], r).astype(np.uint32).tobytes()
+            packed = np.int64(r).tobytes() + p[4].tobytes() + np.bincount(p[3], value[lo:hi], r).tobytes() + np.bincount(p[3], backoffs[lo:hi], r).astype(np.uint32).tobytes() + np.bincount(p[3], single[lo:hi], r).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["batch", "block", "packed"])
             lo = hi
 
@@ -236,14 +238,15 @@ def scores(docs: DataFrame) -> DataFrame:
         raw = packed[int(order[0])].as_buffer()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         ids, null = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint8, n, 16 + 8 * n).astype(bool)
-        words, value, late = (np.frombuffer(raw, t, n, 16 + 9 * n + 8 * n * k).copy() for k, t in enumerate((np.int64, np.float64, np.int64)))
+        words, value, late, single = (np.frombuffer(raw, t, n, 16 + 9 * n + 8 * n * k).copy() for k, t in enumerate((np.int64, np.float64, np.int64, np.int64)))
         for i in order[1:]:
             raw = packed[int(i)].as_buffer()
             r = int(np.frombuffer(raw, np.int64, 1)[0])
             at = np.frombuffer(raw, np.uint32, r, 8)
             value[at] += np.frombuffer(raw[8 + 4 * r :], np.float64, r)
             late[at] += np.frombuffer(raw[8 + 12 * r :], np.uint32, r)
-        return pa.table({"doc_id": pa.array(ids, mask=null), "n_words": words, "n_backoff": late, "log_score": value})
+            single[at] += np.frombuffer(raw[8 + 16 * r :], np.uint32, r)
+        return pa.table({"doc_id": pa.array(ids, mask=null), "n_words": words, "n_backoff": late, "n_single": single, "log_score": value})
 
     sent = rows.mapInArrow(lean(send), PART)
     dealt = sent.withColumn("deal", F.when(F.col("block") >= 0, F.col("block")).otherwise(F.pmod(F.xxhash64("batch"), F.lit(blocks)).cast("int")))

@@ -117,3 +117,29 @@ def test_shares_sum_to_one(spark, rows):
     for context in (b"aei", b"abc", b"zzz"):
         code = np.uint32(int.from_bytes(context + b"\0", "big")) + np.arange(256, dtype=np.uint32)
         assert tables.probability(code).sum() == pytest.approx(1, abs=0.1)  # an unseen n-gram may share a hash
+
+
+def test_written_tables_are_erased_and_need_a_shared_folder(spark, monkeypatch):
+    import os
+
+    from hitloom.llm import common
+
+    df = common.written(spark.range(5), "kept")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(folder)
+    common._WRITTEN[:] = [x for x in common._WRITTEN if x[1].endswith(os.path.basename(folder))]
+    monkeypatch.setattr(common, "_OWN", [])
+    common.tidy()
+    assert not os.path.exists(folder)
+
+    class Other:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Other)

@@ -103,7 +103,8 @@ def test_write_shards(spark, docs, none, tmp_path):
     sharding.write_shards(none, 2000, str(tmp_path / "c"))
 
 
-def test_stupid_backoff(docs, texts, none):
+@pytest.mark.parametrize("least", [1, 2])
+def test_stupid_backoff(docs, texts, none, least):
     words = [(i, WORD.findall(t.translate(LOWER))) for i, t in texts]
     one, two = collections.Counter(), collections.Counter()
     for _, w in words:
@@ -116,15 +117,16 @@ def test_stupid_backoff(docs, texts, none):
         for a, b in zip([None, *w], w):
             if a is None:
                 s += math.log(one[b] / total)
-            elif two[a, b] >= 2:
+            elif two[a, b] >= least:
                 s += math.log(two[a, b] / one[a])
             else:
                 s += math.log(0.4 * one[b] / total)
                 late += 1
-        want.append((i, len(w), late, s))
-    got = sorted(map(tuple, stupid_backoff.scores(docs).collect()))
-    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
-    assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)])
+        single = sum(two[a, b] == 1 for a, b in zip(w, w[1:]))
+        want.append((i, len(w), late, single, s))
+    got = sorted(map(tuple, stupid_backoff.scores(docs, least).collect()))
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in sorted(want)])
     assert stupid_backoff.scores(none).count() == 0
 
 
