@@ -518,7 +518,7 @@ def with_spans(rows: DataFrame) -> DataFrame:
     are cut into windows.  All joins read the same columns, so that the text is
     exchanged once.
     """
-    batch_rows(rows.sparkSession, 5000)  # windows that repeat in a batch are sent once
+    batch_rows(rows.sparkSession, 2500)  # windows that repeat in a batch are sent once
     blocks = partitions(rows.sparkSession)
     copies = written(later_copies(rows), "copies")
     fresh = rows.join(copies, "key", "left_anti")
