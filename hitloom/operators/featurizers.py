@@ -40,15 +40,56 @@ def register(f: Featurizer) -> Featurizer:
     return f
 
 
-def _external(name: str, width: int) -> None:
+def _of_molecule(vector: Callable[[object], list[float] | None]) -> Callable[[str], list[float] | None]:
+    from rdkit import Chem
+
+    def one(text: str) -> list[float] | None:
+        mol = Chem.MolFromSmiles(text)
+        return None if mol is None else vector(mol)
+
+    return one
+
+
+def _circular(features: bool, radius: int = 2, width: int = 2048):
     def make():
-        raise MissingDependency(f"{name} has no implementation here; register one")
+        from rdkit.Chem import rdFingerprintGenerator as g
+
+        own = g.GetMorganFeatureAtomInvGen() if features else None
+        gen = g.GetMorganGenerator(radius=radius, fpSize=width, atomInvariantsGenerator=own)
+        return _of_molecule(lambda mol: [float(x) for x in gen.GetFingerprintAsNumPy(mol)])
+
+    return make
+
+
+def _reduced_graph():
+    from rdkit.Chem import rdReducedGraphs
+
+    return _of_molecule(lambda mol: [float(x) for x in rdReducedGraphs.GetErGFingerprint(mol)])
+
+
+def _pharmacophore_pairs():
+    from rdkit.Chem import rdMolDescriptors as d
+
+    return _of_molecule(lambda mol: [float(x) for x in d.GetHashedAtomPairFingerprintAsBitVect(mol, nBits=2048)])
+
+
+def _shape(seed: int = 42):
+    """Moments of one conformer; a molecule that can't be embedded gives null."""
+    from rdkit import Chem
+    from rdkit.Chem import AllChem, rdMolDescriptors
+
+    def vector(mol):
+        solid = Chem.AddHs(mol)
+        if AllChem.EmbedMolecule(solid, randomSeed=seed) != 0:
+            return None
+        return [float(x) for x in rdMolDescriptors.GetUSRCAT(solid)]
 
-    register(Featurizer(name, "rdkit", make, width))
+    return _of_molecule(vector)
 
 
-for _name, _width in (("ecfp4", 2048), ("morgan", 2048), ("fcfp4", 2048), ("erg", 315), ("cats", 2048), ("usrcat", 60), ("pharmacophore", 1)):
-    _external(_name, _width)
+#: What the tool offers itself; other featurizers are registered by whoever has them.
+for _name, _make, _width in (("ecfp4", _circular(False), 2048), ("morgan", _circular(False), 2048), ("fcfp4", _circular(True), 2048), ("erg", _reduced_graph, 315), ("atom_pairs", _pharmacophore_pairs, 2048), ("usrcat", _shape, 60)):
+    register(Featurizer(_name, "rdkit", _make, _width))
 
 
 def require(name: str) -> Featurizer:

@@ -39,10 +39,14 @@ def combined_score(channels: DataFrame) -> DataFrame:
     return min_max(channels).groupBy("row_idx").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
 
 
-def top_of_channels(channels: DataFrame, n: int) -> DataFrame:
-    """Rank of the n best rows of each channel; tasks drop the others before the shuffle."""
+def top_of_channels(channels: DataFrame, n: int | dict[str, int]) -> DataFrame:
+    """Rank of the n best rows of each channel (or as many as it is given); tasks drop the others before the shuffle."""
     w = Window.partitionBy("channel").orderBy(F.desc("score"), "row_idx")
-    return clean(channels).where("score is not null").withColumn("rank", F.row_number().over(w)).where(C("rank") <= n)
+    most = max(n.values(), default=0) if isinstance(n, dict) else n
+    top = clean(channels).where("score is not null").withColumn("rank", F.row_number().over(w)).where(C("rank") <= most)
+    if isinstance(n, dict):
+        top = top.where(F.coalesce(*(F.when(C("channel") == k, C("rank") <= v) for k, v in sorted(n.items())), F.lit(False)))
+    return top
 
 
 def reciprocal_rank(channels: DataFrame, n: int, weights: dict[str, float] | None = None) -> DataFrame:
@@ -80,12 +84,23 @@ def naive_top(scores: DataFrame, n: int = 50) -> DataFrame:
     return scores.orderBy(F.desc_nulls_last(finite(C("score"))), "row_idx").limit(n)
 
 
-def shortlist(channels: DataFrame, n: int) -> DataFrame:
+def shortlist(channels: DataFrame, n: int | dict[str, int]) -> DataFrame:
     """The union of all tops: in how many channels a row is, and in which."""
     top = top_of_channels(channels, n).groupBy("row_idx").agg(F.array_sort(F.collect_set("channel")).alias("c"))
     return top.select("row_idx", F.size("c").cast("long").alias("n_sources"), F.array_join("c", ";").alias("sources"))
 
 
+def shortlist_table(short: DataFrame, template: DataFrame, key: str = "CatalogID") -> DataFrame:
+    """A shortlist with ids, rows of most channels first, then by id; place counts from 1."""
+    order = Window.orderBy(F.desc("n_sources"), key)  # a shortlist of a few thousand rows
+    return short.join(template, "row_idx").withColumn("place", F.row_number().over(order)).orderBy("place")
+
+
+def channel_members(short: DataFrame) -> DataFrame:
+    """channel and n: how many rows of a shortlist name it among their sources."""
+    return short.select(F.explode(F.split("sources", ";")).alias("channel")).groupBy("channel").agg(F.count("*").alias("n"))
+
+
 def fuse_and_select(channels: DataFrame, fingerprints: DataFrame, n_rows: int, n: int = 50, per_channel: int = 500, weights: dict[str, float] | None = None, distance: float = 0.32) -> tuple[DataFrame, DataFrame]:
     """Picks and the combined score of every row.
 

@@ -50,6 +50,31 @@ def grouped_cv(rows: DataFrame, group: str, folds: int = 5, **options) -> DataFr
     return out
 
 
+def evaluate_modes(gold: DataFrame, team: DataFrame, key: str, label: str, selections: list[str], mode: str, score_column: str = "Score", clusters: DataFrame | None = None) -> DataFrame:
+    """One row: mode, ROCAUC, PRAUC and Hits_<selection> for each selection column.
+
+    Both modes are for a gold table without clusters of its own; one with a
+    real Cluster column is an error.  hits_only gives the above; proxy adds
+    PROXY_Clusters_<selection>, the different clusters (key and cluster, of hits)
+    among the selected hits.
+    """
+    if mode not in ("hits_only", "proxy"):
+        raise ValueError(f"unknown mode {mode}: hits_only or proxy")
+    if (mode == "proxy") != (clusters is not None):
+        raise ValueError("clusters of the hits are needed in proxy mode, and in no other")
+    if "Cluster" in gold.columns and not gold.where("Cluster is not null").isEmpty():
+        raise ValueError("the gold table has a Cluster column; its own clusters are to be used")
+    both = gold.select(key, C(label).cast("int").alias("label_")).join(team.select(key, C(score_column).alias("score_"), *selections), key)
+    rows = ranking.scored(both.withColumn("row_idx", F.xxhash64(key)), "score_", "label_")
+    picked = lambda c: (C(c) == 1) & (C("label_") == 1)
+    if clusters is not None:
+        both = both.join(clusters.select(key, C("cluster").alias("cluster_")), key, "left")
+    found = [F.count_if(picked(c)).alias(f"Hits_{c}") for c in selections]
+    found += [F.countDistinct(F.when(picked(c), C("cluster_"))).alias(f"PROXY_Clusters_{c}") for c in selections if clusters is not None]
+    out = ranking.roc_auc(rows).crossJoin(ranking.average_precision(rows)).crossJoin(both.agg(*found))  # one row each
+    return out.withColumnsRenamed({"roc_auc": "ROCAUC", "average_precision": "PRAUC"}).withColumn("mode", F.lit(mode))
+
+
 def evaluate_team(gold: DataFrame, team: DataFrame, key: str, label: str, selection: str, score_column: str = "Score") -> DataFrame:
     """One row: ROC-AUC, average precision and hits among the selected rows, gold and team joined on key.
 

@@ -22,6 +22,12 @@ def other_criteria(rows: DataFrame) -> DataFrame:
     return rows.where((F.col(I) < tenth) & (F.col(N) == 0) & (F.col(H) < MAX_HISTORIC))
 
 
+def joint_criteria(rows: DataFrame) -> DataFrame:
+    """Structures that meet the count, inhibitor and history criteria; the joint z cutoff takes the place of the control count."""
+    tenth = F.lit(0.1) * F.col("count_target")
+    return rows.where((F.col("count_target") >= 3) & (F.col(I) < tenth) & (F.col(H) < MAX_HISTORIC))
+
+
 def library_floors(rows: DataFrame, largest: int) -> DataFrame:
     """library and floor: the smallest count floor whose yield in the library is nearest to the overall base yield.
 

@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.cleaning import is_valid_id, with_compound_parts
+from ..functions.cleaning import block_group, is_valid_id, with_compound_parts
+from ..functions.similarity import angle, nearest_feature
 from ..operators import audit, clustering, disynthon, fusion, models, ranking, recipes, sampling, similarity_join, spatial, thresholds, validation
-from ..operators.dedup import dedup_selection, stouffer_by
+from ..operators.dedup import dedup, dedup_selection, stouffer_by
 from ..sources.readers import describe
 from ..sources.sinks import in_chunks, submission_rows
-from . import fixtures as fx
+from . import fixtures as fx, reports
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PAIR_THRESHOLD, Z_CUT, SWEEP = 60.0, 2.0, 50
-N_PERM = 200
+N_PERM = 1000
 
 
 def query(name: str, oracle: str | None = None):
@@ -67,6 +68,25 @@ def _(s, d):
     return dedup_selection(fx.selection(s, d)).select("smiles", "count_target", "count_inhibitor", "count_ntc", "historic_hits", "compound")
 
 
+@query("dedup_general", f"WITH {SEL} SELECT smiles, CAST(sum(count_target) AS BIGINT) AS count_target, max(historic_hits) AS historic_hits, arg_min(compound, zscore) AS compound FROM selection WHERE {VALID} GROUP BY smiles HAVING count(*) = count(DISTINCT zscore)")
+def _(s, d):
+    rows = fx.selection(s, d)
+    clear = rows.groupBy("smiles").agg(F.count("*").alias("n"), F.countDistinct("zscore").alias("k")).where("n = k").select("smiles")  # the order has no ties
+    found = dedup(rows.select("smiles", "count_target", "historic_hits", "compound", "zscore"), ["count_target"], ["historic_hits"], ["compound"], order="zscore")
+    return found.join(clear, "smiles", "left_semi")
+
+
+@query("block_groups", f"WITH {SEL} SELECT {LIB} || '-' || {B1} || '-' || {B2} AS block_group, count(*) AS n FROM selection GROUP BY 1")
+def _(s, d):
+    parts = with_compound_parts(fx.selection(s, d))
+    return parts.groupBy(block_group(C("library"), C("bb1"), C("bb2")).alias("block_group")).agg(F.count("*").alias("n"))
+
+
+@query("template_overlap", f"WITH {SEL}, sup AS ({fx.SUPPLEMENT}) SELECT count(*) AS n FROM sup WHERE smiles IN (SELECT smiles FROM selection)")
+def _(s, d):
+    return reports.template_overlap(fx.supplement(s, d), fx.selection(s, d))
+
+
 @query("dedup_stouffer", f"WITH {SEL} SELECT smiles, round(sum(zscore) / sqrt(count(*)), 8) AS zscore FROM selection WHERE smiles IS NOT NULL GROUP BY smiles")
 def _(s, d):
     return stouffer_by(fx.selection(s, d)).withColumn("zscore", F.round("zscore", 8))  # z has seven decimals: no ties
@@ -141,6 +161,11 @@ def _(s, d):
     return _r(thresholds.z_cutoff_for_size(thresholds.other_criteria(rows), rows.where(recipes.base()).count()), "z_cutoff")
 
 
+@query("threshold_report", f"WITH {DEDUP}, o AS (SELECT zscore AS z, row_number() OVER (ORDER BY zscore DESC) AS rn FROM dd WHERE {BASE.split(' AND count_ntc')[0]} AND historic_hits < 5), s AS (SELECT unnest([50, 200, 1000]) AS n), c AS (SELECT n, min(z) AS c FROM s, o WHERE rn <= n GROUP BY n) SELECT CAST(n AS BIGINT) AS target_size, round(c, 6) AS z_cutoff, (SELECT count(*) FROM o WHERE z >= c) AS n_at_cutoff FROM c")
+def _(s, d):
+    return _r(reports.derive_thresholds(fx.selection(s, d), sizes=[50, 200, 1000])["size_sweep"], "z_cutoff")
+
+
 @query("library_floor_search", f"""WITH {DEDUP}, o AS (SELECT avg(CASE WHEN {BASE} THEN 1.0 ELSE 0.0 END) AS rate FROM dd),
  l AS (SELECT {LIB} AS library, count_target, ({OTHER}) AS ok FROM dd), t AS (SELECT unnest(range(1, {SWEEP + 1})) AS floor),
  e AS (SELECT library, floor, abs(count(*) FILTER (ok AND count_target >= floor) / count(*) - (SELECT rate FROM o)) AS err FROM l, t WHERE library IS NOT NULL GROUP BY library, floor)
@@ -152,8 +177,7 @@ def _(s, d):
 @query("l7_sweep", f"WITH {DEDUP}, o AS (SELECT zscore AS z, row_number() OVER (ORDER BY zscore DESC) AS rn FROM dd WHERE {BASE.split(' AND count_ntc')[0]} AND historic_hits < 5), s AS (SELECT unnest([100, 500]) AS n), c AS (SELECT n, min(z) AS c FROM s, o WHERE rn <= n GROUP BY n) SELECT CAST(n AS BIGINT) AS target_size, round(c, 6) AS z_cutoff, (SELECT count(*) FROM o WHERE z >= c) AS n_at_cutoff FROM c")
 def _(s, d):
     rows = recipes.deduplicated(fx.selection(s, d))
-    tenth = F.lit(0.1) * C("count_target")
-    return _r(thresholds.size_sweep(rows.where((C("count_target") >= 3) & (C("count_inhibitor") < tenth) & (C("historic_hits") < 5)), [100, 500]), "z_cutoff")
+    return _r(thresholds.size_sweep(thresholds.joint_criteria(rows), [100, 500]), "z_cutoff")
 
 
 @query("l8_sweep", f"""WITH {PAIRS}, t AS (SELECT unnest([CAST(20 AS DOUBLE), 60, 120]) AS threshold), h AS (SELECT threshold, disynthon_id FROM pooled, t WHERE count_target >= threshold AND {HIT})
@@ -274,6 +298,30 @@ def _(s, d):
     return fusion.shortlist(fx.channels(s, d), 100)
 
 
+_N = {"draw": 40, "length": 60}
+SHORT = "sh AS (SELECT row_idx, count(*) AS n_sources, string_agg(channel, ';' ORDER BY channel) AS sources FROM top WHERE rank <= CASE channel WHEN 'draw' THEN 40 WHEN 'length' THEN 60 ELSE 0 END GROUP BY row_idx)"
+
+
+def _ids(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select(C("doc_id").alias("row_idx"), F.concat(F.lit("D"), C("doc_id").cast("string")).alias("CatalogID"))
+
+
+@query("shortlist_by_channel", f"WITH {CH}, {SHORT} SELECT row_idx, n_sources, sources, CatalogID, CAST(row_number() OVER (ORDER BY n_sources DESC, CatalogID) AS INTEGER) AS place FROM (SELECT *, 'D' || CAST(row_idx AS VARCHAR) AS CatalogID FROM sh)")
+def _(s, d):
+    return fusion.shortlist_table(fusion.shortlist(fx.channels(s, d), _N), _ids(s, d))
+
+
+@query("channel_members", f"WITH {CH}, {SHORT} SELECT channel, count(*) AS n FROM (SELECT unnest(string_split(sources, ';')) AS channel FROM sh) GROUP BY channel")
+def _(s, d):
+    return fusion.channel_members(fusion.shortlist(fx.channels(s, d), _N))
+
+
+@query("series_counts", f"WITH {CH}, {_PICKS} SELECT (SELECT count(DISTINCT series) FROM series) AS n_series_pool, (SELECT count(DISTINCT series) FROM picks) AS n_series_picked")
+def _(s, d):
+    ranked = fusion.reciprocal_rank(fx.channels(s, d), 100, WEIGHTS).withColumn("series", C("row_idx") % 7)
+    return fusion.series_counts(ranked, _picks(s, d))
+
+
 @query("naive_top", "SELECT doc_id AS row_idx, CAST(n_chars AS DOUBLE) AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
 def _(s, d):
     return fusion.naive_top(fx.channels(s, d).where("channel = 'length'")).select("row_idx", "score")
@@ -289,7 +337,13 @@ def _(s, d):
     return _r(_submission(s, d)[1])
 
 
-@query("submission_problems", "SELECT 'not 51 selected' AS problem UNION ALL SELECT 'row count differs from the template' UNION ALL SELECT 'ids differ from the template'")
+@query("submission_problems", f"""WITH {CH}, {_PICKS}, cs AS (SELECT row_idx, coalesce(max(score), 0) AS score FROM scaled GROUP BY row_idx),
+ rows AS (SELECT 'D' || CAST(row_idx AS VARCHAR) AS id, CASE WHEN row_idx IN (SELECT row_idx FROM picks) THEN 1 ELSE 0 END AS sel, score FROM cs WHERE row_idx <> 0),
+ tp AS (SELECT 'D' || CAST(doc_id AS VARCHAR) AS id FROM documents),
+ c AS (SELECT unnest(['ids differ from the template', 'repeated ids', 'not 51 selected', 'Sel_50 isn''t 0 or 1', 'missing scores', 'row count differs from the template']) AS problem,
+  unnest([(SELECT count(*) FROM (FROM rows SELECT id EXCEPT FROM tp SELECT id)) + (SELECT count(*) FROM (FROM tp SELECT id EXCEPT FROM rows SELECT id)) > 0, (SELECT count(*) <> count(DISTINCT id) FROM rows), (SELECT sum(sel) <> 51 FROM rows),
+   (SELECT count(*) FILTER (sel NOT IN (0, 1)) > 0 FROM rows), (SELECT count(*) FILTER (score IS NULL) > 0 FROM rows), (SELECT count(*) FROM rows) <> (SELECT count(*) FROM tp)]) AS bad)
+ SELECT problem FROM c WHERE bad""")
 def _(s, d):
     template, rows = _submission(s, d)
     return validation.scored_list_problems(rows.where("CatalogID != 'D0'"), template, 51)
@@ -351,7 +405,12 @@ def _(s, d):
     return _r(ranking.percentiles(observed, ranking.permutation_null(rows.select("row_idx", "label"), N_PERM)))
 
 
-@query("evaluate_channel")
+_OBS = f"""obs AS (SELECT 'ef_50' AS metric, (SELECT sum(label) FROM o WHERE rn <= 50) / 50.0 / (p / n) AS observed FROM n
+ UNION ALL SELECT 'ef_1pct', (SELECT sum(label) FROM o, n WHERE rn <= greatest(1, round_even(n * CAST(0.01 AS DOUBLE), 0))) / greatest(1, round_even(n * CAST(0.01 AS DOUBLE), 0)) / (p / n) FROM n
+ UNION ALL SELECT 'log_auc', {_LOGAUC} FROM n)"""
+
+
+@query("evaluate_channel", f"WITH {NULL}, {_OBS} SELECT metric, round(max(observed), 6) AS observed, round(100 * avg(CASE WHEN value <= observed + 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul JOIN obs USING (metric) GROUP BY metric")
 def _(s, d):
     return _r(ranking.evaluate_channel(fx.ranked(s, d), N_PERM))
 
@@ -409,6 +468,31 @@ def _(s, d):
     return sampling.sample_negatives(sampling.similar_by_cluster(_pool(s, d)), 2.0).select("row_idx", C("similar").alias("near"))
 
 
+@query("sample_summary", f"WITH {POOL}, g AS (SELECT near FROM rr, k WHERE rn <= CASE WHEN near THEN {_NEAR} ELSE 2 * p - {_NEAR} END) SELECT CAST(2 * p AS INTEGER) AS n_requested, CAST({_NEAR} AS INTEGER) AS n_similar_requested, (SELECT count(*) FILTER (near) FROM g) AS n_similar, CAST(2 * p - {_NEAR} AS INTEGER) AS n_elsewhere_requested, (SELECT count(*) FILTER (NOT near) FROM g) AS n_elsewhere, CAST(2 * p - (SELECT count(*) FROM g) AS BIGINT) AS shortfall FROM k")
+def _(s, d):
+    pool = sampling.similar_by_cluster(_pool(s, d))
+    return sampling.sample_summary(pool, sampling.sample_negatives(pool, 2.0), 2.0)
+
+
+@query("subsample", "SELECT vec_id AS row_idx FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 60")
+def _(s, d):
+    return sampling.subsample(fx.embeddings(s, d).select(C("vec_id").alias("row_idx")), 60)
+
+
+@query("vector_angles", "WITH a AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(degrees(acos(greatest(-1, least(1, list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)))))), 4) AS degrees FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings WHERE vec_id > 0), a")
+def _(s, d):
+    e = fx.embeddings(s, d)
+    first = e.where("vec_id = 0").select(C("embedding").alias("a"))
+    return e.where("vec_id > 0").crossJoin(F.broadcast(first)).select("vec_id", F.round(angle(C("a"), C("embedding")), 4).alias("degrees"))  # one row is sent
+
+
+@query("nearest_features", "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), f AS (SELECT * FROM p WHERE vec_id < 12) SELECT p.vec_id, round(min(sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2 + (p.z - f.z) ** 2)), 6) AS distance FROM p, f GROUP BY p.vec_id")
+def _(s, d):
+    e = fx.embeddings(s, d).select("vec_id", F.array(*(C("embedding")[k].cast("double") for k in range(3))).alias("xyz"))
+    features = e.where("vec_id < 12").agg(F.collect_list("xyz").alias("points"))  # twelve points
+    return e.crossJoin(F.broadcast(features)).select("vec_id", F.round(nearest_feature(C("points"), C("xyz")), 6).alias("distance"))
+
+
 @query("sample_random", f"WITH {POOL} SELECT row_idx FROM (SELECT row_idx, row_number() OVER (ORDER BY md5('0:' || row_idx), row_idx) AS rn FROM pool WHERE NOT positive), k WHERE rn <= 2 * p")
 def _(s, d):
     return sampling.sample_random(_pool(s, d), 2.0).select("row_idx")

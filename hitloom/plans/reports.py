@@ -36,10 +36,15 @@ def audit_report(selection: DataFrame, supplement: DataFrame | None = None, enum
     if enumeration is not None:
         out["enumeration"] = _row(audit.enumeration_gap(selection, enumeration))
     for name, t in (templates or {}).items():
-        out[f"overlap_{name}"] = t.join(selection.select("smiles").distinct(), "smiles", "left_semi").count()
+        out[f"overlap_{name}"] = template_overlap(t, selection).first()["n"]
     return out
 
 
+def template_overlap(template: DataFrame, selection: DataFrame) -> DataFrame:
+    """One row: how many rows of a template are structures of the selection."""
+    return template.join(selection.select("smiles").distinct(), "smiles", "left_semi").agg(F.count("*").alias("n"))
+
+
 def recipe_yields(selection: DataFrame, z: float | None = None, floors: dict[str, int] | None = None, joint_z: float | None = None, pair_threshold: float | None = None) -> DataFrame:
     """recipe, n_unique, n_positives, rate; recipes whose parameter isn't given are left out."""
     chosen: dict = {"l0": None, "l1": None, "l2": None, "l4": None, "l5": None}
@@ -60,7 +65,7 @@ def derive_thresholds(selection: DataFrame, largest_floor: int = 50, sizes: list
         "floors": thresholds.library_floors(rows, largest_floor),
     }
     if sizes:
-        out["size_sweep"] = thresholds.size_sweep(rows.where((C("count_target") >= 3) & (C("historic_hits") < recipes.MAX_HISTORIC)), sizes)
+        out["size_sweep"] = thresholds.size_sweep(thresholds.joint_criteria(rows), sizes)
     if pair_thresholds:
         out["pair_sweep"] = thresholds.pair_threshold_sweep(rows, pair_thresholds)
     return out
@@ -125,4 +130,4 @@ def labels(selection: DataFrame, key: str, *args) -> tuple[DataFrame, dict]:
     return found.rows.where("positive"), {"name": found.name, "version": found.version, "n_unique": n, "n_positives": k}
 
 
-__all__ = ["audit_report", "derive_thresholds", "dry_run", "empirical_null", "fuse_channels", "labels", "rank_by_similarity", "recipe_yields", "stratified_training_set"]
+__all__ = ["audit_report", "derive_thresholds", "dry_run", "empirical_null", "fuse_channels", "labels", "rank_by_similarity", "recipe_yields", "template_overlap", "stratified_training_set"]

@@ -51,11 +51,15 @@ def labelled_library(spark: SparkSession, path: str, smiles: str = "SMILES", lab
 
 
 def split_template(spark: SparkSession, path: str) -> DataFrame:
-    """Ids and structures, with row_idx: the place in the file for one file, and a stable order by id for many."""
+    """Ids and structures, with row_idx: the place in the file, which is what channels go by; several files are an error."""
     from pyspark.sql import Window
 
     df = spark.read.csv(path, header=True, schema="CatalogID string, SMILES string")
-    return df.withColumn("row_idx", F.row_number().over(Window.orderBy("CatalogID")) - 1)  # a template of a few thousand rows
+    if (n := df.select(C("_metadata.file_path")).distinct().count()) > 1:
+        raise ValueError(f"a template is one file, {path} has {n}")
+    placed = df.select("*", C("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("in_block_"))
+    order = Window.orderBy("block_", "in_block_")  # a template of a few thousand rows
+    return placed.withColumn("row_idx", F.row_number().over(order) - 1).select("CatalogID", "SMILES", "row_idx")
 
 
 def anchors(spark: SparkSession, path: str, sources: list[str] | None = None, details: list[str] | None = None) -> DataFrame:
@@ -98,17 +102,18 @@ def reference_points(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("
 def affinities(spark: SparkSession, folders: list[str], ids: DataFrame, field: str = "affinity_probability_binary") -> tuple[DataFrame, DataFrame]:
     """id and score for each id, null where there is none, and one row of counts.
 
-    Files are affinity_<id>.json anywhere under the folders; of several files
-    of an id the one in the last folder counts.
+    Files are affinity_<id>.json anywhere under the folders.  Files without the
+    field are skipped; of several scores of an id the one in the last folder
+    counts.  The counts are of files.
     """
     parts = None
     for k, folder in enumerate(folders):
         one = spark.read.schema(f"`{field}` double").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "affinity_*.json").json(folder)
         one = one.select(F.regexp_extract(C("_metadata.file_name"), r"affinity_(.*)\.json$", 1).alias("id"), C(field).alias("score"), F.lit(k).alias("k"))
         parts = one if parts is None else parts.unionByName(one)
-    last = parts.groupBy("id").agg(F.max_by(F.struct("score"), "k").alias("m")).select("id", C("m.score").alias("score"))
+    last = parts.where("score is not null").groupBy("id").agg(F.max_by("score", "k").alias("score"))
     known = ids.select("id").distinct()
-    counts = last.join(known.withColumn("known_", F.lit(True)), "id", "left").agg(F.count_if(C("known_") & C("score").isNotNull()).alias("n_found"), F.count_if(C("known_") & C("score").isNull()).alias("n_missing_field"), F.count_if(C("known_").isNull()).alias("n_unmatched"))
+    counts = parts.join(known.withColumn("known_", F.lit(True)), "id", "left").agg(F.count_if(C("known_") & C("score").isNotNull()).alias("n_found"), F.count_if(C("known_") & C("score").isNull()).alias("n_missing_field"), F.count_if(C("known_").isNull()).alias("n_unmatched"))
     return ids.join(last, "id", "left"), counts
 
 
