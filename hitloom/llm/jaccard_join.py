@@ -20,7 +20,9 @@ entries are multiplied, block of columns by block of columns:
 4. The sets of the remaining pairs are brought together, at most
    ``MEMBERS`` with one, and counted exactly.
 5. Long columns whose classes aren't all in one component by now are
-   multiplied in blocks of rows: a block gets all entries of its rows' columns,
+   multiplied in blocks of rows: rows that no chain of columns connects never
+   meet, large connected parts are cut by size, and blocks of sizes too far
+   apart don't meet either.  A block gets all entries of its rows' columns,
    counts the overlaps with the classes of other components, and keeps the
    pairs that may reach the bound; these are treated as in 3 and 4.  A first
    round takes the best pairs of each class and larger component only, in the
@@ -32,7 +34,8 @@ components is found, copies aren't expanded into pairs.
 
 Defined cases: a null text has no words; documents without words have no
 shingle and only themselves as component; fewer than five words are one
-shingle; repeated rows are copies of each other; a null id's component is that of
+shingle; texts of any length count as wholes; pairs at exactly the wanted
+similarity link; repeated rows are copies of each other; a null id's component is that of
 its copies that have one, or null, and no link is followed through it; an empty table gives no rows; other
 columns are ignored.
 """
@@ -41,7 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import U64, Chunk, batch_rows, distinct_per_row, gram_hashes, lean, mix, partitions, sieved, text_chunks, word_hashes, written
 from .components import components
@@ -294,14 +297,31 @@ def across(place: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     best: for each class and larger component only the BEST pairs that overlap most.
 
     place: column, cls, size, root, and slack: the most entries in short
-    columns that the class shares with any other.  Blocks of rows meet blocks
-    of rows, so that a task holds two blocks at most.
+    columns that the class shares with any other.  Rows that no chain of columns
+    connects never meet: connected parts of the matrix go to tasks as they are,
+    as many together as fit.  A part of more than ROW_BLOCK entries is cut into
+    blocks by size, and only blocks whose sizes are near enough for the wanted
+    similarity meet, so that a task holds two blocks at most.
     """
-    blocks = max(1, -(-place.count() // ROW_BLOCK))
-    own = place.withColumn("of", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
-    entries = own.select("*", other).withColumn("block", F.greatest("of", "with") * blocks + F.least("of", "with"))
-    entries = entries.select("block", "column", "cls", "size", "root", "slack", ((F.col("of") <= F.col("with")).cast("int") + 2 * (F.col("of") >= F.col("with")).cast("int")).alias("side"))
+    packs = max(1, -(-place.count() // ROW_BLOCK))
+    linked = components(place.select(F.col("column").alias("a"), F.col("cls").alias("b")))
+    place = written(place.join(linked.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls"), "parts")
+    histogram = place.groupBy("part", "size").agg(F.count("*").alias("k"))
+    large = histogram.groupBy("part").agg(F.sum("k").alias("entries")).where(F.col("entries") > ROW_BLOCK).select("part")
+    up = Window.partitionBy("part").orderBy("size")  # a row for each size
+    start = histogram.join(large, "part").withColumn("start", F.sum("k").over(up) - F.col("k"))
+    spread = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    cut = written(place.join(start, ["part", "size"]).withColumn("b", F.floor((F.col("start") + spread * F.col("k")) / ROW_BLOCK).cast("int")).drop("start", "k"), "cut")
+    ranges = cut.groupBy("part", "b").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))  # a row for each block
+    other = ranges.select("part", F.col("b").alias("b2"), F.col("lo").alias("lo2"))
+    pairs = ranges.join(other, "part").where((F.col("b") <= F.col("b2")) & (den * F.col("hi").cast("long") >= num * F.col("lo2").cast("long")))
+    pairs = written(pairs.select("part", "b", "b2", (F.row_number().over(Window.orderBy("part", "b", "b2")) + packs - 1).alias("block")), "blocks")  # a row for each pair of blocks
+    sides = pairs.select("part", "b", "block", F.when(F.col("b") == F.col("b2"), 3).otherwise(1).alias("side"))
+    sides = sides.unionByName(pairs.where("b < b2").select("part", F.col("b2").alias("b"), "block", F.lit(2).alias("side")))
+    names = ["block", "column", "cls", "size", "root", "slack", "side"]
+    whole = place.join(large, "part", "left_anti").withColumn("block", F.pmod(F.xxhash64("part"), F.lit(packs)).cast("int")).withColumn("side", F.lit(3))
+    entries = whole.select(*names).unionByName(cut.join(sides, ["part", "b"]).select(*names))
+    tasks = packs + pairs.count()
 
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
@@ -324,25 +344,27 @@ def across(place: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             members = who[by_col]
             for i in np.flatnonzero((sides == 1) | both) if not best else range(len(names)):
                 cols = col[by_row[row_at[i] : row_at[i + 1]]]
-                overlap = np.bincount(np.concatenate([members[col_at[c] : col_at[c + 1]] for c in cols]), minlength=len(names))
-                j = np.flatnonzero(overlap)
-                j = j[(r[j] != r[i]) & ((sides[j] != sides[i]) | (both[j] & (best | (j > i)))) & _fits(n[j], n[i], num, den)]
+                j, overlap = np.unique(np.concatenate([members[col_at[c] : col_at[c + 1]] for c in cols]), return_counts=True)
+                ok = (r[j] != r[i]) & ((sides[j] != sides[i]) | (both[j] & (best | (j > i)))) & _fits(n[j], n[i], num, den)
                 need = -(-num * (n[i] + n[j]) // (num + den)) - (-(-num * np.maximum(n[i], n[j]) // den) - 1)
-                j = j[overlap[j] + np.minimum(free[i], free[j]) >= need]
+                ok &= overlap + np.minimum(free[i], free[j]) >= need
+                if best:
+                    ok &= (many[j] > many[i]) | ((many[j] == many[i]) & (r[j] < r[i]))
+                j, overlap = j[ok], overlap[ok]
                 if best and len(j):
-                    j = j[(many[j] > many[i]) | ((many[j] == many[i]) & (r[j] < r[i]))]
-                if best and len(j):
-                    j = j[np.lexsort((-overlap[j], r[j]))]
+                    order = np.lexsort((-overlap, r[j]))
+                    j, overlap = j[order], overlap[order]
                     same = np.append(False, r[j][1:] == r[j][:-1])
-                    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(j)))) if len(j) else j
-                    j = j[np.arange(len(j)) - start < BEST]
+                    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(j))))
+                    few = np.arange(len(j)) - start < BEST
+                    j, overlap = j[few], overlap[few]
                 if len(j):
                     me = np.full(len(j), names[i])
                     a, b = np.minimum(me, names[j]), np.maximum(me, names[j])
                     swap = a != me
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(overlap[j], pa.int64()), pa.array(np.where(swap, n[j], n[i]), pa.int32()), pa.array(np.where(swap, n[i], n[j]), pa.int32())], names=["a", "b", "n", "na", "nb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(overlap, pa.int64()), pa.array(np.where(swap, n[j], n[i]), pa.int32()), pa.array(np.where(swap, n[i], n[j]), pa.int32())], names=["a", "b", "n", "na", "nb"])
 
-    return entries.repartitionById(blocks * blocks, "block").mapInArrow(lean(run), PAIR).dropDuplicates(["a", "b"])
+    return entries.repartitionById(tasks, "block").mapInArrow(lean(run), PAIR).dropDuplicates(["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:

@@ -222,9 +222,10 @@ def near_pairs(sets):
     return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
 
 
-@pytest.mark.parametrize("short", [16, 2])
-def test_jaccard_join(spark, docs, texts, none, monkeypatch, short):
+@pytest.mark.parametrize("short,block", [(16, 800_000), (2, 800_000), (2, 20)])
+def test_jaccard_join(spark, docs, texts, none, monkeypatch, short, block):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "ROW_BLOCK", block)
     sets = {}
     for i, t in texts:
         w = WORD.findall(t.translate(LOWER))
@@ -240,6 +241,29 @@ def test_jaccard_join(spark, docs, texts, none, monkeypatch, short):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [800_000, 300])
+def test_jaccard_join_of_texts_that_share_most(spark, monkeypatch, block):
+    """Rows made mostly of common shingles, about the wanted similarity: blocks of rows and sizes against brute force."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    monkeypatch.setattr(jaccard_join, "WIDE", 4)
+    monkeypatch.setattr(jaccard_join, "ROW_BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lines = [[word() for _ in range(24)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        base = lines[i % 3] + (lines[(i + 1) % 3] if i % 7 == 0 else [])
+        rows.append((i, " ".join(base + [word() for _ in range(rng.randrange(0, 9))])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in near_pairs(sets):
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+    assert 3 < len(set(root.values())) < 60
+
+
 def test_parity_bits_never_lose_a_pair():
     rng = np.random.default_rng(4)
     for _ in range(200):
