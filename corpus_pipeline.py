@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents.  No stage can be expressed in SQL as a whole.
+
+Defined cases: documents with a null or empty text fail the quality rules; a
+null id is kept as it is where its text is good; repeated rows are copies, of
+which one stays if they have an id; texts of any length are judged as wholes;
+further columns, whatever their names, pass all stages but the last, which
+returns its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
