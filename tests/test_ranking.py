@@ -166,7 +166,7 @@ def test_affinities(spark, tmp_path):
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     rows, counts = readers.affinities(spark, [str(tmp_path / "one"), str(tmp_path / "two")], ids)
     assert {r.id: r.score for r in rows.collect()} == {"a": 0.3, "b": None, "c": None}
-    assert tuple(counts.first()) == (1, 1, 1)
+    assert tuple(counts.first()) == (2, 1, 1)  # of files: a was found twice
 
 
 def test_files(spark, tmp_path):
