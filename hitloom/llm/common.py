@@ -254,10 +254,30 @@ def tidy() -> None:
 BATCH_BYTES = 32 << 20
 
 
-def batch_rows(spark, n: int) -> None:
-    """From now on Arrow batches have at most n rows and about BATCH_BYTES bytes: bounds what the JVM and Python hold of long texts."""
+def batch_rows(spark, n: int, size: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches have at most n rows and about ``size`` bytes: bounds what the JVM and Python hold of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def scanned(df):
+    """df as a plan that reads files row by row, and the bytes of the columns as stored.
+
+    Such a plan gives the same rows in the same batches however often a task
+    runs.  Any other (behind a shuffle, from memory) is written first.
+    """
+
+    def plain(plan) -> bool:
+        name = plan.nodeName()
+        if name in ("Project", "Filter") and plan.deterministic():
+            return plain(plan.child())
+        return name.startswith(("LogicalRelation", "Relation"))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plain(plan):
+        df = written(df, "scan")
+        plan = df._jdf.queryExecution().optimizedPlan()
+    return df, int(str(plan.stats().sizeInBytes()))
 
 
 def lean(run):

@@ -7,18 +7,22 @@ _WORDS = f"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''
 
 
 def backoff(alpha: float, least: int) -> str:
-    """Stupid-backoff scores."""
+    """Stupid-backoff scores of order three."""
     return f"""
     WITH {_WORDS},
       t AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM w),
-      p AS (SELECT doc_id, k, x, lag(x) OVER (PARTITION BY doc_id ORDER BY k) AS v FROM t),
+      p AS (SELECT doc_id, k, x, lag(x) OVER (PARTITION BY doc_id ORDER BY k) AS v, lag(x, 2) OVER (PARTITION BY doc_id ORDER BY k) AS u FROM t),
       c1 AS (SELECT x, count(*) AS n FROM t GROUP BY x),
       c2 AS (SELECT v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, x),
+      c3 AS (SELECT u, v, x, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, x),
       tot AS (SELECT count(*) AS n FROM t),
-      s AS (SELECT p.doc_id, p.v IS NOT NULL AND c2.n < {least} AS late,
-                   p.v IS NOT NULL AND c2.n = 1 AS single,
-                   CASE WHEN p.v IS NULL THEN ln(a.n / tot.n) WHEN c2.n >= {least} THEN ln(c2.n / b.n) ELSE ln({alpha} * a.n / tot.n) END AS z
-            FROM p JOIN c1 a ON p.x = a.x LEFT JOIN c1 b ON p.v = b.x LEFT JOIN c2 ON p.v = c2.v AND p.x = c2.x, tot)
+      s AS (SELECT p.doc_id, CASE WHEN p.u IS NOT NULL THEN c3.n < {least} WHEN p.v IS NOT NULL THEN c2.n < {least} ELSE false END AS late,
+                   p.u IS NOT NULL AND c3.n = 1 AS single,
+                   CASE WHEN c3.n >= {least} THEN ln(c3.n / d.n)
+                        WHEN c2.n >= {least} THEN ln(c2.n / b.n) + CASE WHEN p.u IS NULL THEN 0 ELSE ln({alpha}) END
+                        ELSE ln(a.n / tot.n) + CASE WHEN p.v IS NULL THEN 0 WHEN p.u IS NULL THEN ln({alpha}) ELSE 2 * ln({alpha}) END END AS z
+            FROM p JOIN c1 a ON p.x = a.x LEFT JOIN c1 b ON p.v = b.x LEFT JOIN c2 ON p.v = c2.v AND p.x = c2.x
+                   LEFT JOIN c2 d ON p.u = d.v AND p.v = d.x LEFT JOIN c3 ON p.u = c3.u AND p.v = c3.v AND p.x = c3.x, tot)
     SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(*) FILTER (s.late) AS n_backoff, count(*) FILTER (s.single) AS n_single, round(coalesce(sum(s.z), 0), 6) AS log_score
     FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, len(w.w)
     """

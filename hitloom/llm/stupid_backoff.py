@@ -1,253 +1,205 @@
 """Stupid-backoff language-model scores of all documents (operator 3).
 
-The model is the corpus itself and has order two: a word w after a word v
-scores ``c(v w) / c(v)`` if the two follow one another at least ``min_count``
-times, and otherwise ``ALPHA * c(w) / N``; the first word of a document scores
-``c(w) / N``.  A document's score is the sum of the logarithms.  With the
-default of 1 every counted pair is kept, and nothing backs off but the first
-words; larger values prune the model as is usual for large ones.  ``n_single``
-counts the words whose pair occurs nowhere else in the corpus.
-
-Counting and scoring are one join.  Every word occurrence, with its neighbours
-before and after it, goes to the hash partition of the word; there all its
-occurrences meet, so its count and those of all pairs that it is part of are
-complete, and both the pair that it ends and the pair that it begins can be
-scored on the spot.  Of each pair, the partition of the first word adds what
-depends on the first word's count, and the partition of the second word what a
-backoff takes.  Occurrences travel as packed blocks of codes with one
-dictionary for each batch, and what comes back are sums by document.
-
-The few words that make up much of any text would burden their partitions, so
-at most ``MAX_FREQUENT`` of them, and the pairs of two such words, are counted
-beforehand where they stand (a table of bounded size, sent to all tasks) and
-never travel.
+The model is the corpus itself, with n-grams of up to ``order`` words.  A word
+w after the words before it scores ``c(v.. w) / c(v..)`` for the longest n-gram
+ending at it that the tables hold, times ``ALPHA`` for every word of context
+given up; with no context left it scores ``c(w) / N``.  A document's score is
+the sum of the logarithms.  Tables hold all words and the longer n-grams that
+occur ``min_count`` times or more: the default of 1 keeps every n-gram, so that
+words of the corpus itself never back off; larger values prune the model as is
+usual for large ones.  ``n_backoff`` counts the words that gave up context,
+``n_single`` those whose n-gram of full order occurs nowhere else.
+
+In relational terms: n-grams are exploded and counted by batch, so that even
+the most frequent one travels at most once for each batch; the partial counts
+are partitioned by hash and added up to the count tables; these are joined to
+the batches' n-grams where they meet, in the same partition; and the totals go
+back to the batch, whose words are scored and summed by document.  Lists travel
+packed, sorted by hash, so a batch's totals need no hashes: in order of
+partitions they are in the order of its own distinct n-grams.  The number of
+partitions follows the input's size.
+
+A batch is known by a digest of its content.  Its n-grams are made in one scan
+and scored in another, which have to cut the table alike: ``scanned`` gives a
+plan that does, also for tasks that are repeated.
 
 Defined cases: a null text is empty; an empty text scores 0 with no words; a
-null id is passed on; repeated rows count and score each; the case of A-Z is
-ignored; an empty table gives no rows; other columns are ignored.
+null id is passed on; repeated rows count and score each; texts of any length
+are whole; the case of A-Z is ignored; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, batch_rows, lean, mix, partitions, text_chunks, word_hashes
+from .common import U64, batch_rows, lean, mix, partitions, scanned, text_chunks, word_hashes
 
 ALPHA = 0.4
-MAX_FREQUENT = 1024
+BATCH_ROWS, BATCH_TEXT = 4_000, 8 << 20
+BLOCK_INPUT = 16 << 20  # bytes of stored input for each hash partition, at most
 SCHEMA = "doc_id long, n_words long, n_backoff long, n_single long, log_score double"
+PART = "batch long, block int, packed binary"
 
 
-def _words(batch_column) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a batch (0 and 1 are kept for no word) and their row offsets."""
-    parts, counts = [], []
-    for c in text_chunks(batch_column):
+def _words(column) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a string column and their row offsets."""
+    parts, counts = [np.zeros(0, dtype=U64)], [np.zeros(1, dtype=np.int64)]
+    for c in text_chunks(column):
         w, at = word_hashes(c, lower=True)
-        parts.append(np.maximum(w, U64(2)))
+        parts.append(w)
         counts.append(np.diff(at))
-    w = np.concatenate(parts) if parts else np.zeros(0, dtype=U64)
-    n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-    return w, np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
-def _neighbours(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before (0: none) and after (1: none) each word, within its row."""
-    before, after = np.zeros(len(w), dtype=U64), np.ones(len(w), dtype=U64)
-    before[1:], after[:-1] = w[:-1], w[1:]
-    some = at[:-1][np.diff(at) > 0]
-    before[some] = 0
-    after[at[1:][np.diff(at) > 0] - 1] = 1
-    return before, after
+def _grams(w: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each n the places at which an n-gram of one row ends, and the hashes of all, n by n."""
+    place = np.arange(len(w)) - np.repeat(at[:-1], np.diff(at))
+    ends, out = [], []
+    so_far = np.zeros(len(w), dtype=U64)
+    for n in range(1, order + 1):
+        shifted = np.zeros(len(w), dtype=U64)
+        shifted[n - 1 :] = w[: max(0, len(w) - n + 1)]
+        so_far = mix(so_far ^ shifted) + U64(n)  # of the last n words
+        ends.append(np.flatnonzero(place >= n - 1))
+        out.append(mix(so_far[ends[-1]]))
+    return ends, np.concatenate(out)
 
 
-class Frequent:
-    """Hashes of the frequent words, ascending, with their counts and those of their pairs."""
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values as eight planes of bytes: those of small values compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def __init__(self, hashes: np.ndarray, total: int):
-        self.hashes, self.total = np.sort(hashes), total
-        self.counts = np.zeros(len(hashes), dtype=np.int64)
-        self.pairs = np.zeros((len(hashes), len(hashes)), dtype=np.int64)
 
-    def find(self, w: np.ndarray) -> np.ndarray:
-        """Place of each word, -1 if it isn't frequent."""
-        if not len(self.hashes):
-            return np.full(len(w), -1)
-        k = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == w, k, -1)
+def _values(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def frequent_words(texts: DataFrame) -> Frequent:
-    """Find the frequent words and count them and their pairs over the whole corpus."""
+def _content(batch: pa.RecordBatch) -> tuple[int, bytes]:
+    """A batch of ids and texts as bytes, and their digest."""
+    ids, text = batch.column(0), batch.column(1).fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    raw = b"" if data is None else memoryview(data)[ends[0] : ends[-1]]
+    packed = b"".join([
+        np.int64(len(ids)).tobytes(),
+        ids.fill_null(0).to_numpy().tobytes(),
+        np.asarray(ids.is_null().to_numpy(zero_copy_only=False), dtype=np.int64).tobytes(),
+        (ends - ends[0]).tobytes(),
+        raw,
+    ])
+    return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True), packed
+
+
+def _read(packed: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ids, which of them are null, and texts."""
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    ids, null = np.frombuffer(packed, np.int64, 2 * n, 8).reshape(2, n)
+    at = 8 + 16 * n
+    text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(packed[at : at + 8 * n + 8]), pa.py_buffer(packed[at + 8 * n + 8 :]))
+    return ids, null.astype(bool), text
 
-    def candidates(batches):
-        for b in batches:
-            w, _ = _words(b.column(0))
-            u, n = np.unique(w, return_counts=True)
-            top = np.flatnonzero(n * MAX_FREQUENT * 2 >= len(w)) if len(w) else []
-            yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(n[top], pa.int64())], names=["w", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(w)], pa.int64())], names=["w", "n"])
-
-    found = texts.mapInArrow(candidates, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    found = found.orderBy(F.col("w") != 0, F.desc("n"), "w").limit(MAX_FREQUENT + 1).collect()
-    total = found[0]["n"] if found else 0
-    out = Frequent(np.array([r["w"] for r in found[1:]], dtype=np.int64).view(U64), total)
-    shared = texts.sparkSession.sparkContext.broadcast(out)
-    size = len(out.hashes)
+
+def _rows(batch, block, packed) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], names=["batch", "block", "packed"])
+
+
+def word_total(texts: DataFrame) -> int:
+    """The number of words of all texts."""
 
     def count(batches):
-        known, single, pair = shared.value, np.zeros(size, dtype=np.int64), np.zeros(size * size, dtype=np.int64)
-        for b in batches:
-            w, at = _words(b.column(0))
-            k = known.find(w)
-            single += np.bincount(k[k >= 0], minlength=size)
-            before, _ = _neighbours(w, at)
-            last = np.append(-1, k[:-1]) if len(k) else k
-            both = (k >= 0) & (last >= 0) & (before != 0)
-            pair += np.bincount(last[both] * size + k[both], minlength=size * size)
-        for kind, n in enumerate((single, pair)):
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind), pa.int32()), pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["kind", "k", "n"])
-
-    if size:
-        counted = texts.mapInArrow(count, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_FREQUENT**2 + MAX_FREQUENT rows
-        kind, k, n = (counted.column(c).to_numpy() for c in range(3))
-        out.counts[k[kind == 0]] = n[kind == 0]
-        out.pairs.reshape(-1)[k[kind == 1]] = n[kind == 1]
-    return out
-
-
-def _pack(w, before, after, row) -> bytes:
-    """Occurrences of one block, in order of rows."""
-    words, code = np.unique(np.concatenate([w, before, after]), return_inverse=True)
-    code = code.astype(np.uint32)
-    rows, count = np.unique(row, return_counts=True)
-    head = np.array([len(w), len(words), len(rows)], dtype=np.int64)
-    return b"".join([head.tobytes(), words.tobytes(), rows.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), (code & 0xFFFF).astype(np.uint16).tobytes(), (code >> 16).astype(np.uint16).tobytes()])
-
-
-def _unpack(raw):
-    n, d, r = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    at = 24
-    words = np.frombuffer(raw, U64, d, at)
-    rows = np.frombuffer(raw, np.uint32, r, at := at + 8 * d)
-    count = np.frombuffer(raw, np.uint32, r, at := at + 4 * r)
-    low = np.frombuffer(raw, np.uint16, 3 * n, at := at + 4 * r)
-    high = np.frombuffer(raw, np.uint16, 3 * n, at + 6 * n)
-    w, before, after = words[(high.astype(np.uint32) << 16) | low].reshape(3, n)
-    return w, before, after, np.repeat(np.arange(r), count), rows
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(a * U64(0x9FB21C651E98DF25) ^ mix(b))
-
-
-def _counts(x: np.ndarray) -> np.ndarray:
-    """How often each value occurs, by place."""
-    _, back, n = np.unique(x, return_inverse=True, return_counts=True)
-    return n[back]
+        n = sum(int(c.words()[2][-1]) for b in batches for c in text_chunks(b.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    return texts.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
-PART = "batch long, block int, packed binary"
+
+def _scores(counts: list[np.ndarray], at: np.ndarray, total: int, min_count: int) -> tuple[np.ndarray, ...]:
+    """Words, backoffs, single n-grams and score of each row, from the count of the n-gram of each order ending at each word."""
+    order, n_words = len(counts), np.diff(at)
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    have = np.minimum(np.arange(len(row)) - at[row] + 1, order)  # words of the longest n-gram that the text allows
+    level = np.ones(len(row), dtype=np.int64)
+    value = np.log(np.maximum(counts[0], 1)) - math.log(max(total, 1))
+    for n in range(2, order + 1):
+        hit = np.flatnonzero((have >= n) & (counts[n - 1] >= min_count))
+        value[hit] = np.log(counts[n - 1][hit]) - np.log(counts[n - 2][hit - 1])
+        level[hit] = n
+    value += (have - level) * math.log(ALPHA)
+    add = lambda x: np.bincount(row, x, len(n_words))
+    return n_words, add(have > level).astype(np.int64), add((have == order) & (counts[-1] == 1)).astype(np.int64), add(value)
 
 
-def scores(docs: DataFrame, min_count: int = 1) -> DataFrame:
+def scores(docs: DataFrame, min_count: int = 1, order: int = 3) -> DataFrame:
     """One row for each row of docs, as the module says."""
     spark = docs.sparkSession
-    batch_rows(spark, 10_000)  # a batch shares a dictionary of words
-    blocks = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_words(rows.select("text"))
-    log_total = math.log(max(frequent.total, 1))
-    shared = spark.sparkContext.broadcast(frequent)
-
-    def send(batches):
-        known = shared.value
-        task = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
-            key = task << 32 | number
-            w, at = _words(b.column(1))
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
-            before, after = _neighbours(w, at)
-            k = known.find(w)
-            last = np.append(-1, k[:-1]) if len(k) else k
-            here = (k >= 0) & ((last >= 0) | (before == 0))  # both known: scored here
-            with np.errstate(divide="ignore"):
-                backoff = math.log(ALPHA) + np.log(known.counts[k[here]]) - log_total
-                pair = known.pairs[last[here], k[here]]
-                value = np.where(before[here] == 0, backoff - math.log(ALPHA), np.where(pair >= min_count, np.log(pair) - np.log(known.counts[last[here]]), backoff))
-                late = (before[here] != 0) & (pair < min_count)
-            own = np.bincount(row[here], value, len(n)), np.bincount(row[here], late, len(n)), np.bincount(row[here], (before[here] != 0) & (pair == 1), len(n))
-            ids = b.column(0)
-            packed = np.array([len(n), ids.null_count], dtype=np.int64).tobytes() + ids.fill_null(0).to_numpy().tobytes() + np.array(ids.is_null().to_pylist(), dtype=np.uint8).tobytes() + n.astype(np.int64).tobytes() + own[0].astype(np.float64).tobytes() + own[1].astype(np.int64).tobytes() + own[2].astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed], pa.binary())], names=["batch", "block", "packed"])
-            go = np.flatnonzero(k < 0)
-            block = ((w[go] >> U64(11)) % U64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            for x in np.flatnonzero(np.diff(cuts)):
-                at_ = go[order[cuts[x] : cuts[x + 1]]]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x], pa.int32()), pa.array([_pack(w[at_], before[at_], after[at_], row[at_])], pa.binary())], names=["batch", "block", "packed"])
-
-    def join(batches):
-        known = shared.value
-        parts, source = [], []
+    batch_rows(spark, BATCH_ROWS, BATCH_TEXT)
+    rows, size = scanned(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
+    blocks = max(partitions(spark), -(-size // BLOCK_INPUT))
+    total = word_total(rows.select("text"))
+
+    def explode(batches):
+        for b in batches:
+            key, _ = _content(b)
+            gram, n = np.unique(_grams(*_words(b.column(1)), order)[1], return_counts=True)
+            block = ((gram >> U64(32)) * U64(blocks) >> U64(32)).astype(np.int64)  # ascending, like the hashes
+            cuts = np.searchsorted(block, np.arange(blocks + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            yield _rows([key] * len(some), some, [_planes(np.concatenate([np.diff(gram[lo:hi], prepend=U64(0)), n[lo:hi].astype(U64)])) for lo, hi in zip(cuts[some], cuts[some + 1], strict=True)])
+
+    def count(batches):
+        keys, parts = [], []
         for b in batches:
             for key, block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if block < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), pa.array([packed.as_py()], pa.binary())], names=["batch", "block", "packed"])
-                else:
-                    parts.append(_unpack(packed.as_buffer()))
-                    source.append((key, block))
+                values = _values(packed.as_buffer())
+                with np.errstate(over="ignore"):
+                    parts.append((np.cumsum(values[: len(values) // 2]), values[len(values) // 2 :].astype(np.int64)))
+                keys.append((key, block))
         if not parts:
             return
-        w, before, after = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        count = np.log(_counts(w))
-        value = np.zeros(len(w))
-        # The pair that the word ends: all of it if the word before is frequent or missing, else the backoff.
-        ended, k = _counts(_pair(before, w)), known.find(before)
-        hit = (ended >= min_count) & (before != 0)
-        value += np.where(before == 0, count - log_total, 0.0)
-        late = ~hit & (before != 0)
-        value += np.where(late, math.log(ALPHA) + count - log_total, 0.0)
-        value += np.where(hit & (k >= 0), np.log(ended) - np.log(np.maximum(known.counts[k] if len(known.counts) else 1, 1)), 0.0)
-        # The pair that it begins: what a hit gives, and a frequent word's backoff.
-        begun, k = _counts(_pair(w, after)), known.find(after)
-        hit = (begun >= min_count) & (after != 1)
-        value += np.where(hit, np.log(begun) - count, 0.0)
-        miss = ~hit & (k >= 0) & (after != 1)
-        value += np.where(miss, math.log(ALPHA) + np.log(np.maximum(known.counts[k] if len(known.counts) else 1, 1)) - log_total, 0.0)
-        backoffs = late.astype(np.int64) + miss
-        single = ((ended == 1) & (before != 0)).astype(np.int64) + ((begun == 1) & (k >= 0) & (after != 1))
-        lo = 0
-        for (key, block), p in zip(source, parts, strict=True):
-            hi, r = lo + len(p[0]), len(p[4])
-            packed = np.int64(r).tobytes() + p[4].tobytes() + np.bincount(p[3], value[lo:hi], r).tobytes() + np.bincount(p[3], backoffs[lo:hi], r).astype(np.uint32).tobytes() + np.bincount(p[3], single[lo:hi], r).astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["batch", "block", "packed"])
-            lo = hi
-
-    def gather(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["block"].to_numpy(), kind="stable")
-        packed = table["packed"].combine_chunks()
-        raw = packed[int(order[0])].as_buffer()
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids, null = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint8, n, 16 + 8 * n).astype(bool)
-        words, value, late, single = (np.frombuffer(raw, t, n, 16 + 9 * n + 8 * n * k).copy() for k, t in enumerate((np.int64, np.float64, np.int64, np.int64)))
-        for i in order[1:]:
-            raw = packed[int(i)].as_buffer()
-            r = int(np.frombuffer(raw, np.int64, 1)[0])
-            at = np.frombuffer(raw, np.uint32, r, 8)
-            value[at] += np.frombuffer(raw[8 + 4 * r :], np.float64, r)
-            late[at] += np.frombuffer(raw[8 + 12 * r :], np.uint32, r)
-            single[at] += np.frombuffer(raw[8 + 16 * r :], np.uint32, r)
-        return pa.table({"doc_id": pa.array(ids, mask=null), "n_words": words, "n_backoff": late, "n_single": single, "log_score": value})
-
-    sent = rows.mapInArrow(lean(send), PART)
-    dealt = sent.withColumn("deal", F.when(F.col("block") >= 0, F.col("block")).otherwise(F.pmod(F.xxhash64("batch"), F.lit(blocks)).cast("int")))
-    return dealt.repartitionById(blocks, "deal").select("batch", "block", "packed").mapInArrow(lean(join), PART).groupBy("batch").applyInArrow(gather, SCHEMA)
+        gram, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        order_ = np.argsort(gram)
+        gram = gram[order_]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        table = np.add.reduceat(n[order_], first)  # the count table of this partition
+        n[order_] = np.repeat(table, np.diff(np.append(first, len(gram))))
+        hi = np.cumsum([len(p[0]) for p in parts])
+        for (key, block), lo, end in zip(keys, np.append(0, hi[:-1]), hi, strict=True):
+            yield _rows([key], [block], [_planes(n[lo:end])])
+
+    def bundle(batches):
+        for b in batches:
+            key, packed = _content(b)
+            yield _rows([key], [-1], [packed])
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = right["block"].to_numpy()
+        packed = right["packed"]
+        at_block, first = np.unique(block, return_index=True)  # equal batches bring equal totals
+        del at_block
+        totals = np.concatenate([np.zeros(0, dtype=U64), *(_values(packed[int(i)].as_buffer()) for i in first)]).astype(np.int64)
+        ids, null, text = _read(left["packed"][0].as_py())
+        w, at = _words(text)
+        ends, grams = _grams(w, at, order)
+        known, place = np.unique(grams, return_inverse=True)
+        if len(known) != len(totals):
+            raise RuntimeError("a batch was read otherwise when its n-grams were counted")
+        found, counts, lo = totals[place], [], 0
+        for e in ends:
+            c = np.zeros(len(w), dtype=np.int64)
+            c[e] = found[lo : lo + len(e)]
+            counts.append(c)
+            lo += len(e)
+        n_words, late, single, score = _scores(counts, at, total, min_count)
+        out = pa.table({"doc_id": pa.array(ids, mask=null), "n_words": n_words, "n_backoff": late, "n_single": single, "log_score": score})
+        return pa.concat_tables([out] * left.num_rows)
+
+    sent = rows.mapInArrow(lean(explode), PART)
+    counted = sent.repartitionById(blocks, "block").mapInArrow(lean(count), PART)
+    texts = rows.mapInArrow(lean(bundle), PART)
+    return texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(gather, SCHEMA)

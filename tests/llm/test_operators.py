@@ -103,31 +103,33 @@ def test_write_shards(spark, docs, none, tmp_path):
     sharding.write_shards(none, 2000, str(tmp_path / "c"))
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_stupid_backoff(docs, texts, none, least):
+@pytest.mark.parametrize(("least", "order"), [(1, 3), (2, 3), (2, 2), (1, 1)])
+def test_stupid_backoff(docs, texts, none, least, order):
     words = [(i, WORD.findall(t.translate(LOWER))) for i, t in texts]
-    one, two = collections.Counter(), collections.Counter()
-    for _, w in words:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
+    count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in words)
     want = []
     for i, w in words:
-        s, late = 0.0, 0
-        for a, b in zip([None, *w], w):
-            if a is None:
-                s += math.log(one[b] / total)
-            elif two[a, b] >= least:
-                s += math.log(two[a, b] / one[a])
-            else:
-                s += math.log(0.4 * one[b] / total)
-                late += 1
-        single = sum(two[a, b] == 1 for a, b in zip(w, w[1:]))
+        s = late = single = 0
+        for k in range(len(w)):
+            longest = n = min(order, k + 1)
+            while n > 1 and count[tuple(w[k + 1 - n : k + 1])] < least:
+                n -= 1
+            gram = tuple(w[k + 1 - n : k + 1])
+            s += (longest - n) * math.log(0.4) + math.log(count[gram] / (count[gram[:-1]] if n > 1 else total))
+            late += n < longest
+            single += longest == order and count[tuple(w[k + 1 - order : k + 1])] == 1
         want.append((i, len(w), late, single, s))
-    got = sorted(map(tuple, stupid_backoff.scores(docs, least).collect()))
+    got = sorted(map(tuple, stupid_backoff.scores(docs, least, order).collect()))
     assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
     assert [g[4] for g in got] == pytest.approx([w[4] for w in sorted(want)])
-    assert stupid_backoff.scores(none).count() == 0
+    assert stupid_backoff.scores(none, least, order).count() == 0
+
+
+def test_stupid_backoff_equal_batches_and_null_ids(spark):
+    one = spark.createDataFrame([(7, "a b c a b"), (None, None), (None, "A")], "doc_id long, text string").coalesce(1)
+    got = collections.Counter(map(tuple, stupid_backoff.scores(one.union(one)).collect()))  # two partitions alike, so two batches alike
+    assert set(got.values()) == {2} and {g[:4] for g in got} == {(7, 5, 0, 0), (None, 0, 0, 0), (None, 1, 0, 0)}
 
 
 def test_quality_rules(docs, texts, none):
