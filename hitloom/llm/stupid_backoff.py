@@ -71,13 +71,26 @@ def _grams(w: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray],
     return ends, np.concatenate(out)
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def _plain(squeezed) -> bytes:
+    """The bytes of a buffer or bytes that ``_squeezed`` made."""
+    squeezed = memoryview(squeezed)
+    return _ZSTD.decompress(squeezed[8:], int(np.frombuffer(squeezed[:8], np.int64)[0]), asbytes=True)
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """64-bit values as eight planes of bytes: those of small values compress to nothing."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit values as eight planes of bytes, of which those of small values compress to nothing."""
+    return _squeezed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _values(raw) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def _values(squeezed) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_plain(squeezed), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def _content(batch: pa.RecordBatch) -> tuple[int, bytes]:
@@ -175,15 +188,14 @@ def scores(docs: DataFrame, min_count: int = 1, order: int = 3) -> DataFrame:
     def bundle(batches):
         for b in batches:
             key, packed = _content(b)
-            yield _rows([key], [-1], [packed])
+            yield _rows([key], [-1], [_squeezed(packed)])
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         block = right["block"].to_numpy()
         packed = right["packed"]
-        at_block, first = np.unique(block, return_index=True)  # equal batches bring equal totals
-        del at_block
+        first = np.unique(block, return_index=True)[1]  # equal batches bring equal totals
         totals = np.concatenate([np.zeros(0, dtype=U64), *(_values(packed[int(i)].as_buffer()) for i in first)]).astype(np.int64)
-        ids, null, text = _read(left["packed"][0].as_py())
+        ids, null, text = _read(_plain(left["packed"][0].as_buffer()))
         w, at = _words(text)
         ends, grams = _grams(w, at, order)
         known, place = np.unique(grams, return_inverse=True)
