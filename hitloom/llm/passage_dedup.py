@@ -127,8 +127,19 @@ _HEAD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which tokens of b (second axis) are which of the same row of a (third axis)."""
-    return (b[:, :, None] == a[:, None, :]) & (b != 0)[:, :, None]
+    """Which tokens of b (second axis) are which of the same row of a (third axis, filled up to a multiple of eight)."""
+    out = b[:, :, None] == np.pad(a, ((0, 0), (0, -a.shape[1] % 8)))[:, None, :]
+    out &= (b != 0)[:, :, None]
+    return out
+
+
+def _hits(same: np.ndarray) -> np.ndarray:
+    """Which tokens of b are in a: as ``same.any(axis=2)``, eight at a time."""
+    eights = same.view(np.uint64)
+    out = eights[:, :, 0].copy()
+    for k in range(1, eights.shape[2]):
+        out |= eights[:, :, k]
+    return out != 0
 
 
 def _reach(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +182,31 @@ def _least_distinct(grid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within(left: np.ndarray, right: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """How many used tokens each string (i tokens to the left, j to the right) of each row holds: rows, i, j."""
-    m, n = len(left), TOKENS + 1
-    row = np.broadcast_to(np.arange(m)[:, None], left.shape)
-    right = np.where(left == 0, TOKENS, right)  # the shared token is in all strings
-    total = [np.bincount((row * n + x)[use], minlength=m * n).reshape(m, n)[:, :TOKENS].cumsum(axis=1, dtype=np.int16) for x in (left, right)]
-    out = total[0][:, :, None] + total[1][:, None, :]
-    two = use & (left < TOKENS) & (right < TOKENS)
-    some = np.flatnonzero(two.any(axis=1))
-    if len(some):
-        new = np.cumsum(two.any(axis=1)) - 1
-        count = np.bincount(((new[row] * n + left) * n + right)[two], minlength=len(some) * n * n).reshape(len(some), n, n)
-        out[some] -= count[:, :TOKENS, :TOKENS].cumsum(axis=1).cumsum(axis=2).astype(np.int16)
+def _tally(left_end, right_end, *terms) -> np.ndarray:
+    """What each string (i tokens to the left, j to the right) of each row adds up to: rows, i, j; far under 0 beyond the row's ends.
+
+    A term is a weight, the reach of tokens on both sides and which of them
+    are used: each one that the string holds counts its weight, once.  A token
+    on one side alone adds to that side, whatever the other; so the sums are
+    outer ones but for tokens that stand on both sides.
+    """
+    m, n, step = len(left_end), TOKENS + 1, np.arange(TOKENS)
+    row = np.arange(m)[:, None] * n
+    sides = [np.where(step[None, :] > end[:, None], -10_000, 0) for end in (left_end, right_end)]
+    both = []
+    for weight, left, right, use in terms:
+        right = np.where(left == 0, TOKENS, right)  # the shared token is in all strings
+        for side, x in zip(sides, (left, right), strict=True):
+            side += weight * np.bincount((row + x)[use], minlength=m * n).reshape(m, n)[:, :TOKENS].cumsum(axis=1)
+        two = use & (left < TOKENS) & (right < TOKENS)
+        some = np.flatnonzero(two.any(axis=1))
+        if len(some):
+            both.append((weight, some, left[some], right[some], two[some]))
+    out = sides[0].astype(np.int16)[:, :, None] + sides[1].astype(np.int16)[:, None, :]
+    for weight, some, left, right, two in both:
+        at = (np.arange(len(some))[:, None] * n + left) * n + right
+        count = np.bincount(at[two], minlength=len(some) * n * n).astype(np.int16).reshape(len(some), n, n)[:, :TOKENS, :TOKENS]
+        out[some] -= np.int16(weight) * count.cumsum(axis=1, dtype=np.int16).cumsum(axis=2, dtype=np.int16)
     return out
 
 
@@ -197,6 +220,10 @@ def _warp(mine: np.ndarray, other: np.ndarray, use: np.ndarray) -> tuple[np.ndar
     return far, (far[:, None, :] < np.arange(TOKENS + 1)[None, :, None]).sum(axis=2)
 
 
+_SIZE = np.arange(TOKENS)[:, None] + np.arange(TOKENS) + 1
+_SIZE = np.where(_SIZE >= TOKENS, _SIZE, 0).astype(np.uint8)  # of strings that are long enough
+
+
 def _longest(a: np.ndarray, b: np.ndarray, own_a, own_b, reach) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each pair of rows the longest string of b around the middle that is similar to one of a: whether there is one, first and last place.
 
@@ -205,29 +232,29 @@ def _longest(a: np.ndarray, b: np.ndarray, own_a, own_b, reach) -> tuple[np.ndar
     as what matches (words put in or left out shift it).  Both strings have at
     least TOKENS tokens.
     """
-    step = np.arange(TOKENS)
     (la, ra, use_a), (lb, rb, use_b), (lo, ro) = own_a, own_b, reach
     shared = use_b & ((lo < TOKENS) | (ro < TOKENS))
-    ends = [((g[:, :SIDE] != 0).sum(axis=1), (g[:, SIDE + 1 :] != 0).sum(axis=1)) for g in (a, b)]
-    size = (step[:, None] + step[None, :] + 1).astype(np.int16)
-    inside = (size >= TOKENS) & (step[None, :, None] <= ends[1][0][:, None, None]) & (step[None, None, :] <= ends[1][1][:, None, None])
-    n_b, own = _within(lb, rb, use_b), _within(lb, rb, shared)
+    (a_left, a_right), (b_left, b_right) = (((g[:, :SIDE] != 0).sum(axis=1), (g[:, SIDE + 1 :] != 0).sum(axis=1)) for g in (a, b))
 
-    def good(lo, ro, la, ra, length):
-        n_a = _within(la, ra, use_a)
-        both = own + _within(lo, ro, shared) - _within(np.minimum(lb, lo), np.minimum(rb, ro), shared)
-        return (length >= TOKENS) & (DEN * both >= NUM * (n_a + n_b - both))
+    def good(rows, lo, ro, la, ra):
+        """Whether DEN times the tokens in common are NUM times those of both strings together, or more."""
+        l, r, s, t = lb[rows], rb[rows], use_b[rows], shared[rows]  # noqa: E741
+        common = [(l, r, t), (lo, ro, t), (np.minimum(l, lo), np.minimum(r, ro), t)]  # in b, in a, in one of them
+        weights = NUM + DEN, NUM + DEN, -NUM - DEN
+        return _tally(b_left[rows], b_right[rows], *((w, *c) for w, c in zip(weights, common, strict=True)), (-NUM, la, ra, use_a[rows]), (-NUM, l, r, s)) >= 0
 
-    ok = inside & good(lo, ro, la, ra, np.minimum(step, ends[0][0][:, None])[:, :, None] + np.minimum(step, ends[0][1][:, None])[:, None, :] + 1)
+    step = np.arange(TOKENS)
+    far_l, far_r = np.minimum(step, a_left[:, None]), np.minimum(step, a_right[:, None])
+    ok = good(slice(None), lo, ro, la, ra)
+    ok &= far_l.astype(np.int8)[:, :, None] + far_r.astype(np.int8)[:, None, :] >= SIDE
     moved = np.flatnonzero((shared & ((lo != lb) | (ro != rb))).any(axis=1))
     if len(moved):
-        la, ra, use_a, lb, rb, lo, ro, shared, n_b, own = (x[moved] for x in (la, ra, use_a, lb, rb, lo, ro, shared, n_b, own))
-        (far_l, at_l), (far_r, at_r) = _warp(lb, lo, shared), _warp(rb, ro, shared)
-        by = [np.take_along_axis(t, x.astype(np.int64), axis=1) for t, x in ((at_l, lo), (at_r, ro), (at_l, la), (at_r, ra))]
-        ok[moved] |= inside[moved] & good(*by, far_l[:, :, None] + far_r[:, None, :] + 1)
-    score = np.where(ok, size, np.int16(0)).reshape(len(a), -1)
-    best = score.argmax(axis=1)
-    return score[np.arange(len(a)), best] > 0, SIDE - best // TOKENS, SIDE + best % TOKENS
+        (far_l, at_l), (far_r, at_r) = (_warp(x[moved], y[moved], shared[moved]) for x, y in ((lb, lo), (rb, ro)))
+        by = [np.take_along_axis(t, x[moved].astype(np.int64), axis=1) for t, x in ((at_l, lo), (at_r, ro), (at_l, la), (at_r, ra))]
+        ok[moved] |= good(moved, *by) & (far_l.astype(np.int8)[:, :, None] + far_r.astype(np.int8)[:, None, :] >= SIDE)
+    score = ok * _SIZE
+    best = score.reshape(len(a), -1).argmax(axis=1)
+    return score.reshape(len(a), -1)[np.arange(len(a)), best] > 0, SIDE - best // TOKENS, SIDE + best % TOKENS
 
 
 def _room(hit: np.ndarray, grid: np.ndarray, single: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -350,13 +377,13 @@ def _compare(head: np.ndarray, grid: np.ndarray) -> np.ndarray:
             full = equal & (x == SIDE - head["left"][b_]) & (y == SIDE + head["right"][b_] - 1)
             rest = np.flatnonzero(~full)
             same = _same(a[rest], b[rest])
-            p, q, back = a_[rest], b_[rest], same.any(axis=2)
+            p, q, back = a_[rest], b_[rest], _hits(same)
             some = (use[q] & back).sum(axis=1) >= np.maximum(lists.need[p], lists.need[q])
             # Behind a find, just strings that go on beyond it count.
             further = [np.where(found[q], x, 0) for x in (SIDE - lo[q] + 1, hi[q] - SIDE)]
             some &= _room(back, b[rest], single[q], further[0], 0 * q) | _room(back, b[rest], single[q], 0 * q, further[1])
             same, rest = same[some], rest[some]
-            some = _room(same.any(axis=1), a[rest], single[a_[rest]], 0 * rest, 0 * rest)
+            some = _room(same.any(axis=1)[:, :WIDTH], a[rest], single[a_[rest]], 0 * rest, 0 * rest)
             same, rest = same[some], rest[some]
             if len(rest):
                 p, q = a_[rest], b_[rest]
@@ -473,7 +500,7 @@ def repeated_passages(rows: DataFrame, blocks: int) -> DataFrame:
         at = at[_may_match(head["hash"][at], np.concatenate([flat[begin[j] : begin[j + 1]] for j in at]) if len(at) else flat[:0], size[at].astype(np.int64))]
         out, lo = [], 0
         while lo < len(at):
-            hi = min(lo + 5_000, len(at))
+            hi = min(lo + 20_000, len(at))
             while hi < len(at) and head["hash"][at[hi]] == head["hash"][at[hi - 1]]:
                 hi += 1
             own = at[lo:hi]
