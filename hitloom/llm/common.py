@@ -95,13 +95,13 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and len(self) + 1 word offsets."""
+    def words(self, solid_bytes: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and len(self) + 1 word offsets; solid_bytes flags the 256 bytes that words are made of."""
         n = len(self.data)
         if not n:
             z = np.zeros(0, dtype=np.int64)
             return z, z, np.zeros(len(self) + 1, dtype=np.int64)
-        solid = ~IS_SPACE[self.data]
+        solid = solid_bytes[self.data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.offsets] = True
         edge[0] = edge[n] = True

@@ -62,3 +62,29 @@ def shingle_components(words: int, num: int, den: int) -> str:
     SELECT cl.doc_id, CAST(cl.n AS BIGINT) AS n_shingles, CASE WHEN cl.n = 0 THEN cl.doc_id ELSE root.root END AS component_id
     FROM cl JOIN root ON cl.rep = root.a
     """
+
+
+def importance(buckets: int, percent: int, least: int, seed: int) -> str:
+    """Importance resampling: CRC-32 by its table, gains by bucket, mean by document, seeded Gumbel draws."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: {step})) AS t),
+      src AS (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+      w AS (SELECT part, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM src),
+      f AS (SELECT part, doc_id, unnest(list_concat(w, list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+      n AS (SELECT part, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+      h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+      b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                    lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) % {buckets} AS b FROM h, crc),
+      c AS (SELECT b, sum(n) FILTER (part = 0) AS s, sum(n) FILTER (part = 1) AS t FROM n JOIN b USING (f) GROUP BY b),
+      a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM c),
+      g AS (SELECT b, CAST(floor(1000 * ln((coalesce(c.t, 0) + 1.0::DOUBLE) * (a.s + {buckets})::DOUBLE / ((coalesce(c.s, 0) + 1.0::DOUBLE) * (a.t + {buckets})::DOUBLE))) AS BIGINT) AS g FROM c, a),
+      d AS (SELECT doc_id, sum(n * g) AS total, sum(n) AS n FROM n JOIN b USING (f) JOIN g USING (b) WHERE part = 0 GROUP BY doc_id),
+      z AS (SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(d.n, 0) AS BIGINT) AS n_features,
+                   CAST(coalesce((d.total - ((d.total % d.n) + d.n) % d.n) / d.n, 0) AS BIGINT) AS weight,
+                   CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || w.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+            FROM w LEFT JOIN d USING (doc_id) WHERE w.part = 0),
+      r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS k, count(*) OVER () AS n FROM z WHERE n_words >= {least})
+    SELECT z.doc_id, z.n_features, z.weight, z.weight + z.noise AS score, CASE WHEN r.k <= {percent} * r.n // 100 THEN r.k END AS rank
+    FROM z LEFT JOIN r USING (doc_id)
+    """

@@ -100,3 +100,11 @@ def op8(spark, sf_dir):
     from .passage_dedup import removal
 
     return removal(table(spark, sf_dir, "documents"))
+
+
+@query("op13_importance", oracles.importance(10_000, 25, 20, 7))
+def op13(spark, sf_dir):
+    from .importance import resample
+
+    target = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return resample(table(spark, sf_dir, "documents"), target)
