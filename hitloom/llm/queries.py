@@ -108,3 +108,23 @@ def op13(spark, sf_dir):
 
     target = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return resample(table(spark, sf_dir, "documents"), target)
+
+
+def planted(docs):
+    """A tenth of the texts made periodic from some word on, as operator 12's contract says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("words"))
+    rows = rows.withColumn("a", F.when(n > 0, g % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), n - F.col("a"))), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    from .periodic_runs import collapse, digests
+
+    return digests(collapse(planted(table(spark, sf_dir, "documents"))))
