@@ -29,6 +29,8 @@ whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,48 +47,44 @@ _BASES = (np.uint64(1103515245), np.uint64(1566083941))
 
 
 class Hashes:
-    """Prefix hashes of a sequence of word numbers under both moduli, in one 64-bit number for each stretch."""
+    """Prefix sums of word hashes times powers of a base, under both moduli: equal stretches differ by a power only."""
 
     def __init__(self, words: np.ndarray):
-        n = len(words)
         self.prefix, self.power = [], []
         for prime, base in zip(_PRIMES, _BASES, strict=True):
-            p, b = int(prime), int(base)
-            sums, powers, s, w = [0], [1], 0, 1
-            for x in (mix(words.astype(U64)) % prime).tolist():
-                s = (s * b + x) % p
-                w = w * b % p
-                sums.append(s)
-                powers.append(w)
-            self.prefix.append(np.array(sums, dtype=U64))
-            self.power.append(np.array(powers, dtype=U64))
-        self.n = n
-
-    def lists(self):
-        return [x.tolist() for x in (*self.prefix, *self.power)]
+            power = np.array([1, base], dtype=U64)
+            while len(power) <= len(words):
+                power = np.concatenate([power, power * (power[-1] * base % prime) % prime])
+            power = power[: len(words) + 1]
+            sums = np.cumsum(mix(words.astype(U64)) % prime * power[:-1] % prime) % prime  # below 2**63 for 2**32 words
+            self.prefix.append(np.concatenate([np.zeros(1, dtype=U64), sums]))
+            self.power.append(power)
+
+    def cut(self, a: int, b: int) -> list[list[int]]:
+        """Prefix hashes of a stretch under both moduli, and the powers."""
+        return [*(x[a : b + 1].tolist() for x in self.prefix), *(x[: b - a + 1].tolist() for x in self.power)]
 
     def same(self, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether the stretches of the given lengths from i and j have equal hashes."""
         out = np.ones(len(i), dtype=bool)
         for h, power, prime in zip(self.prefix, self.power, _PRIMES, strict=True):
-            w = power[length]
-            a = (h[i + length] + prime - h[i] * w % prime) % prime
-            b = (h[j + length] + prime - h[j] * w % prime) % prime
+            a = (h[i + length] + prime - h[i]) % prime * power[j - i] % prime
+            b = (h[j + length] + prime - h[j]) % prime
             out &= a == b
         return out
 
-    def ahead(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Longest common extension to the right of i and j (i < j)."""
-        low, high = np.zeros(len(i), dtype=np.int64), self.n - j
+    def ahead(self, i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Longest common extension to the right of i and j (i < j), before end."""
+        low, high = np.zeros(len(i), dtype=np.int64), end - j
         while (low < high).any():
             half = (low + high + 1) // 2
             fits = self.same(i, j, half)
             low, high = np.where(fits, half, low), np.where(fits, high, half - 1)
         return low
 
-    def behind(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Longest common extension to the left of places i and j (i < j), neither included."""
-        low, high = np.zeros(len(i), dtype=np.int64), i.copy()
+    def behind(self, i: np.ndarray, j: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Longest common extension to the left of places i and j (i < j), neither included, from begin on."""
+        low, high = np.zeros(len(i), dtype=np.int64), i - begin
         while (low < high).any():
             half = (low + high + 1) // 2
             fits = self.same(i - half, j - half, half)
@@ -94,7 +92,7 @@ class Hashes:
         return low
 
 
-def _extension(words: list[int], hashes: Hashes | None):
+def _extension(words: list[int], hashes: list[list[int]] | None):
     """A function for the longest common extension of two places, i < j.
 
     Equal stretches have equal hashes, so what the search finds is never too
@@ -111,18 +109,17 @@ def _extension(words: list[int], hashes: Hashes | None):
     if hashes is None:
         return direct
     raw = np.array(words, dtype=np.int64).tobytes()
-    h0, h1, w0, w1 = hashes.lists()
+    h0, h1, w0, w1 = hashes
     p0, p1 = map(int, _PRIMES)
 
     def by_hash(i: int, j: int) -> int:
         if words[i] != words[j]:
             return 0
         low, high = 1, n - j
-        step = 2
+        a, b, step = w0[j - i], w1[j - i], 2
         while low < high:  # doubling first, then halving
             k = min(high, step) if step else (low + high + 1) // 2
-            a, b = w0[k], w1[k]
-            if (h0[i + k] - h0[i] * a - h0[j + k] + h0[j] * a) % p0 == 0 and (h1[i + k] - h1[i] * b - h1[j + k] + h1[j] * b) % p1 == 0:
+            if ((h0[i + k] - h0[i]) * a - h0[j + k] + h0[j]) % p0 == 0 and ((h1[i + k] - h1[i]) * b - h1[j + k] + h1[j]) % p1 == 0:
                 low = k
                 step *= 2
             else:
@@ -133,7 +130,7 @@ def _extension(words: list[int], hashes: Hashes | None):
     return by_hash
 
 
-def lyndon_lengths(words: list[int], hashes: Hashes | None) -> tuple[list[int], list[int]]:
+def lyndon_lengths(words: list[int], hashes: list[list[int]] | None) -> tuple[list[int], list[int]]:
     """Length of the longest Lyndon word at each place, under the order of the numbers and under its reverse.
 
     Both stacks are threaded through the arrays of next smaller suffixes.  The
@@ -181,42 +178,49 @@ def lyndon_lengths(words: list[int], hashes: Hashes | None) -> tuple[list[int],
     return [j - i for i, j in enumerate(up[:n])], [j - i for i, j in enumerate(down[:n])]
 
 
-def _verified(words: np.ndarray, start: np.ndarray, end: np.ndarray, period: np.ndarray) -> bool:
-    """Whether all runs are periodic word by word, and can't be extended."""
-    n = len(words)
+def _verified(words: np.ndarray, runs: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bool:
+    """Whether all runs are periodic word by word, and can't be extended within their stretches."""
+    start, end, period = runs[:, 0], runs[:, 0] + runs[:, 1], runs[:, 2]
     size = end - start - period
     first = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     if (words[first] != words[first + np.repeat(period, size)]).any():
         return False
-    left, right = start > 0, end < n
+    left, right = start > begin, end < stop
     return not ((words[start[left] - 1] == words[start[left] - 1 + period[left]]).any() or (words[end[right]] == words[end[right] - period[right]]).any())
 
 
-def find_runs(words: np.ndarray, least: int = LEAST, times: int = TIMES, hashed: bool = True) -> np.ndarray:
-    """start, length and period of all runs of one sequence of word numbers, by start, then period."""
-    n = len(words)
-    if n < max(2, least):
+def find_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, times: int = TIMES, hashed: bool = True) -> np.ndarray:
+    """start, length and period of all runs of the given stretches (apart from each other, in order) of a sequence of word numbers."""
+    use = ends - starts >= max(2, least)
+    starts, ends = starts[use], ends[use]
+    at, period = [], []
+    hashes = Hashes(words) if hashed and len(starts) else None
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        for found in lyndon_lengths(words[a:b].tolist(), hashes and hashes.cut(a, b)):
+            p = np.array(found, dtype=np.int64)
+            fits = np.flatnonzero(np.maximum(least, times * p) <= b - a)
+            at.append(a + fits)
+            period.append(p[fits])
+    if not at:
         return np.zeros((0, 3), dtype=np.int64)
-    hashes = Hashes(words) if hashed else None
-    found = np.concatenate([np.array(x, dtype=np.int64) for x in lyndon_lengths(words.tolist(), hashes)])
-    at = np.concatenate([np.arange(n), np.arange(n)])
-    fits = np.maximum(least, times * found) <= n
-    at, period = at[fits], found[fits]
+    at, period = np.concatenate(at), np.concatenate(period)
+    own = np.searchsorted(starts, at, "right") - 1
     if hashes is not None:
-        right = hashes.ahead(at, at + period)
-        left = hashes.behind(at, at + period)
+        right = hashes.ahead(at, at + period, ends[own])
+        left = hashes.behind(at, at + period, starts[own])
     else:
-        whole = words.tolist()
-        extension = _extension(whole, None)
-        turned = _extension(whole[::-1], None)
-        right = np.array([extension(i, i + p) for i, p in zip(at.tolist(), period.tolist(), strict=True)], dtype=np.int64)
-        left = np.array([turned(n - i - p, n - i) if i else 0 for i, p in zip(at.tolist(), period.tolist(), strict=True)], dtype=np.int64)
-    start, end = at - left, at + period + right
-    long_ = end - start >= np.maximum(least, np.maximum(2, times) * period)
-    runs = np.unique(np.stack([start[long_], end[long_] - start[long_], period[long_]], axis=1), axis=0)
-    if hashed and not _verified(words, runs[:, 0], runs[:, 0] + runs[:, 1], runs[:, 2]):
-        return find_runs(words, least, times, hashed=False)
-    return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
+        right, left = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        for k, (i, p, a, b) in enumerate(zip(at.tolist(), period.tolist(), starts[own].tolist(), ends[own].tolist(), strict=True)):
+            right[k] = _extension(words[i:b].tolist(), None)(0, p)
+            left[k] = _extension(words[a : i + p][::-1].tolist(), None)(0, p)
+    start, length = at - left, left + period + right
+    long_ = length >= np.maximum(least, np.maximum(2, times) * period)
+    runs, first = np.unique(np.stack([start, period, length], axis=1)[long_], axis=0, return_index=True)
+    runs = runs[:, [0, 2, 1]]
+    own = own[long_][first]
+    if hashed and not _verified(words, runs, starts[own], ends[own]):
+        return find_runs(words, starts, ends, least, times, hashed=False)
+    return runs
 
 
 def stretches(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,24 +257,22 @@ def runs_of_rows(words: np.ndarray, at: np.ndarray, least: int = LEAST, times: i
         starts, ends = stretches(words, at)
     else:
         starts, ends = at[:-1], at[1:]
-    parts = []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        found = find_runs(words[a:b], least, times)
-        if len(found):
-            parts.append(found + np.array([a, 0, 0]))
-    runs = np.concatenate(parts) if parts else np.zeros((0, 3), dtype=np.int64)
+    size = ends - starts
+    own = np.cumsum(size) - size  # places among the words of all stretches
+    under = np.repeat(starts - own, size) + np.arange(size.sum())
+    runs = find_runs(words[under], own, own + size, least, times)
+    runs[:, 0] = under[runs[:, 0]]
     row = np.searchsorted(at, runs[:, 0], "right") - 1
     runs[:, 0] -= at[row]
-    order = np.lexsort((runs[:, 2], runs[:, 0], row))
-    return runs[order], np.searchsorted(row[order], np.arange(len(at)))
+    return runs, np.searchsorted(row, np.arange(len(at)))
 
 
 def _numbered(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each text, their numbers end to end, and the offsets."""
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = defaultdict(count().__next__)
     split = [t.split() for t in texts]  # at 0x20 and 0x09-0x0D
     at = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), dtype=np.int64, count=int(at[-1]))
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(at[-1]))
     return split, ids, at
 
 

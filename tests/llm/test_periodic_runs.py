@@ -72,12 +72,16 @@ def test_runs_of_sequences(least, times):
         assert [tuple(x) for x in found[cut[k] : cut[k + 1]].tolist()] == plain_runs(r.tolist(), least, times), r.tolist()
 
 
+def whole(r, **how):
+    return pr.find_runs(r, np.array([0]), np.array([len(r)]), 2, 2, **how)
+
+
 def test_without_hashes_and_deceived(monkeypatch):
     rows = [np.array(s, dtype=np.int64) for s in list(sequences())[::7]]
     want = [plain_runs(r.tolist(), 2, 2) for r in rows]
-    assert [[tuple(x) for x in pr.find_runs(r, 2, 2, hashed=False).tolist()] for r in rows] == want
+    assert [[tuple(x) for x in whole(r, hashed=False).tolist()] for r in rows] == want
     monkeypatch.setattr(pr, "mix", lambda x: x * np.uint64(0) + np.uint64(1))  # every stretch has its length's hash
-    assert [[tuple(x) for x in pr.find_runs(r, 2, 2).tolist()] for r in rows] == want
+    assert [[tuple(x) for x in whole(r).tolist()] for r in rows] == want
 
 
 def test_query(spark):
