@@ -128,3 +128,16 @@ def op12(spark, sf_dir):
     from .periodic_runs import collapse, digests
 
     return digests(collapse(planted(table(spark, sf_dir, "documents"))))
+
+
+@query("op11_chat_format")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    from .chat_format import digests, format_chats
+
+    file = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(format_chats(turns, *file), *file, dealt=True)
