@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import hashlib
 import re
 import shutil
 import tempfile
@@ -75,6 +76,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
 
 
+#: bytes up to which a span goes by the polynomial: modulo 2**64 it has known collisions from 1,024 bytes on
+LONG_SPAN = 64
+
+
+def text_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each span of bytes: the polynomial one for short spans, a cryptographic digest for longer ones."""
+    out = span_hash(prefix_hash(data, lower) if prefix is None else prefix, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        own = data[starts[k] : ends[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(own.lower() if lower else own, digest_size=8).digest(), "little")
+    return out
+
+
 def value_prefix(values: np.ndarray) -> np.ndarray:
     """The same over a sequence of 64-bit values."""
     out = np.zeros(len(values) + 1, dtype=U64)
@@ -137,7 +151,7 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20):
 def word_hashes(chunk: Chunk, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the word offsets of the rows."""
     starts, ends, at = chunk.words()
-    return span_hash(prefix_hash(chunk.data, lower), starts, ends), at
+    return text_hash(chunk.data, starts, ends, lower), at
 
 
 def gram_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

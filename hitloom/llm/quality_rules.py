@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import IS_SPACE, U64, batch_rows, distinct_per_row, gram_hashes, lean, mix, prefix_hash, span_hash, text_chunks, written
+from .common import IS_SPACE, U64, batch_rows, distinct_per_row, gram_hashes, lean, mix, prefix_hash, text_chunks, text_hash, written
 
 ORDER = 4
 BITS = 24
@@ -88,11 +88,11 @@ def base_features(chunk) -> dict[str, np.ndarray]:
     line_end[last] = offsets[line_row[last] + 1]
     total = np.concatenate([[0], np.cumsum(solid)])
     full = total[line_end] > total[line_start]
-    h, row = span_hash(prefix, line_start[full], line_end[full]), line_row[full]
+    h, row = text_hash(data, line_start[full], line_end[full], prefix=prefix), line_row[full]
     line_at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
     out["n_dup_lines"] = np.diff(line_at) - np.diff(distinct_per_row(h, line_at)[1])
 
-    words = span_hash(prefix, starts, ends)
+    words = text_hash(data, starts, ends, prefix=prefix)
     three, three_at = gram_hashes(words, at, 3)
     row = np.repeat(np.arange(rows), np.diff(three_at))
     order = np.lexsort((three, row))

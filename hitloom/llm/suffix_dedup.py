@@ -42,7 +42,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Chunk, batch_rows, lean, partitions, prefix_hash, span_hash, text_chunks
+from .common import U64, Chunk, batch_rows, lean, partitions, prefix_hash, span_hash, text_chunks, text_hash
 
 LENGTH = 100
 GRAM = 32
@@ -171,7 +171,7 @@ def repeated_triggers(rows: DataFrame, blocks: int, parse=Parse) -> DataFrame:
                 own = np.frombuffer(raw, np.int64, u, 24 + 8 * (s + n))
                 key.append(own[np.frombuffer(raw, np.uint32, n, 24 + 8 * (s + n + u))])
                 ordinal.append(np.frombuffer(raw, np.uint32, n, 24 + 8 * (s + n + u) + 4 * n))
-        if not h:
+        if not sum(map(len, h)):
             return
         several, h, key, ordinal = (np.concatenate(x) for x in (several, h, key, ordinal))
         several = np.unique(several)
@@ -241,7 +241,7 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
                 head = np.zeros(len(at), dtype=_HEAD)
                 head["hash"], head["doc"], head["key"] = p.hash[at], docs[p.row[at] + c.lo], keys[p.row[at] + c.lo]
                 head["start"], head["size"] = p.lo[at] - c.offsets[p.row[at]], p.hi[at] - p.lo[at] + LENGTH
-                content = span_hash(prefix_hash(c.data), p.lo[at], p.hi[at] + LENGTH)
+                content = text_hash(c.data, p.lo[at], p.hi[at] + LENGTH)
                 heads.append((head, content, c.data, p.lo[at]))
             if not heads or not sum(len(h[0]) for h in heads):
                 continue
@@ -274,7 +274,7 @@ def repeated_spans(rows: DataFrame, blocks: int) -> DataFrame:
                 heads.append(np.frombuffer(raw, _HEAD, n, 8))
                 texts.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize).copy())
                 edge = np.append(0, np.cumsum(heads[-1]["size"]))
-                contents.append(span_hash(prefix_hash(texts[-1]), edge[:-1], edge[1:]))
+                contents.append(text_hash(texts[-1], edge[:-1], edge[1:]))
         if not heads:
             return
         head, data, content = np.concatenate(heads), np.concatenate(texts), np.concatenate(contents)
