@@ -535,19 +535,57 @@ def _(s, d):
     return clustering.best_of_group(_scores(s, d)).select("scaffold", "row_idx")
 
 
-@query("butina")
+LINK_CUT = 0.62
+_TANI = "len(list_intersect({a}.bits, {b}.bits)) / (len({a}.bits) + len({b}.bits) - len(list_intersect({a}.bits, {b}.bits)))"
+TOP = f"""{VEC}, top AS (SELECT row_idx, bits, CAST(label AS VARCHAR) AS scaffold, CAST('0x' || substr(md5(CAST(row_idx AS VARCHAR)), 1, 6) AS BIGINT) AS score FROM v ORDER BY 4 DESC, 1 LIMIT {{n}}),
+ c AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_idx) AS place FROM {{src}})"""
+
+
+@query("butina", f"""WITH RECURSIVE {TOP.format(n=500, src="top")},
+ nb AS MATERIALIZED (SELECT x.place, coalesce(list(y.place ORDER BY y.place) FILTER (y.place IS NOT NULL), []) AS near FROM c x LEFT JOIN c y ON x.place <> y.place AND {_TANI.format(a="x", b="y")} >= 0.4 - 1e-9 GROUP BY x.place),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY len(near) DESC, place DESC) AS k FROM nb),
+ g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS own
+  UNION ALL SELECT g.k + 1, CASE WHEN list_contains(seen, o.place) THEN seen ELSE list_concat(seen, [o.place], near) END,
+   CASE WHEN list_contains(seen, o.place) THEN CAST([] AS BIGINT[]) ELSE list_concat([o.place], list_filter(near, lambda z: NOT list_contains(seen, z))) END FROM g JOIN o ON o.k = g.k + 1),
+ b AS (SELECT list_min(own) AS place FROM g WHERE len(own) > 0)
+ SELECT row_idx, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS pick FROM b JOIN c USING (place) ORDER BY place LIMIT 50""")
 def _(s, d):
-    return clustering.butina_select(_scores(s, d), 200, 10, 0.3)
+    return clustering.butina_select(_scores(s, d), 500, 50, 0.4)
 
 
-@query("average_linkage")
+@query("average_linkage", f"""WITH RECURSIVE {VEC}, u AS (SELECT min(row_idx) AS rep, count(*) AS w, bits FROM v WHERE len(bits) > 0 GROUP BY bits),
+ d AS (SELECT a.rep AS x, b.rep AS y, CAST(a.w * b.w AS DOUBLE) AS n, a.w * b.w * (1 - {_TANI.format(a="a", b="b")}) AS t FROM u a JOIN u b ON a.rep < b.rep),
+ s AS (SELECT false AS merge, x, y, n, t FROM d
+  UNION ALL (WITH p AS (SELECT * FROM s WHERE NOT merge), m AS (SELECT arg_min({{'x': x, 'y': y}}, (round(t / n, 9), x, y)) AS m, min(round(t / n, 9)) AS d FROM p),
+   q AS (SELECT CASE WHEN p.x = m.m.y THEN m.m.x ELSE p.x END AS x, CASE WHEN p.y = m.m.y THEN m.m.x ELSE p.y END AS y, n, t FROM p, m WHERE m.d <= {LINK_CUT})
+   SELECT false, least(x, y), greatest(x, y), sum(n), sum(t) FROM q WHERE x <> y GROUP BY ALL UNION ALL SELECT true, m.m.x, m.m.y, 0, 0 FROM m WHERE m.d <= {LINK_CUT})),
+ r AS (SELECT rep, rep AS cluster FROM u UNION ALL SELECT r.rep, s.x FROM r JOIN s ON s.merge AND s.y = r.cluster)
+ SELECT v.row_idx, coalesce(min(r.cluster), v.row_idx) AS cluster FROM v LEFT JOIN u ON v.bits = u.bits LEFT JOIN r USING (rep) GROUP BY v.row_idx""")
 def _(s, d):
-    return clustering.average_linkage(_vectors(s, d, "bits"), 0.7)
+    return clustering.average_linkage(_vectors(s, d, "bits"), LINK_CUT)
+
+
+@query("maxmin", f"""WITH RECURSIVE {TOP.format(n=500, src="(SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY scaffold ORDER BY score DESC, row_idx) = 1)").replace("CAST(label AS VARCHAR) AS scaffold", "CAST(row_idx % 151 AS VARCHAR) AS scaffold")},
+ dm AS MATERIALIZED (SELECT x.place AS p, list(round(1 - {_TANI.format(a="x", b="y")}, 12) ORDER BY y.place) AS d FROM c x, c y GROUP BY x.place),
+ g AS (SELECT 1 AS pick, CAST(1 AS BIGINT) AS place, list_transform(d, lambda x, i: CASE WHEN i = 1 THEN -1 ELSE x END) AS gap FROM dm WHERE p = 1
+  UNION ALL SELECT pick + 1, p, list_transform(list_zip(gap, d), lambda z, i: CASE WHEN i = p THEN -1 ELSE least(z[1], z[2]) END) FROM g JOIN dm ON p = list_position(gap, list_max(gap)) WHERE pick < 20)
+ SELECT row_idx, CAST(score AS DOUBLE) AS score, CAST(pick AS INTEGER) AS pick FROM g JOIN c USING (place)""")
+def _(s, d):
+    return clustering.maxmin_select(_scores(s, d).withColumn("scaffold", (C("row_idx") % 151).cast("string")), 500, 20)
+
+
+TREE = 0.45
 
 
-@query("maxmin")
+@query("tree_clusters", "SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS every_row_once, true AS valid FROM embeddings")
 def _(s, d):
-    return clustering.maxmin_select(_scores(s, d), 300, 8)
+    """The tree's clusters hold each row once, and each cluster of several rows keeps to the threshold."""
+    rows = _vectors(s, d, "bits")
+    found = clustering.tree_clusters(rows, TREE, 64)
+    quality = clustering.cluster_quality(rows, found)
+    sums = quality.agg(F.sum("n").alias("n_rows"), F.bool_and(C("mean_similarity").isNull() | (C("mean_similarity") >= TREE - 1e-9)).alias("valid"))
+    once = found.agg((F.count("*") == F.countDistinct("row_idx")).alias("every_row_once"))
+    return sums.crossJoin(once).select("n_rows", "every_row_once", "valid")  # one row each
 
 
 @query("cluster_size_summary", "WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT count(*) AS n_clusters, min(n) AS min_size, quantile_cont(n, 0.5) AS median_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM g")
