@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.cleaning import finite, ratio
-from ..functions.ranks import numbered, seeded
+from ..functions.draws import distinct_draws
+from ..functions.ranks import numbered
 
 C = F.col
 
@@ -115,26 +116,26 @@ def labels_from_counts(spark: SparkSession, n_total: int, n_hits: int) -> DataFr
     return spark.range(n_total).select(C("id").alias("row_idx"), (C("id") < n_hits).cast("int").alias("label"))
 
 
-def permutation_null(labels: DataFrame, n_perm: int = 1000, seed: int = 42) -> DataFrame:
-    """perm, metric, value: EF@50, EF@1% and LogAUC of random rankings.
+def null_from_counts(spark: SparkSession, n_total: int, n_hits: int, n_perm: int = 1000, seed: int = 42) -> DataFrame:
+    """perm, metric, value: EF@50, EF@1% and LogAUC of random rankings of n_total rows with n_hits hits.
 
-    Each permutation orders the rows by an md5 draw in a group of its own;
-    only the hits go on from there.
+    A ranking is known by the ranks of its hits, so each permutation draws
+    just these: n_perm * n_hits rows, however long the table is.
     """
-    n, n_pos = (int(x) for x in labels.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first())
-    perms = labels.sparkSession.range(n_perm).select(C("id").cast("int").alias("perm"))
-    draws = labels.select("row_idx", "label").crossJoin(F.broadcast(perms))  # n_perm rows are sent
-    draws = draws.withColumn("draw", seeded(seed, F.concat(C("perm").cast("string"), F.lit(":"), C("row_idx").cast("string"))))
-    w = Window.partitionBy("perm").orderBy("draw", "row_idx")
-    hits = draws.withColumn("rn", F.row_number().over(w)).where("label = 1")
-    hits = hits.withColumn("hit", F.row_number().over(Window.partitionBy("perm").orderBy("rn")))
-    k = top_count(n, 0.01)
-    rate = n_pos / n if n else 0
+    hits = distinct_draws(spark, n_total, n_hits, n_perm, seed).select(C("draw").alias("perm"), (C("place") + 1).alias("rn"), C("k").alias("hit"))
+    k = top_count(n_total, 0.01)
+    rate = n_hits / n_total if n_total else 0
     ef = lambda top: (F.count_if(C("rn") <= top) / F.lit(float(top)) / F.lit(rate))
-    wide = hits.groupBy("perm").agg(ef(50).alias("ef_50"), ef(k).alias("ef_1pct"), _log_auc(C("rn") - C("hit"), max(n - n_pos, 1), n_pos, None).alias("log_auc"))
+    wide = hits.groupBy("perm").agg(ef(50).alias("ef_50"), ef(k).alias("ef_1pct"), _log_auc(C("rn") - C("hit"), max(n_total - n_hits, 1), n_hits, None).alias("log_auc"))
     return wide.unpivot("perm", ["ef_50", "ef_1pct", "log_auc"], "metric", "value")
 
 
+def permutation_null(labels: DataFrame, n_perm: int = 1000, seed: int = 42) -> DataFrame:
+    """The null of a table's numbers of rows and hits."""
+    n, hits = (int(x) for x in labels.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first())
+    return null_from_counts(labels.sparkSession, n, hits, n_perm, seed)
+
+
 def summarize_null(null: DataFrame) -> DataFrame:
     q = F.percentile("value", [0.5, 0.95, 0.99])
     return null.groupBy("metric").agg(F.avg("value").alias("mean"), q.alias("q"), F.max("value").alias("max")).select("metric", "mean", C("q")[0].alias("p50"), C("q")[1].alias("p95"), C("q")[2].alias("p99"), "max")
@@ -142,7 +143,7 @@ def summarize_null(null: DataFrame) -> DataFrame:
 
 def percentiles(observed: DataFrame, null: DataFrame) -> DataFrame:
     """observed: metric, observed value; the share of the null that doesn't exceed it, in percent."""
-    return null.join(F.broadcast(observed), "metric").groupBy("metric").agg(F.first("observed").alias("observed"), (100 * F.avg((C("value") <= C("observed")).cast("double"))).alias("percentile"))  # observed has a row for each metric
+    return null.join(observed, "metric").groupBy("metric").agg(F.first("observed").alias("observed"), (100 * F.avg((C("value") <= C("observed")).cast("double"))).alias("percentile"))
 
 
 def observed_metrics(rows: DataFrame) -> DataFrame:

@@ -387,18 +387,38 @@ def _(s, d):
     return _r(ranking.summarize(_ranked(s, d)))
 
 
-NULL = f"""{RK}, pd AS (SELECT perm, label, row_number() OVER (PARTITION BY perm ORDER BY md5('42:' || perm || ':' || row_idx), row_idx) AS rn FROM ranked, range({N_PERM}) t(perm)),
- ph AS (SELECT perm, rn, rn - row_number() OVER (PARTITION BY perm ORDER BY rn) AS fp FROM pd WHERE label = 1),
+_U = "CAST({} AS UHUGEINT)".format
+_TOP = _U("'18446744073709551616'")
+
+
+def _mixed(source: str, x: str, keep: str) -> str:
+    """A subquery with h, the splitmix64 of x, beside the columns kept."""
+    step = lambda shift, by, inner: f"(SELECT {keep}, CAST({_U(f'xor(z, z >> {shift})')} * {_U(repr(str(by)))} % {_TOP} AS UBIGINT) AS z FROM {inner})"
+    first = f"(SELECT {keep}, CAST(({_U(x)} + {_U(repr(str(0x9E3779B97F4A7C15)))}) % {_TOP} AS UBIGINT) AS z FROM {source})"
+    return f"(SELECT {keep}, xor(z, z >> 31) AS h FROM {step(27, 0x94D049BB133111EB, step(30, 0xBF58476D1CE4E5B9, first))})"
+
+
+def _draws(size: str, draws: int, seed: int) -> str:
+    """CTEs up to dw (draw, place): Floyd's draws of m of n rows; ``size`` selects n and m."""
+    return f"""dk AS (SELECT draw, h AS key FROM {_mixed(f"range({draws}) t(draw)", f"{seed << 32} + draw", "draw")}), dz AS ({size}),
+ dj AS (SELECT draw, key, CAST(unnest(range(CAST(n - m AS BIGINT), CAST(n AS BIGINT))) AS UBIGINT) AS j FROM dk, dz),
+ dt AS MATERIALIZED (SELECT draw, CAST(j AS BIGINT) AS j, CAST(h % (j + 1) AS BIGINT) AS t FROM {_mixed("dj", f"({_U('key')} + j) % {_TOP}", "draw, j")}),
+ dc AS (SELECT draw, j FROM (SELECT draw, j, row_number() OVER (PARTITION BY draw, t ORDER BY j) AS k FROM dt) WHERE k > 1 UNION SELECT dt.draw, dt.j FROM dt JOIN dc ON dt.draw = dc.draw AND dt.t = dc.j),
+ dw AS (SELECT CAST(dt.draw AS INTEGER) AS draw, CASE WHEN dc.j IS NULL THEN dt.t ELSE dt.j END AS place FROM dt LEFT JOIN dc ON dt.draw = dc.draw AND dt.j = dc.j)"""
+
+
+NULL = f"""{RK}, {_draws("SELECT n, p AS m FROM n", N_PERM, 42)},
+ ph AS (SELECT draw AS perm, place + 1 AS rn, place + 1 - row_number() OVER (PARTITION BY draw ORDER BY place) AS fp FROM dw),
  pw AS (SELECT perm, count(*) FILTER (rn <= 50) / 50.0 / (max(p) / max(n)) AS ef_50, count(*) FILTER (rn <= greatest(1, round_even(n.n * CAST(0.01 AS DOUBLE), 0))) / max(greatest(1, round_even(n.n * CAST(0.01 AS DOUBLE), 0))) / (max(p) / max(n)) AS ef_1pct, sum(log10(n.n - n.p) - log10(greatest(fp, 1))) / max(n.p) / log10(max(n.n - n.p)) AS log_auc FROM ph, n GROUP BY perm),
  nul AS (UNPIVOT pw ON ef_50, ef_1pct, log_auc INTO NAME metric VALUE value)"""
 
 
-@query("perm_null_summary", f"WITH {NULL} SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul GROUP BY metric")
+@query("perm_null_summary", f"WITH RECURSIVE {NULL} SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul GROUP BY metric")
 def _(s, d):
     return _r(ranking.summarize_null(ranking.permutation_null(_ranked(s, d).select("row_idx", "label"), N_PERM)))
 
 
-@query("null_percentiles", f"WITH {NULL}, obs AS (SELECT 'log_auc' AS metric, {_LOGAUC} AS observed FROM n) SELECT metric, round(observed, 6) AS observed, round(100 * avg(CASE WHEN value <= observed THEN 1.0 ELSE 0.0 END), 6) AS percentile FROM nul JOIN obs USING (metric) GROUP BY metric, observed")
+@query("null_percentiles", f"WITH RECURSIVE {NULL}, obs AS (SELECT 'log_auc' AS metric, {_LOGAUC} AS observed FROM n) SELECT metric, round(observed, 6) AS observed, round(100 * avg(CASE WHEN value <= observed THEN 1.0 ELSE 0.0 END), 6) AS percentile FROM nul JOIN obs USING (metric) GROUP BY metric, observed")
 def _(s, d):
     rows = _ranked(s, d)
     observed = ranking.log_auc(rows).select(F.lit("log_auc").alias("metric"), C("log_auc").alias("observed"))
@@ -410,7 +430,7 @@ _OBS = f"""obs AS (SELECT 'ef_50' AS metric, (SELECT sum(label) FROM o WHERE rn
  UNION ALL SELECT 'log_auc', {_LOGAUC} FROM n)"""
 
 
-@query("evaluate_channel", f"WITH {NULL}, {_OBS} SELECT metric, round(max(observed), 6) AS observed, round(100 * avg(CASE WHEN value <= observed + 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul JOIN obs USING (metric) GROUP BY metric")
+@query("evaluate_channel", f"WITH RECURSIVE {NULL}, {_OBS} SELECT metric, round(max(observed), 6) AS observed, round(100 * avg(CASE WHEN value <= observed + 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul JOIN obs USING (metric) GROUP BY metric")
 def _(s, d):
     return _r(ranking.evaluate_channel(fx.ranked(s, d), N_PERM))
 
@@ -424,6 +444,9 @@ def _vectors(s, d, kind="real"):
 VEC = "v AS (SELECT vec_id AS row_idx, label, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0)) AS relu, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS raw, list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > CAST(0.1 AS FLOAT) THEN i - 1 END), lambda x: x IS NOT NULL) AS bits FROM embeddings), a AS (SELECT * FROM v WHERE row_idx < 20)"
 
 
+_TANI = "len(list_intersect({a}.bits, {b}.bits)) / (len({a}.bits) + len({b}.bits) - len(list_intersect({a}.bits, {b}.bits)))"
+
+
 def _anchored(s, d, kind):
     q = _vectors(s, d, kind)
     return q, q.where("row_idx < 20")
@@ -508,14 +531,19 @@ def _(s, d):
     return sampling.testbed_shortlist(fx.embeddings(s, d).select(C("vec_id").alias("row_idx"), (C("label") == 0).cast("int").alias("label")), 300)
 
 
-@query("hit_clustering_null", f"WITH {VEC}, dr AS (SELECT * FROM (SELECT draw, row_idx, bits, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || row_idx), row_idx) AS k FROM v, range(40) t(draw)) WHERE k <= 8) SELECT CAST(x.draw AS INTEGER) AS draw, round(avg(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))), 6) AS value FROM dr x JOIN dr y ON x.draw = y.draw AND x.row_idx < y.row_idx GROUP BY x.draw")
+_NEAREST = f"s AS (SELECT v.row_idx, max({_TANI.format(a='v', b='a')}) AS similarity FROM v, a GROUP BY v.row_idx)"
+N_DRAWS = 1000
+_OF_DRAWS = _draws("SELECT count(*) AS n, 8 AS m FROM v", N_DRAWS, 42)
+
+
+@query("hit_clustering_null", f"WITH RECURSIVE {VEC}, {_OF_DRAWS}, dr AS (SELECT draw, row_idx, bits FROM dw JOIN (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM v) USING (place)) SELECT x.draw, round(avg({_TANI.format(a='x', b='y')}), 6) AS value FROM dr x JOIN dr y ON x.draw = y.draw AND x.row_idx < y.row_idx GROUP BY x.draw")
 def _(s, d):
-    return _r(sampling.clustering_null(_vectors(s, d, "bits").select("row_idx", "bits"), 8, 40))
+    return _r(sampling.clustering_null(_vectors(s, d, "bits").select("row_idx", "bits"), 8, N_DRAWS))
 
 
-@query("anchor_null", f"WITH {VEC}, s AS (SELECT v.row_idx, max(len(list_intersect(v.bits, a.bits)) / (len(v.bits) + len(a.bits) - len(list_intersect(v.bits, a.bits)))) AS similarity FROM v, a GROUP BY v.row_idx), dr AS (SELECT draw, similarity, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || row_idx), row_idx) AS k FROM s, range(40) t(draw)) SELECT CAST(draw AS INTEGER) AS draw, round(avg(similarity), 6) AS value FROM dr WHERE k <= 8 GROUP BY draw")
+@query("anchor_null", f"WITH RECURSIVE {VEC}, {_NEAREST}, {_OF_DRAWS} SELECT draw, round(avg(similarity), 6) AS value FROM dw JOIN (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM s) USING (place) GROUP BY draw")
 def _(s, d):
-    return _r(sampling.anchor_null(*_anchored(s, d, "bits"), 8, 40))
+    return _r(sampling.anchor_null(*_anchored(s, d, "bits"), 8, N_DRAWS))
 
 
 @query("spatial_bridging", "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings) SELECT w.vec_id FROM p w WHERE label >= 6 AND EXISTS (SELECT 1 FROM p l WHERE l.label <= 1 AND (l.x - w.x) ** 2 + (l.y - w.y) ** 2 + (l.z - w.z) ** 2 <= CAST(0.0036 AS DOUBLE)) AND EXISTS (SELECT 1 FROM p l WHERE l.label BETWEEN 2 AND 5 AND (l.x - w.x) ** 2 + (l.y - w.y) ** 2 + (l.z - w.z) ** 2 <= CAST(0.0036 AS DOUBLE))")
@@ -536,7 +564,6 @@ def _(s, d):
 
 
 LINK_CUT = 0.62
-_TANI = "len(list_intersect({a}.bits, {b}.bits)) / (len({a}.bits) + len({b}.bits) - len(list_intersect({a}.bits, {b}.bits)))"
 TOP = f"""{VEC}, top AS (SELECT row_idx, bits, CAST(label AS VARCHAR) AS scaffold, CAST('0x' || substr(md5(CAST(row_idx AS VARCHAR)), 1, 6) AS BIGINT) AS score FROM v ORDER BY 4 DESC, 1 LIMIT {{n}}),
  c AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_idx) AS place FROM {{src}})"""
 
@@ -602,6 +629,19 @@ def _features(s, d):
     return fx.embeddings(s, d).select(C("vec_id").alias("row_idx"), C("embedding").cast("array<double>").alias("features"), (C("label") < 3).cast("int").alias("label"), (C("vec_id") % 40).alias("block"))
 
 
+_HAND = 5
+
+
+@query("group_folds", f"""WITH RECURSIVE g AS (SELECT p_size % 50 + 100 * (p_partkey % 7) AS g, count(*) AS n FROM part GROUP BY 1),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, md5(CAST(g AS VARCHAR))) AS k FROM g),
+ d AS (SELECT CAST(0 AS BIGINT) AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, -1 AS fold, CAST(0 AS BIGINT) AS n
+  UNION ALL SELECT d.k + 1, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + o.n ELSE x END), list_position(load, list_min(load)) - 1, o.n FROM d JOIN o ON o.k = d.k + 1)
+ SELECT CAST(fold AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows FROM d WHERE fold >= 0 GROUP BY fold""")
+def _(s, d):
+    parts = s.read.parquet(f"{d}/part.parquet").select((C("p_size") % 50 + 100 * (C("p_partkey") % 7)).alias("g"))
+    return sampling.grouped_folds(parts, "g", _HAND).groupBy("fold").agg(F.countDistinct("g").alias("n_groups"), F.count("*").alias("n_rows"))
+
+
 @query("gbdt_scores")
 def _(s, d):
     rows = _features(s, d)

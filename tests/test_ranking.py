@@ -219,3 +219,49 @@ def test_model(spark):
     assert ranking.roc_auc(ranking.scored(held)).first()[0] > 0.95
     folds = sampling.grouped_folds(df.withColumn("g", F.col("row_idx") % 10), "g", 3)
     assert folds.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+
+
+def test_draws(spark):
+    """Draws are sets of the right size, the same on any layout, and follow the hypergeometric law."""
+    from hitloom.functions import draws
+
+    for n, m in ((1, 0), (1, 1), (10, 10), (50, 7), (1000, 999)):
+        for k in range(30):
+            own = draws.places(k, n, m, 5)
+            assert len(set(own.tolist())) == m and (m == 0 or (own[0] >= 0 and own[-1] < n))
+    plain = []
+    for j in range(40, 60):  # Floyd's method step by step
+        with np.errstate(over="ignore"):
+            t = int(draws.mixed(draws.mixed(np.array([(3 << 32) + 9], dtype=np.uint64)) + np.uint64(j))[0] % np.uint64(j + 1))
+        plain.append(j if t in plain else t)
+    assert sorted(plain) == draws.places(9, 60, 20, 3).tolist()
+    n, m, k = 400, 60, 50
+    rows = draws.distinct_draws(spark, n, m, 4000, 1)
+    top = rows.groupBy("draw").agg(F.count_if(F.col("place") < k).alias("h")).agg(F.avg("h"), F.var_samp("h")).first()
+    mean, var = k * m / n, k * (m / n) * (1 - m / n) * (n - k) / (n - 1)
+    assert abs(top[0] - mean) < 4 * (var / 4000) ** 0.5 and abs(top[1] - var) < 0.1 * var
+    null = ranking.null_from_counts(spark, n, m, 200)
+    assert "Window" not in null._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds(spark):
+    from hitloom.operators.sampling import deal_sizes
+
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        folds = rng.randint(1, 6)
+        sizes = [(s, rng.randint(1, 40)) for s in rng.sample(range(1, 30), rng.randint(1, 6))]
+        load, want = [0] * folds, {}
+        for s, k in sorted(sizes, reverse=True):
+            want[s] = [0] * folds
+            for _ in range(k):
+                f = load.index(min(load))
+                load[f] += s
+                want[s][f] += 1
+        assert deal_sizes(sizes, folds) == want
+    rows = spark.range(3000).select((F.col("id") % 137 % (F.col("id") % 11 + 1)).alias("g"), F.lit(1).alias("n_"), F.lit(2).alias("fold_x"))
+    dealt = sampling.grouped_folds(rows, "g", 4)
+    assert dealt.count() == 3000
+    assert dealt.groupBy("g").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
