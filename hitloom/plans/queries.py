@@ -470,7 +470,7 @@ def _(s, d):
 @query("nearest_positive", f"WITH {VEC}, p AS (SELECT * FROM v WHERE label = 0) SELECT v.row_idx, round(CASE WHEN v.label = 0 THEN 1.0 ELSE max(len(list_intersect(v.bits, p.bits)) / (len(v.bits) + len(p.bits) - len(list_intersect(v.bits, p.bits)))) END, 6) AS similarity FROM v, p GROUP BY v.row_idx, v.label")
 def _(s, d):
     q = _vectors(s, d, "bits")
-    return _r(similarity_join.nearest_positive(q, q.where("label = 0"), 64).withColumn("similarity", F.round("similarity", 6)))
+    return _r(similarity_join.nearest_positive(q, q.where("label = 0"), 64).drop("n_compared"), "similarity")
 
 
 @query("pairwise_tanimoto_mean", f"WITH {VEC} SELECT round(avg(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))), 6) AS mean_similarity FROM v x JOIN v y ON x.row_idx < y.row_idx WHERE x.label = 0 AND y.label = 0")
