@@ -70,10 +70,74 @@ def flat_centres(bonds: DataFrame, limit: float = 355.0) -> DataFrame:
     end of a bond.
     """
     v = bonds.groupBy("centre").agg(F.sort_array(F.collect_list(F.struct("neighbour", "v"))).alias("n")).where(F.size("n") == 3)
-    total = sum((angle(C("n")[i]["v"], C("n")[j]["v"]) for i, j in ((0, 1), (0, 2), (1, 2))), F.lit(0.0))
+    total = sum((angle(F.get("n", F.lit(i))["v"], F.get("n", F.lit(j))["v"]) for i, j in ((0, 1), (0, 2), (1, 2))), F.lit(0.0))
     return v.select("centre", total.alias("angle_sum")).where(C("angle_sum") > limit)
 
 
+#: angstroms; carbon to nitrogen or oxygen: shorter than a single bond
+SHORT_BOND = 1.40
+#: covalent radii, and how much longer than their sum a bond may be
+RADII = {"H": 0.31, "C": 0.76, "N": 0.71, "O": 0.66, "F": 0.57, "P": 1.07, "S": 1.05, "Cl": 1.02, "Br": 1.20, "I": 1.39}
+SLACK = 0.3
+
+
+def close_pairs(points: DataFrame, cutoff: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """a < b, their distance and vector a to b, of points (id, x, y, z) at most cutoff apart: an equi-join of grid cells.
+
+    The columns to keep come with a_ and b_ before their names.
+    """
+    side = lambda s: points.select(C("id").alias(s), *(C(x).alias(f"{s}{x}") for x in "xyz"), *(C(k).alias(f"{s}_{k}") for k in keep))
+    step = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
+    a, b = side("a"), side("b")
+    for x in "xyz":
+        a = a.withColumn(f"c{x}", _cell(C(f"a{x}"), cutoff))
+        b = b.withColumn("s_", step).withColumn(f"c{x}", _cell(C(f"b{x}"), cutoff) + C("s_")).drop("s_")
+    v = F.array(*(C(f"b{x}") - C(f"a{x}") for x in "xyz"))
+    d = F.sqrt(sum(((C(f"b{x}") - C(f"a{x}")) * (C(f"b{x}") - C(f"a{x}")) for x in "xyz"), F.lit(0.0)))
+    met = a.join(b, ["cx", "cy", "cz"]).where(C("a") < C("b"))
+    return met.select("a", "b", d.alias("distance"), v.alias("v"), *(f"{s}_{k}" for s in "ab" for k in keep)).where(C("distance") <= cutoff)
+
+
+def bonds_of(atoms: DataFrame) -> DataFrame:
+    """Bonded pairs of atoms (id, element, x, y, z): not farther apart than their radii and a little; unknown elements bond like carbon."""
+    pairs = [v for k, r in RADII.items() for v in (F.lit(k), F.lit(r))]
+    radius = lambda s: F.coalesce(F.try_element_at(F.create_map(*pairs), C(f"{s}_element")), F.lit(RADII["C"]))
+    return close_pairs(atoms, 2 * max(RADII.values()) + SLACK, ("element",)).where(C("distance") <= radius("a") + radius("b") + SLACK)
+
+
+def ring_members(bonds: DataFrame, longest: int = 8) -> DataFrame:
+    """id of all points on a cycle of at most ``longest`` bonds (a, b): from each bond's one end, paths that avoid it are joined on until they reach the other."""
+    edges = bonds.select("a", "b").unionByName(bonds.select(C("b").alias("a"), C("a").alias("b")))
+    paths = bonds.select(C("b").alias("goal"), C("a").alias("end"), F.array("a").alias("path"))
+    found = None
+    for k in range(1, longest):
+        paths = paths.join(edges.select(C("a").alias("end"), C("b").alias("next")), "end").where(~F.array_contains("path", C("next")))
+        if k == 1:
+            paths = paths.where(C("next") != C("goal"))  # the bond itself
+        closed = paths.where(C("next") == C("goal")).select(F.explode(F.concat("path", F.array("goal"))).alias("id"))
+        found = closed if found is None else found.unionByName(closed)
+        paths = paths.where(C("next") != C("goal")).select("goal", C("next").alias("end"), F.concat("path", F.array("next")).alias("path"))
+    return found.distinct()
+
+
+def ring_flags(atoms: DataFrame, assigned: DataFrame | None = None, limit: float = 355.0, longest: int = 8) -> DataFrame:
+    """Ring carbons with three neighbours in one plane: id, angle_sum, shortest_hetero (to N or O, null without) and short_hetero.
+
+    assigned: ids of atoms whose assigned chemistry is planar (aromatic, or
+    with a double bond), which are no finding.  Hydrogens are left out.
+    """
+    heavy = atoms.where("element != 'H'")
+    bonds = bonds_of(heavy)
+    back = bonds.select(C("b").alias("centre"), C("a").alias("neighbour"), C("b_element").alias("own"), C("a_element").alias("element"), "distance", F.transform("v", lambda x: -x).alias("v"))
+    both = bonds.select(C("a").alias("centre"), C("b").alias("neighbour"), C("a_element").alias("own"), C("b_element").alias("element"), "distance", "v").unionByName(back)
+    flat = flat_centres(both.where("own = 'C'").select("centre", "neighbour", "v"), limit)
+    hetero = both.where(C("element").isin(*POLAR)).groupBy("centre").agg(F.min("distance").alias("shortest_hetero"))
+    found = flat.join(ring_members(bonds.select("a", "b"), longest).withColumnRenamed("id", "centre"), "centre", "left_semi").join(hetero, "centre", "left")
+    if assigned is not None:
+        found = found.join(assigned.select(C("id").alias("centre")), "centre", "left_anti")
+    return found.select(C("centre").alias("id"), "angle_sum", "shortest_hetero", F.coalesce(C("shortest_hetero") < SHORT_BOND, F.lit(False)).alias("short_hetero"))
+
+
 def proximity_bonus(features: DataFrame, references: DataFrame) -> DataFrame:
     """row_idx and bonus: over reference points, 1 less nearest feature of its type over its cutoff, not below 0.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,9 @@ from ..functions.cleaning import block_group, is_valid_id, with_compound_parts
 from ..functions.similarity import angle, nearest_feature
 from ..operators import audit, clustering, disynthon, fusion, models, ranking, recipes, sampling, similarity_join, spatial, thresholds, validation
 from ..operators.dedup import dedup, dedup_selection, stouffer_by
-from ..sources.readers import describe
+from ..functions.lineage import shared_dir
+from ..sources import store
+from ..sources.readers import describe_files
 from ..sources.sinks import in_chunks, submission_rows
 from . import fixtures as fx, reports
 
@@ -256,9 +259,9 @@ def _(s, d):
     return _r(audit.group_size_enrichment(sel, recipes.label(sel, "l0").rows.where("positive")))
 
 
-@query("describe_table", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER ({c} IS NULL) / count(*) AS null_rate, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS largest FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string"))) + ")")
+@query("describe_table", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER ({c} IS NULL) / count(*) AS null_rate, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS largest FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))) + ")")
 def _(s, d):
-    return describe(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return describe_files(s, f"{d}/customer.parquet")
 
 
 CH = f"channels AS ({fx.CHANNELS}), scaled AS (SELECT row_idx, channel, CASE WHEN score IS NULL THEN NULL WHEN max(score) OVER w <= min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM channels WINDOW w AS (PARTITION BY channel)), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, row_idx) AS rank FROM channels WHERE score IS NOT NULL) WHERE rank <= 100), rrf AS (SELECT row_idx, sum(CASE channel WHEN 'draw' THEN 2.0 ELSE 1.0 END::DOUBLE / (60 + rank)) AS rrf FROM top GROUP BY row_idx), series AS (SELECT r.row_idx, rrf, row_idx % 7 AS series, CAST(round(rrf, 9) AS DOUBLE) AS key FROM rrf r)"
@@ -467,12 +470,33 @@ def _(s, d):
     return _r(similarity_join.shape(*_anchored(s, d, "real")))
 
 
-@query("nearest_positive", f"WITH {VEC}, p AS (SELECT * FROM v WHERE label = 0) SELECT v.row_idx, round(CASE WHEN v.label = 0 THEN 1.0 ELSE max(len(list_intersect(v.bits, p.bits)) / (len(v.bits) + len(p.bits) - len(list_intersect(v.bits, p.bits)))) END, 6) AS similarity FROM v, p GROUP BY v.row_idx, v.label")
+_NEAREST_POSITIVE = f"WITH {VEC}, p AS (SELECT * FROM v WHERE label = 0) SELECT v.row_idx, round(CASE WHEN v.label = 0 THEN 1.0 ELSE max(len(list_intersect(v.bits, p.bits)) / (len(v.bits) + len(p.bits) - len(list_intersect(v.bits, p.bits)))) END, 6) AS similarity FROM v, p GROUP BY v.row_idx, v.label"
+
+
+@query("nearest_positive", _NEAREST_POSITIVE)
 def _(s, d):
     q = _vectors(s, d, "bits")
     return _r(similarity_join.nearest_positive(q, q.where("label = 0"), 64).drop("n_compared"), "similarity")
 
 
+@query("fingerprint_gather", f"WITH {VEC} SELECT row_idx, CAST(len(bits) AS BIGINT) AS n_bits, label FROM v WHERE label = 3")
+def _(s, d):
+    """Fingerprints stored as packed words by bucket, and those of one label gathered by key."""
+    name = f"prints_{uuid.uuid4().hex}"
+    store.save_store(_vectors(s, d, "bits"), name, f"{shared_dir(s)}/hitloom-{name}", 64, 16)
+    found = store.gather(s.table(name), _vectors(s, d).where("label = 3").select("row_idx", "label"))
+    return found.select("row_idx", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)).alias("n_bits"), "label")
+
+
+@query("resumed_similarity", _NEAREST_POSITIVE)
+def _(s, d):
+    """The nearest positive block by block, each kept as it is done."""
+    q = _vectors(s, d, "bits")
+    path = f"{shared_dir(s)}/hitloom-blocks-{uuid.uuid4().hex}"
+    run = lambda rows: similarity_join.nearest_positive(rows, q.where("label = 0"), 64).drop("n_compared")
+    return _r(store.run_blocks(q.select("row_idx", "bits"), path, run, 8), "similarity")
+
+
 @query("pairwise_tanimoto_mean", f"WITH {VEC} SELECT round(avg(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))), 6) AS mean_similarity FROM v x JOIN v y ON x.row_idx < y.row_idx WHERE x.label = 0 AND y.label = 0")
 def _(s, d):
     return _r(similarity_join.mean_pairwise(_vectors(s, d, "bits").where("label = 0")))
@@ -553,6 +577,21 @@ def _(s, d):
     return spatial.bridging(p.where("label >= 6"), p.where("label <= 1"), p.where("label between 2 and 5"), 0.06).select("vec_id")
 
 
+RING_CUT = 0.03
+
+
+@query("ring_members", f"""WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+ b AS MATERIALIZED (SELECT m.id AS a, n.id AS b FROM p m JOIN p n ON m.id <> n.id AND sqrt((n.x - m.x) ** 2 + (n.y - m.y) ** 2 + (n.z - m.z) ** 2) <= {RING_CUT}),
+ w AS (SELECT [a, b] AS path FROM b UNION ALL SELECT list_append(path, b.b) FROM w JOIN b ON b.a = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, b.b)),
+ c AS (SELECT path FROM w JOIN b ON b.a = path[-1] AND b.b = path[1] WHERE len(path) >= 3)
+ SELECT DISTINCT unnest(path) AS id FROM c""")
+def _(s, d):
+    """Points on cycles of up to six bonds, a bond being a pair within the cutoff."""
+    e = fx.embeddings(s, d)
+    points = e.select(C("vec_id").alias("id"), *(C("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
+    return spatial.ring_members(spatial.close_pairs(points, RING_CUT).select("a", "b"), 6)
+
+
 def _scores(s, d):
     e = _vectors(s, d, "bits")
     return e.select("row_idx", F.conv(F.substring(F.md5(C("row_idx").cast("string").cast("binary")), 1, 6), 16, 10).cast("double").alias("score"), "bits", C("label").cast("string").alias("scaffold"))

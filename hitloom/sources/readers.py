@@ -127,6 +127,34 @@ def describe(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(rows))
 
 
+#: types whose least and largest values Parquet keeps exactly in a file's footer
+FOOTER_TYPES = ("tinyint", "smallint", "int", "bigint", "boolean", "date")
+
+
+def describe_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same for Parquet files, from their footers: counts of all columns, and least and largest where footers keep them exactly.
+
+    Only the columns of other types (texts, which footers cut short, and
+    floating point, whose NaN they leave out) are scanned for these.  The plan
+    belongs to a session of its own, with pushed aggregates switched on.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    df = own.read.parquet(path)
+    kinds = dict(df.dtypes)
+    ends = lambda k, c: [F.min(c).alias(f"l{k}"), F.max(c).alias(f"h{k}")]
+    footer = [F.count("*").alias("n_"), *(F.count(c).alias(f"c{k}") for k, c in enumerate(df.columns))]
+    footer += [a for k, c in enumerate(df.columns) if kinds[c] in FOOTER_TYPES for a in ends(k, c)]
+    scan = [a for k, c in enumerate(df.columns) if kinds[c] not in FOOTER_TYPES for a in ends(k, c)]
+    one = df.agg(*footer)
+    if scan:
+        one = one.crossJoin(df.agg(*scan))  # one row each
+    null = lambda k: C("n_") - C(f"c{k}")
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), C("n_").alias("n_rows"), null(k).alias("n_null"), F.try_divide(null(k).cast("double"), C("n_").cast("double")).alias("null_rate"), C(f"l{k}").cast("string").alias("least"), C(f"h{k}").cast("string").alias("largest")) for k, c in enumerate(df.columns)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def nul_bytes(spark: SparkSession, path: str) -> DataFrame:
     """path and n_nul of binary files."""
     hexed = F.hex("content")
