@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import compound_part, finite
+from ..functions.lineage import settled
 from . import disynthon
 from .dedup import dedup_selection
 
@@ -103,7 +104,8 @@ def version(key: str, value: float | None = None) -> str:
 def label(selection: DataFrame, key: str, *args) -> Labelled:
     """One recipe by key, l0 to l8, with its parameter if it has one."""
     if key == "l8":
-        return Labelled("disynthon_competitive_hit", version("l8", args[0]), disynthon_labels(deduplicated(selection), args[0]))
+        rows = settled(deduplicated(selection), "deduplicated")  # pairs and labels read it: one scan of the selection
+        return Labelled("disynthon_competitive_hit", version("l8", args[0]), disynthon_labels(rows, args[0]))
     name, predicate = RECIPES[key]
     return Labelled(name, version(key, args[0] if args and key in ("l3", "l7") else None), deduplicated(selection).withColumn("positive", predicate(*args)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import compound_part, finite
+from ..functions.lineage import settled
 from . import disynthon
 from .recipes import I, MAX_HISTORIC, N, H, base
 
@@ -32,11 +33,12 @@ def library_floors(rows: DataFrame, largest: int) -> DataFrame:
     """library and floor: the smallest count floor whose yield in the library is nearest to the overall base yield.
 
     Only the histogram of counts by library is expanded by the floors, not the
-    structures.
+    structures, and the overall rate comes from it too: one scan.
     """
-    overall = rows.agg(F.avg(base().cast("double")).alias("rate"))
-    t = rows.select(compound_part(F.col("compound"), 1).alias("library"), F.least("count_target", F.lit(largest)).alias("c"), _others().alias("ok"))
-    histogram = t.where("library is not null").groupBy("library", "c").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
+    t = rows.select(compound_part(F.col("compound"), 1).alias("library"), F.least("count_target", F.lit(largest)).alias("c"), _others().alias("ok"), base().alias("base"))
+    every = settled(t.groupBy("library", "c").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"), F.count_if("base").alias("b")), "histogram")
+    overall = every.agg(F.try_divide(F.sum("b").cast("double"), F.sum("n").cast("double")).alias("rate"))
+    histogram = every.where("library is not null")
     total = histogram.groupBy("library").agg(F.sum("n").alias("n_library"))
     floors = histogram.select("library", "c", "k", F.explode(F.sequence(F.lit(1), F.lit(largest))).alias("floor"))
     passed = floors.groupBy("library", "floor").agg(F.sum(F.when(F.col("c") >= F.col("floor"), F.col("k")).otherwise(0)).alias("k"))

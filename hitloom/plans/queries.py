@@ -15,7 +15,7 @@ from ..functions.lineage import shared_dir
 from ..sources import store
 from ..sources.readers import describe_files
 from ..sources.sinks import in_chunks, submission_rows
-from . import fixtures as fx, reports
+from . import drivers, fixtures as fx, reports
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,6 +570,40 @@ def _(s, d):
     return _r(sampling.anchor_null(*_anchored(s, d, "bits"), 8, N_DRAWS))
 
 
+_STRATA_DRAWS = _draws("SELECT count(*) AS n, count(*) FILTER (row_idx % 25 = 0) AS m FROM v", N_DRAWS, 42)
+_SPREAD = "round(avg(value), 6) AS null_mean, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99"
+_REPORT = f"round(100 * avg(CASE WHEN value <= observed THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(max(observed), 6) AS observed, {_SPREAD}"
+
+
+def _library(s, d):
+    return _vectors(s, d, "bits").withColumn("label", (C("row_idx") % 25 == 0).cast("int"))
+
+
+@query("hit_clustering_report", f"""WITH RECURSIVE {VEC}, {_STRATA_DRAWS}, dr AS (SELECT draw, row_idx, bits FROM dw JOIN (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM v) USING (place)),
+ nul AS (SELECT round(avg({_TANI.format(a='x', b='y')}), 12) AS value FROM dr x JOIN dr y ON x.draw = y.draw AND x.row_idx < y.row_idx GROUP BY x.draw),
+ obs AS (SELECT round(avg({_TANI.format(a='x', b='y')}), 12) AS observed FROM v x JOIN v y ON x.row_idx < y.row_idx AND x.row_idx % 25 = 0 AND y.row_idx % 25 = 0)
+ SELECT (SELECT count(*) FROM v WHERE row_idx % 25 = 0) AS n_hits, (SELECT count(*) FROM v) AS n_library, 'mean_pairwise_similarity' AS metric, {_REPORT} FROM nul, obs""")
+def _(s, d):
+    return _r(drivers.hit_clustering_report(_library(s, d), N_DRAWS))
+
+
+@query("anchor_report", f"""WITH RECURSIVE {VEC}, {_NEAREST}, {_STRATA_DRAWS}, nul AS (SELECT avg(similarity) AS value FROM dw JOIN (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM s) USING (place) GROUP BY draw),
+ obs AS (SELECT avg(similarity) AS observed FROM s WHERE row_idx % 25 = 0)
+ SELECT (SELECT count(*) FROM v WHERE row_idx % 25 = 0) AS n_hits, 'mean_anchor_similarity' AS metric, {_REPORT} FROM nul, obs""")
+def _(s, d):
+    rows = _library(s, d)
+    return _r(drivers.anchor_report(rows, rows.where("row_idx < 20").select("row_idx", "bits"), N_DRAWS))
+
+
+@query("similarity_strata", f"""WITH {VEC}, p AS (SELECT * FROM v WHERE label = 0 AND row_idx % 5 = 0), q AS (SELECT v.row_idx, CASE WHEN v.label = 0 AND v.row_idx % 5 = 0 THEN 1.0 ELSE max({_TANI.format(a='v', b='p')}) END AS similarity FROM v, p GROUP BY v.row_idx, v.label),
+ k AS (SELECT 1 + (count(*) - 1) * (1 - 8.0::DOUBLE * (SELECT count(*) FROM p) / count(*)) AS spot FROM q), o AS (SELECT similarity AS s, row_number() OVER (ORDER BY similarity) AS rn FROM q),
+ c AS (SELECT max(s) FILTER (rn = floor(spot)) + (any_value(spot) - floor(any_value(spot))) * (max(s) FILTER (rn = ceil(spot)) - max(s) FILTER (rn = floor(spot))) AS cut FROM o, k) SELECT row_idx, round(similarity, 6) AS similarity, CASE WHEN similarity >= cut THEN 1 ELSE 0 END AS flag FROM q, c""")
+def _(s, d):
+    q = _vectors(s, d, "bits")
+    path = f"{shared_dir(s)}/hitloom-strata-{uuid.uuid4().hex}"
+    return _r(drivers.similarity_strata(q, q.where("label = 0 and row_idx % 5 = 0"), 64, path, blocks=8)[0], "similarity")
+
+
 @query("spatial_bridging", "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings) SELECT w.vec_id FROM p w WHERE label >= 6 AND EXISTS (SELECT 1 FROM p l WHERE l.label <= 1 AND (l.x - w.x) ** 2 + (l.y - w.y) ** 2 + (l.z - w.z) ** 2 <= CAST(0.0036 AS DOUBLE)) AND EXISTS (SELECT 1 FROM p l WHERE l.label BETWEEN 2 AND 5 AND (l.x - w.x) ** 2 + (l.y - w.y) ** 2 + (l.z - w.z) ** 2 <= CAST(0.0036 AS DOUBLE))")
 def _(s, d):
     e = fx.embeddings(s, d)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lineage import settled
 from ..operators import audit, fusion, models, ranking, recipes, sampling, similarity_join, thresholds, validation
 from ..sources import readers, sinks
 
@@ -59,7 +60,7 @@ def recipe_yields(selection: DataFrame, z: float | None = None, floors: dict[str
 
 def derive_thresholds(selection: DataFrame, largest_floor: int = 50, sizes: list[int] | None = None, pair_thresholds: list[float] | None = None) -> dict[str, DataFrame]:
     """Matched z cutoff and library floors; and sweeps over sizes and pair thresholds where asked for."""
-    rows = recipes.deduplicated(selection)
+    rows = settled(recipes.deduplicated(selection), "deduplicated")
     out = {
         "z_cutoff": thresholds.z_cutoff_for_size(thresholds.other_criteria(rows), rows.where(recipes.base()).count()),
         "floors": thresholds.library_floors(rows, largest_floor),
@@ -76,7 +77,7 @@ def empirical_null(spark: SparkSession, specs: list[str], observed: DataFrame |
     out = None
     for spec in specs:
         name, n, hits = spec.rsplit(":", 2)
-        null = ranking.permutation_null(ranking.labels_from_counts(spark, int(n), int(hits)), n_perm, seed)
+        null = ranking.null_from_counts(spark, int(n), int(hits), n_perm, seed)
         one = ranking.summarize_null(null)
         if observed is not None:
             own = observed.where(C("name") == name).select("metric", "observed")
