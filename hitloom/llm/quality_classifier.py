@@ -15,7 +15,9 @@ isn't 0; this bound is the only sample here.
 
 Defined cases: a null text is empty, and an empty text gets a score as well; a
 null id counts as held out; repeated labels of an id count as 1 if one of them
-is 1; without labels of both kinds all scores are the share of label 1 (0.5
+is 1, and of repeated rows of an id the one with the least features is learned
+from; a text of any length is judged as a whole; equal hashes in the sample go
+by id; without labels of both kinds all scores are the share of label 1 (0.5
 without any); an empty table gives no rows; other columns are ignored or, in
 ``keep_good``, passed on.
 """
@@ -210,14 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Additi
     known = known.where(F.crc32(F.col("id_").cast("string").cast("binary")) % 5 != 0).groupBy("id_").agg(F.max("y_").alias("y_"))
     sample = known.orderBy(F.xxhash64("id_"), "id_").limit(max_train)
     text = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(sample), "id_").select("text", "y_")  # at most max_train rows
+    rows = text.join(F.broadcast(sample), "id_").select("text", "y_", "id_")  # at most max_train ids are sent
 
     def run(batches):
         for b in batches:
             x = batch_features(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["id_", "x", "y"])
 
-    found = rows.mapInArrow(lean(run), "x array<double>, y int").toArrow()
+    each = rows.mapInArrow(lean(run), "id_ long, x array<double>, y int").groupBy("id_").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    found = each.select("x", "y").toArrow()  # a row for each id: at most max_train
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
