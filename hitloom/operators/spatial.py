@@ -146,5 +146,5 @@ def proximity_bonus(features: DataFrame, references: DataFrame) -> DataFrame:
     """
     d = F.sqrt(F.aggregate(F.zip_with(C("xyz"), C("rxyz"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     r = references.select("name", "type", C("xyz").alias("rxyz"), "cutoff")
-    near = features.join(F.broadcast(r), "type").groupBy("row_idx", "name", "cutoff").agg(F.min(d).alias("d"))  # a molecule's few reference points
+    near = features.join(r, "type").groupBy("row_idx", "name", "cutoff").agg(F.min(d).alias("d"))
     return near.groupBy("row_idx").agg(F.sum(F.greatest(F.lit(0.0), 1 - C("d") / C("cutoff"))).alias("bonus"))
