@@ -12,7 +12,7 @@ from ..functions.similarity import angle, nearest_feature
 from ..operators import audit, clustering, disynthon, fusion, models, ranking, recipes, sampling, similarity_join, spatial, thresholds, validation
 from ..operators.dedup import dedup, dedup_selection, stouffer_by
 from ..functions.lineage import shared_dir
-from ..sources import store
+from ..sources import readers, store
 from ..sources.readers import describe_files
 from ..sources.sinks import in_chunks, submission_rows
 from . import drivers, fixtures as fx, reports
@@ -724,3 +724,90 @@ def _(s, d):
 @query("grouped_cv")
 def _(s, d):
     return models.grouped_cv(_features(s, d), "block", folds=3, rounds=4)
+
+
+def _kept(s, df, name, form="parquet", **options):
+    """A table derived from the given ones, written to the shared folder for a reader to read: its path."""
+    path = f"{shared_dir(s)}/hitloom-{name}-{uuid.uuid4().hex}{'' if form == 'text' else '.' + form}"
+    df.write.options(**options).format(form).save(path)
+    return path
+
+
+@query("read_projection", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def _(s, d):
+    rows = readers.selection(s, f"{d}/orders.parquet", ["o_custkey", "o_orderstatus"])
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+
+
+@query("read_csv", "SELECT o_orderpriority AS label, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def _(s, d):
+    path = _kept(s, s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority"), "orders", "csv", header=True)
+    rows = readers.query_table(s, path, "o_orderkey", "o_orderpriority")
+    return rows.groupBy(C("o_orderpriority").alias("label")).agg(F.count("*").alias("n"), F.sum(C("o_orderkey").cast("long")).alias("keys"))
+
+
+@query("labelled_library", "SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS hits FROM (SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id))")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/documents.parquet").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").select(C("doc_id").cast("string").alias("SMILES"), C("quality").alias("LABEL"))
+    return readers.labelled_library(s, _kept(s, rows, "library")).agg(F.count("*").alias("n"), F.sum(C("LABEL").cast("long")).alias("hits"))
+
+
+@query("read_anchors", "SELECT c_name AS smiles, c_mktsegment AS detail FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 3 = 1")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/customer.parquet").select(C("c_name").alias("smiles"), (C("c_nationkey") % 3).cast("string").alias("source"), C("c_mktsegment").alias("detail"))
+    return readers.anchors(s, _kept(s, rows, "anchors"), ["1"], ["BUILDING", "MACHINERY"]).select("smiles", "detail")
+
+
+@query("read_template", "SELECT 'D' || CAST(doc_id AS VARCHAR) AS CatalogID, source AS SMILES, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").select(F.concat(F.lit("D"), C("doc_id").cast("string")).alias("CatalogID"), C("source").alias("SMILES"))
+    return readers.split_template(s, _kept(s, rows.coalesce(1), "template", "csv", header=True)).withColumn("row_idx", C("row_idx").cast("long"))
+
+
+@query("read_channel", f"WITH {CH} SELECT row_idx, 'draw' AS channel, score FROM channels WHERE channel = 'draw'")
+def _(s, d):
+    own = fx.channels(s, d).where("channel = 'draw'").select("row_idx", "score")
+    return readers.channel(s, _kept(s, own, "channel"), "draw", s.read.parquet(f"{d}/documents.parquet").count())
+
+
+@query("nul_bytes", "SELECT count(*) AS n_files, CAST(sum(k) AS BIGINT) AS n_nul FROM (SELECT label, count(*) FILTER (vec_id % 9 = 0) AS k FROM embeddings GROUP BY label)")
+def _(s, d):
+    """Text files of each label with a NUL byte in each ninth line."""
+    e = fx.embeddings(s, d).select(F.concat(C("vec_id").cast("string"), F.when(C("vec_id") % 9 == 0, F.lit("\0")).otherwise(F.lit(""))).alias("value"), "label")
+    path = f"{shared_dir(s)}/hitloom-nul-{uuid.uuid4().hex}"
+    e.repartition("label").write.partitionBy("label").text(path)
+    found = readers.nul_bytes(s, f"{path}/*/*.txt")
+    return found.agg(F.count("*").alias("n_files"), F.sum("n_nul").alias("n_nul"))
+
+
+@query("pdb_atoms", "SELECT label % 5 AS kind, count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE) * 40, 3)), 2) AS x, round(sum(round(CAST(embedding[2] AS DOUBLE) * 40, 3)), 2) AS y, round(sum(round(CAST(embedding[3] AS DOUBLE) * 40, 3)), 2) AS z FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1")
+def _(s, d):
+    """Fixed-width atom records made of the vectors, parsed again."""
+    xyz = [F.round(C("embedding")[k].cast("double") * 40, 3) for k in range(3)]
+    element = F.element_at(F.array(*map(F.lit, ("C", "N", "O", "S", "P"))), (C("label") % 5 + 1).cast("int"))
+    line = F.format_string("%-6s%5d %-4s%1s%3s %1s%4d    %8.3f%8.3f%8.3f%22s%2s", F.when(C("vec_id") % 2 == 0, "HETATM").otherwise("ATOM"), C("vec_id") % 99999, element, F.lit(" "), F.lit("LIG"), F.lit("A"), C("label").cast("int"), *xyz, F.lit(""), element)
+    path = _kept(s, fx.embeddings(s, d).select(line.alias("value")), "pdb", "text")
+    atoms = spatial.parse_atoms(readers.text_lines(s, path)).where("record = 'HETATM'")
+    kind = F.array_position(F.array(*map(F.lit, ("C", "N", "O", "S", "P"))), C("element")) - 1
+    return atoms.groupBy(kind.cast("int").alias("kind")).agg(F.count("*").alias("n"), *(F.round(F.sum(a), 2).alias(a) for a in "xyz"))
+
+
+@query("empirical_null", f"WITH RECURSIVE {NULL} SELECT 'labels' AS name, metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM nul GROUP BY metric")
+def _(s, d):
+    n, hits = ranking.sizes(_ranked(s, d))
+    return _r(reports.empirical_null(s, [f"labels:{n}:{hits}"], n_perm=N_PERM))
+
+
+@query("evaluate_team", f"WITH {RK}, a AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM ranked) SELECT round((sum(r) FILTER (label = 1) - max(p) * (max(p) + 1) / 2) / (max(p) * (max(n) - max(p))), 6) AS roc_auc, (SELECT count(*) FROM o WHERE rn <= 50 AND label = 1) AS hits FROM a, n")
+def _(s, d):
+    rows = _ranked(s, d)
+    top = rows.orderBy(F.desc("score"), "row_idx").limit(50).select("row_idx", F.lit(1).alias("picked_"))
+    team = rows.select("row_idx", C("score").alias("Score")).join(top, "row_idx", "left").select("row_idx", "Score", F.coalesce("picked_", F.lit(0)).alias("Sel_50"))
+    return _r(models.evaluate_team(rows.select("row_idx", "label"), team, "row_idx", "label", "Sel_50").select("roc_auc", "hits"))
+
+
+@query("id_list_problems", "SELECT unnest(['not 50 lines', 'ids that aren''t in the template']) AS problem FROM (SELECT count(*) AS n FROM documents) WHERE n > 0")
+def _(s, d):
+    ids = _ids(s, d)
+    listed = ids.orderBy("row_idx").limit(40).select("CatalogID").unionByName(ids.limit(1).select(F.concat(F.lit("x"), "CatalogID").alias("CatalogID")))
+    return validation.id_list_problems(listed, ids)
