@@ -28,7 +28,7 @@ def test_audit_and_yields(spark, selection):
 
 
 def test_null_of_counts(spark):
-    got = {r.metric: r for r in reports.empirical_null(spark, ["a:1500:9"], n_perm=200).collect()}
+    got = {r.metric: r for r in reports.empirical_null(spark, ["a:1500:9"], n_perm=1000).collect()}
     assert got["log_auc"].mean == pytest.approx(0.1358, abs=0.01)  # published
     assert (got["ef_50"].p50, got["ef_50"].p95) == (0.0, pytest.approx(3.3333, abs=1e-3))
 
