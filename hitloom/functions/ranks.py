@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import settled
+
 
 def sliced(df: DataFrame, score: str, slices: int | None = None) -> DataFrame:
     """df with slice_: 0 holds the highest scores; equal scores share a slice."""
@@ -28,6 +30,20 @@ def numbered(df: DataFrame, score: str, tie: str, out: str = "rn", slices: int |
     return rows.withColumn("own_", F.row_number().over(own)).join(F.broadcast(before), "slice_").withColumn(out, (F.col("own_") + F.col("before_")).cast("long")).drop("slice_", "own_", "before_")
 
 
+def ordered(df: DataFrame, *columns: str, out: str = "rn", slices: int | None = None) -> DataFrame:
+    """Rows numbered from 1 in ascending order of any columns (nulls first; equal rows in any order).
+
+    Rows are dealt by range and written, so that the slices are the same for
+    their counts and for their numbers; equal keys share a slice.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = settled(df.repartitionByRange(n, *columns).withColumn("slice_", F.spark_partition_id()), "ordered")
+    counts = dealt.groupBy("slice_").agg(F.count("*").alias("n_"))
+    before = counts.select("slice_", (F.sum("n_").over(Window.orderBy("slice_")) - F.col("n_")).alias("before_"))  # one row for each slice
+    own = F.row_number().over(Window.partitionBy("slice_").orderBy(*columns))
+    return dealt.withColumn("own_", own).join(before, "slice_").withColumn(out, F.col("own_") + F.col("before_")).drop("slice_", "own_", "before_")
+
+
 def seeded(seed: int, key: str | Column) -> Column:
     """A draw for each key: the md5 of seed and key, the same on any partitioning."""
     k = F.col(key) if isinstance(key, str) else key

@@ -14,7 +14,7 @@ from ..operators.dedup import dedup, dedup_selection, stouffer_by
 from ..functions.lineage import shared_dir
 from ..sources import readers, store
 from ..sources.readers import describe_files
-from ..sources.sinks import in_chunks, submission_rows
+from ..sources.sinks import cofold_inputs, coverage, in_chunks, submission_rows
 from . import drivers, fixtures as fx, reports
 
 C = F.col
@@ -811,3 +811,15 @@ def _(s, d):
     ids = _ids(s, d)
     listed = ids.orderBy("row_idx").limit(40).select("CatalogID").unionByName(ids.limit(1).select(F.concat(F.lit("x"), "CatalogID").alias("CatalogID")))
     return validation.id_list_problems(listed, ids)
+
+
+@query("cofold_skips", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'unparseable' ELSE CAST(c_nationkey AS VARCHAR) || ' heavy atoms > 20' END AS reason FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey > 20")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/customer.parquet").select(C("c_custkey").cast("string").alias("id"), C("c_name").alias("smiles"), (C("c_mktsegment") != "BUILDING").alias("ok"), C("c_nationkey").alias("n_atoms"))
+    alignment = _kept(s, rows.limit(3).select(F.concat(F.lit(">"), "id").alias("value")), "alignment", "text")
+    return cofold_inputs(rows, "ligand: %s", "smiles", readable="ok", max_size=20, alignment=f"{alignment}/*.txt")[1]
+
+
+@query("score_coverage", f"WITH {CH} SELECT count(*) AS n_ids, count(score) AS n_scored, min(score) AS least, max(score) AS largest, count(score) < count(*) AS partial FROM channels WHERE channel = 'label'")
+def _(s, d):
+    return coverage(fx.channels(s, d).where("channel = 'label'"))

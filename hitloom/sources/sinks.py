@@ -7,9 +7,10 @@ import json
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import finite
+from ..functions.ranks import ordered
 
 C = F.col
 
@@ -61,8 +62,7 @@ def write_report(folder: str, label: str, content: dict) -> Path:
 def in_chunks(files: DataFrame, n: int, column: str = "name") -> DataFrame:
     """files with chunk: sorted and cut into at most n contiguous runs of equal length (the last may be shorter)."""
     size = max(1, -(-files.count() // n))
-    place = F.row_number().over(Window.orderBy(column)) - 1  # a list of file names
-    return files.withColumn("chunk", F.floor(place / size).cast("int"))
+    return ordered(files, column, out="place_").withColumn("chunk", F.floor((C("place_") - 1) / size).cast("int")).drop("place_")
 
 
 def templated(rows: DataFrame, template: str, *columns: str, max_size: int | None = None, size: str = "n_atoms") -> tuple[DataFrame, DataFrame]:
@@ -71,6 +71,27 @@ def templated(rows: DataFrame, template: str, *columns: str, max_size: int | Non
     return rows.where(ok).withColumn("content", F.format_string(template, *columns)), rows.where(~F.coalesce(ok, F.lit(False)))
 
 
+def cofold_inputs(rows: DataFrame, template: str, *columns: str, readable: str, max_size: int, alignment: str, size: str = "n_atoms") -> tuple[DataFrame, DataFrame]:
+    """content for each row by a printf template, and id and reason of the rows that are skipped.
+
+    readable: a flag whether the structure could be read, size: its heavy
+    atoms.  An alignment file that holds NUL bytes is an error before any row
+    is written.
+    """
+    from .readers import check_alignment
+
+    check_alignment(rows.sparkSession, alignment)
+    reason = F.when(~F.coalesce(C(readable), F.lit(False)), F.lit("unparseable")).when(C(size).isNull(), F.lit("no size")).when(C(size) > max_size, F.format_string(f"%d heavy atoms > {max_size}", C(size)))
+    judged = rows.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason").withColumn("content", F.format_string(template, *columns)), judged.where("reason is not null").select("id", "reason")
+
+
+def coverage(scores: DataFrame) -> DataFrame:
+    """One row: how many ids there are, how many have a finite score, the range of scores, and whether the coverage is partial (unscored isn't zero)."""
+    own = finite(C("score"))
+    return scores.agg(F.count("*").alias("n_ids"), F.count(own).alias("n_scored"), F.min(own).alias("least"), F.max(own).alias("largest")).withColumn("partial", C("n_scored") < C("n_ids"))
+
+
 def write_files(rows: DataFrame, folder: str, suffix: str = ".yaml") -> None:
     """One file for each row (id, content), written by the tasks; the folder must be one that they share."""
 

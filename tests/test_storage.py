@@ -119,3 +119,24 @@ def test_describe_files(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(*)" in plan
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, readers.describe(spark.read.parquet(path)).collect()))
+
+
+def test_order_and_inputs(spark, tmp_path):
+    from hitloom.functions.ranks import ordered
+    from hitloom.sources import sinks
+
+    rows = spark.range(500).select(F.md5((F.col("id") % 400).cast("string").cast("binary")).alias("name"), "id")
+    got = ordered(rows, "name", slices=7).collect()
+    assert sorted(r.rn for r in got) == list(range(1, 501))
+    by = sorted(got, key=lambda r: r.rn)
+    assert [r.name for r in by] == sorted(r.name for r in got)
+    (tmp_path / "good.a3m").write_text(">q\nAA\n")
+    (tmp_path / "bad.a3m").write_bytes(b">q\nA\x00A\n")
+    table = spark.createDataFrame([("a", "CC", True, 3), ("b", "C(", False, None), ("c", "CCC", True, 99), ("d", "C", True, None)], "id string, smiles string, ok boolean, n_atoms int")
+    made, skipped = sinks.cofold_inputs(table, "smiles: %s", "smiles", readable="ok", max_size=50, alignment=str(tmp_path / "good.a3m"))
+    assert [(r.id, r.content) for r in made.collect()] == [("a", "smiles: CC")]
+    assert sorted(map(tuple, skipped.collect())) == [("b", "unparseable"), ("c", "99 heavy atoms > 50"), ("d", "no size")]
+    with pytest.raises(readers.NulBytes):
+        sinks.cofold_inputs(table, "smiles: %s", "smiles", readable="ok", max_size=50, alignment=str(tmp_path / "bad.a3m"))
+    one = sinks.coverage(spark.createDataFrame([(0.5,), (None,), (float("nan"),)], "score double")).first()
+    assert tuple(one) == (3, 1, 0.5, 0.5, True)
