@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PAIR_THRESHOLD, Z_CUT, SWEEP = 60.0, 2.0, 50
 N_PERM = 1000
+PER_CHANNEL = 500
 
 
 def query(name: str, oracle: str | None = None):
@@ -264,7 +265,7 @@ def _(s, d):
     return describe_files(s, f"{d}/customer.parquet")
 
 
-CH = f"channels AS ({fx.CHANNELS}), scaled AS (SELECT row_idx, channel, CASE WHEN score IS NULL THEN NULL WHEN max(score) OVER w <= min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM channels WINDOW w AS (PARTITION BY channel)), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, row_idx) AS rank FROM channels WHERE score IS NOT NULL) WHERE rank <= 100), rrf AS (SELECT row_idx, sum(CASE channel WHEN 'draw' THEN 2.0 ELSE 1.0 END::DOUBLE / (60 + rank)) AS rrf FROM top GROUP BY row_idx), series AS (SELECT r.row_idx, rrf, row_idx % 7 AS series, CAST(round(rrf, 9) AS DOUBLE) AS key FROM rrf r)"
+CH = f"channels AS ({fx.CHANNELS}), scaled AS (SELECT row_idx, channel, CASE WHEN score IS NULL THEN NULL WHEN max(score) OVER w <= min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM channels WINDOW w AS (PARTITION BY channel)), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, row_idx) AS rank FROM channels WHERE score IS NOT NULL) WHERE rank <= {PER_CHANNEL}), rrf AS (SELECT row_idx, sum(CASE channel WHEN 'draw' THEN 2.0 ELSE 1.0 END::DOUBLE / (60 + rank)) AS rrf FROM top GROUP BY row_idx), series AS (SELECT r.row_idx, rrf, row_idx % 7 AS series, CAST(round(rrf, 9) AS DOUBLE) AS key FROM rrf r)"
 WEIGHTS = {"draw": 2.0}
 
 
@@ -275,7 +276,7 @@ def _(s, d):
 
 @query("rrf_fusion", f"WITH {CH} SELECT row_idx, round(rrf, 9) AS rrf FROM rrf")
 def _(s, d):
-    return fusion.reciprocal_rank(fx.channels(s, d), 100, WEIGHTS).withColumn("rrf", F.round("rrf", 9))
+    return fusion.reciprocal_rank(fx.channels(s, d), PER_CHANNEL, WEIGHTS).withColumn("rrf", F.round("rrf", 9))
 
 
 @query("combined_score", f"WITH {CH} SELECT row_idx, round(coalesce(max(score), 0), 6) AS score FROM scaled GROUP BY row_idx")
@@ -287,7 +288,7 @@ _PICKS = "picks AS (SELECT row_idx, key AS rrf, series, row_number() OVER (ORDER
 
 
 def _picks(s, d):
-    ranked = fusion.reciprocal_rank(fx.channels(s, d), 100, WEIGHTS).withColumn("rrf", F.round("rrf", 9)).withColumn("series", C("row_idx") % 7)
+    ranked = fusion.reciprocal_rank(fx.channels(s, d), PER_CHANNEL, WEIGHTS).withColumn("rrf", F.round("rrf", 9)).withColumn("series", C("row_idx") % 7)
     return fusion.greedy_diverse(ranked, 50)
 
 
@@ -298,7 +299,7 @@ def _(s, d):
 
 @query("shortlist_union", f"WITH {CH} SELECT row_idx, count(*) AS n_sources, string_agg(channel, ';' ORDER BY channel) AS sources FROM top GROUP BY row_idx")
 def _(s, d):
-    return fusion.shortlist(fx.channels(s, d), 100)
+    return fusion.shortlist(fx.channels(s, d), PER_CHANNEL)
 
 
 _N = {"draw": 40, "length": 60}
@@ -321,7 +322,7 @@ def _(s, d):
 
 @query("series_counts", f"WITH {CH}, {_PICKS} SELECT (SELECT count(DISTINCT series) FROM series) AS n_series_pool, (SELECT count(DISTINCT series) FROM picks) AS n_series_picked")
 def _(s, d):
-    ranked = fusion.reciprocal_rank(fx.channels(s, d), 100, WEIGHTS).withColumn("series", C("row_idx") % 7)
+    ranked = fusion.reciprocal_rank(fx.channels(s, d), PER_CHANNEL, WEIGHTS).withColumn("series", C("row_idx") % 7)
     return fusion.series_counts(ranked, _picks(s, d))
 
 
