@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.cleaning import finite, ratio
 from ..functions.draws import distinct_draws
-from ..functions.ranks import numbered
+from ..functions.lineage import settled
+from ..functions.ranks import sliced
 
 C = F.col
 
@@ -61,6 +62,7 @@ def _log_auc(fp: Column, n_neg: int, n_pos: int, min_fpr: float | None) -> Colum
 
 def log_auc(rows: DataFrame, min_fpr: float | None = None) -> DataFrame:
     """Area under the true-positive rate over log10 of the false-positive rate, scaled to 1; null without hits or misses."""
+    rows = settled(rows.select("row_idx", "score", "label"), "scored")  # counts, cuts and ranks read it: one scan of the input
     n, n_pos = sizes(rows)
     if n_pos in (0, n):
         return rows.sparkSession.range(1).select(F.lit(None).cast("double").alias("log_auc"))
@@ -69,9 +71,14 @@ def log_auc(rows: DataFrame, min_fpr: float | None = None) -> DataFrame:
 
 
 def ranked_hits(rows: DataFrame) -> DataFrame:
-    """Hits with their rank among all (rn) and among hits (hit)."""
-    hits = numbered(rows, "score", "row_idx").where("label = 1")
-    return numbered(hits.withColumn("up", -C("rn")), "up", "row_idx", "hit")
+    """Hits with their rank among all (rn) and among hits (hit): both are running counts in a slice, after those of the slices above."""
+    cut = sliced(rows.where("score is not null"), "score")
+    counts = cut.groupBy("slice_").agg(F.count("*").alias("n_"), F.sum("label").alias("h_"))
+    w = Window.orderBy("slice_")  # one row for each slice
+    above = counts.select("slice_", (F.sum("n_").over(w) - C("n_")).alias("n0_"), (F.sum("h_").over(w) - C("h_")).alias("h0_"))
+    own = Window.partitionBy("slice_").orderBy(F.desc("score"), "row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.withColumns({"rn": F.count("*").over(own), "hit": F.sum("label").over(own)}).where("label = 1")
+    return placed.join(above, "slice_").withColumns({"rn": C("rn") + C("n0_"), "hit": C("hit") + C("h0_")}).drop("slice_", "n0_", "h0_")
 
 
 def summarize(rows: DataFrame) -> DataFrame:
@@ -88,8 +95,6 @@ def by_score(rows: DataFrame) -> DataFrame:
 
 def _running(counts: DataFrame) -> DataFrame:
     """Sums over all higher scores, by slices of the score axis."""
-    from ..functions.ranks import sliced
-
     cut = sliced(counts, "score")
     totals = cut.groupBy("slice_").agg(F.sum("p").alias("p_"), F.sum("n").alias("n_"))
     w = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
