@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import settled
 from ..functions.similarity import angle
 
 C = F.col
@@ -105,19 +106,62 @@ def bonds_of(atoms: DataFrame) -> DataFrame:
     return close_pairs(atoms, 2 * max(RADII.values()) + SLACK, ("element",)).where(C("distance") <= radius("a") + radius("b") + SLACK)
 
 
+#: neighbours of each point that the first searches for rings go along
+FEW = (4, 32)
+
+
+def _on_rings(roots: DataFrame, edges: DataFrame, longest: int) -> DataFrame:
+    """id of the roots on a ring of at most ``longest`` bonds along edges (a, b, from a to b): breadth first from every root at once.
+
+    A point is reached through a branch, the root's neighbour that its path
+    starts with.  While every point has one branch, paths of different branches
+    have no point but the root in common: where they meet, at a point (even
+    rings) or over an edge (odd ones), is a ring.  A root that has one is done.
+    """
+    steps = edges.select(C("a").alias("at"), C("b").alias("next"))
+    front = settled(roots.join(steps, C("id") == C("at")).select("id", C("next").alias("at"), C("next").alias("branch")), "reached")
+    seen, found = front, None
+    for depth in range(1, (longest - 1) // 2 + 1):
+        met = front.join(steps, "at").where(C("next") != C("id")).groupBy("id", C("next").alias("at")).agg(F.min("branch").alias("low"), F.max("branch").alias("high"))
+        met = met.join(seen.withColumnRenamed("branch", "own"), ["id", "at"], "left")
+        on = C("own").isNotNull() & ((C("low") != C("own")) | (C("high") != C("own")))
+        if 2 * depth + 2 <= longest:
+            on = on | (C("low") != C("high"))
+        met = settled(met.select("id", "at", "low", C("own").isNull().alias("new"), on.alias("on")), "met")
+        done = met.where("on").select("id").distinct()
+        found = done if found is None else found.unionByName(done)
+        if 2 * depth + 3 <= longest:
+            front = settled(met.where("new").join(done, "id", "left_anti").select("id", "at", C("low").alias("branch")), "reached")
+            seen = seen.unionByName(front)
+    return found
+
+
 def ring_members(bonds: DataFrame, longest: int = 8) -> DataFrame:
-    """id of all points on a cycle of at most ``longest`` bonds (a, b): from each bond's one end, paths that avoid it are joined on until they reach the other."""
-    edges = bonds.select("a", "b").unionByName(bonds.select(C("b").alias("a"), C("a").alias("b")))
-    paths = bonds.select(C("b").alias("goal"), C("a").alias("end"), F.array("a").alias("path"))
+    """id of all points on a cycle of at most ``longest`` bonds (a, b).
+
+    Each point is searched from on its own, to half the length.  Where bonds are
+    dense, nearly all points have a ring along a few bonds of each point, so
+    these are tried first; points that have none there are searched from along
+    all bonds.  What leads to a point with one bond is left out.
+    """
+    bonds = bonds.where("a != b")
+    edges = bonds.select("a", "b").unionByName(bonds.select(C("b").alias("a"), C("a").alias("b"))).distinct()
+    if longest < 3:
+        return edges.select(C("a").alias("id")).limit(0)
+    edges = settled(edges, "edges")
+    inner = edges.groupBy(C("a").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id")
+    edges = settled(edges.join(inner.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "edges")
+    left = settled(edges.select(C("a").alias("id")).distinct().join(inner, "id", "left_semi"), "points")
+    first = Window.partitionBy("a").orderBy(F.xxhash64("b"), "b")
+    some = settled(edges.withColumn("k", F.row_number().over(first)).where(C("k") <= FEW[-1]), "some")
     found = None
-    for k in range(1, longest):
-        paths = paths.join(edges.select(C("a").alias("end"), C("b").alias("next")), "end").where(~F.array_contains("path", C("next")))
-        if k == 1:
-            paths = paths.where(C("next") != C("goal"))  # the bond itself
-        closed = paths.where(C("next") == C("goal")).select(F.explode(F.concat("path", F.array("goal"))).alias("id"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = paths.where(C("next") != C("goal")).select("goal", C("next").alias("end"), F.concat("path", F.array("next")).alias("path"))
-    return found.distinct()
+    for along in (*(some.where(C("k") <= n) for n in FEW), edges):
+        own = settled(_on_rings(left, along, longest).distinct(), "rings")
+        found = own if found is None else found.unionByName(own)
+        left = settled(left.join(own, "id", "left_anti"), "points")
+        if left.isEmpty():
+            break
+    return found
 
 
 def ring_flags(atoms: DataFrame, assigned: DataFrame | None = None, limit: float = 355.0, longest: int = 8) -> DataFrame:

@@ -46,3 +46,18 @@ def test_rings_of_random_graphs(spark):
     for k in range(40):
         walk([k])
     assert {r.id for r in spatial.ring_members(spark.createDataFrame(edges, "a long, b long"), 6).collect()} == on
+
+
+def test_rings_where_bonds_are_dense(spark):
+    """Paths of up to six bonds are billions here; points off the dense parts are still searched from, at each limit."""
+    full = [(a, b) for a in range(60) for b in range(a)]
+    halves = [(100 + a, 200 + b) for a in range(40) for b in range(40)]  # no triangles
+    hanging = [(0, 300), (300, 301), (301, 1)] + [(0, 310), (310, 311)] + [(100, 320), (320, 321), (321, 322), (322, 101)]
+    apart = [(400 + k, 400 + (k + 1) % 6) for k in range(6)] + [(500 + k, 500 + (k + 1) % 7) for k in range(7)]
+    edges = full + halves + hanging + apart + [(600, 600), (601, 602), (602, 601), (601, 602)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    five = {*range(60), 300, 301, *range(100, 140), *range(200, 240)}
+    on = {5: five, 6: five | {320, 321, 322} | set(range(400, 406))}
+    for longest, want in on.items():
+        rows = [r.id for r in spatial.ring_members(df, longest).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want, longest
