@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as kernels
 from ..functions.lineage import settled
+from .bit_sets import mean_similarities
 
 C = F.col
 MAX_BROADCAST = 10_000
@@ -195,14 +196,23 @@ def nearest_positive(pool: DataFrame, positives: DataFrame, width: int, max_inde
     return best.join(mark, "row_idx", "left").select("row_idx", F.when(C("p_"), F.lit(1.0)).otherwise(C("similarity")).alias("similarity"), "n_compared")
 
 
-def pairwise(rows: DataFrame, kernel: Callable[[Column, Column], Column], vector: str = "bits") -> DataFrame:
-    """a, b and similarity for all pairs a < b of a small set (at most MAX_BROADCAST rows, checked)."""
-    if rows.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
-        raise ValueError(f"more than {MAX_BROADCAST} rows")
+def pairwise(rows: DataFrame, kernel: Callable[[Column, Column], Column], vector: str = "bits", most: int = MAX_BROADCAST) -> DataFrame:
+    """a, b and similarity for all pairs a < b: one side is sent while it is at most ``most`` rows, otherwise blocks of so many meet one another."""
+    n = rows.count()
     a, b = (rows.select(C("row_idx").alias(n), C(vector).alias(f"v{n}")) for n in "ab")
-    return a.join(F.broadcast(b), C("a") < C("b")).select("a", "b", kernel(C("va"), C("vb")).alias("similarity"))
+    if n <= most:
+        met = a.join(F.broadcast(b), C("a") < C("b"))
+    else:
+        k = -(-n // most)
+        own = lambda s: F.pmod(F.xxhash64(s), F.lit(k)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        met = a.select("*", own("a").alias("i"), every.alias("j")).join(b.select("*", every.alias("i"), own("b").alias("j")), ["i", "j"]).where("a < b")
+    return met.select("a", "b", kernel(C("va"), C("vb")).alias("similarity"))
 
 
 def mean_pairwise(rows: DataFrame, kernel=kernels.bit_tanimoto, vector: str = "bits") -> DataFrame:
-    """The mean over all pairs; null for fewer than two rows."""
-    return pairwise(rows, kernel, vector).agg(F.avg("similarity").alias("mean_similarity"))
+    """The mean over all pairs; null for fewer than two rows.  On-bits are compared block by block, other vectors pair by pair."""
+    if kernel is not kernels.bit_tanimoto:
+        return pairwise(rows, kernel, vector).agg(F.avg("similarity").alias("mean_similarity"))
+    one = rows.select(F.lit(0).alias("all_"), "row_idx", C(vector).alias("bits"))
+    return mean_similarities(one, "all_", rows.count()).agg(F.max("value").alias("mean_similarity"))
